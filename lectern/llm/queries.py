@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import encode
+from lectern.llm import encode, leaks, pages
 from lectern.tables import table
 
 
@@ -10,5 +10,15 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode.encode(table(spark, root, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Exact windows only: the operator's distance is the exact check."""
+    found = leaks.find_leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+    return found.where("distance = 0").select("doc_id", "item_id").distinct()
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return pages.label_pages(table(spark, root, "documents"), "doc_id", "text").where("nonprose > 0.5").select("doc_id")
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
