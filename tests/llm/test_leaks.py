@@ -45,7 +45,7 @@ def test_rows(spark):
     docs = [
         (1, None), (2, ""), (3, " \n "), (4, ITEM), (5, "x " + " ".join(w[3:15]) + " y"), (6, " ".join(w[3:14]) + " end"),
         (7, " ".join(w[2:16]).upper().replace("A", "А").replace(" ", "\n> ")), (8, " ".join(w[3:15]).replace("surveyors", "surveyars")),
-        (9, "甲" + HAN[3:28] + "乙"), (10, HAN[3:26] + "完"), (11, " ".join(w[:10] + ["one", "two"] + w[10:])), (12, ("lorem ipsum " * 20_000) + ITEM),
+        (9, "甲" + HAN[3:28] + "乙"), (10, HAN[3:26] + "完"), (11, " ".join(w[:11] + ["one", "two"] + w[11:])), (12, ("lorem ipsum " * 20_000) + ITEM),
     ]
     items = [(1, ITEM), (2, HAN), (3, None), (4, "too short"), (1, ITEM)]
     d = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id bigint, text string, item_id string")
