@@ -28,12 +28,12 @@ LOOKALIKES = {
 
 
 def is_han(c: str) -> bool:
-    return "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "𠀀" <= c <= "𿿽" or c == "〇"
+    return "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\U00020000" <= c <= "\U0003fffd" or c == "\u3007"
 
 
 def invisible(c: str) -> bool:
     """Format characters, variation selectors and fillers, which show nothing."""
-    return unicodedata.category(c) == "Cf" or "︀" <= c <= "️" or "󠄀" <= c <= "󠇯" or c in "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
+    return unicodedata.category(c) == "Cf" or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef" or c in "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 
 
 def fold_char(c: str) -> str:
@@ -42,10 +42,10 @@ def fold_char(c: str) -> str:
         return ""
     if c in RADICALS:
         return RADICALS[c]
-    if c == " " or unicodedata.category(c) == "Zs":
+    if unicodedata.category(c) == "Zs":
         return " "
     how = unicodedata.decomposition(c)
-    if how and (how[0] != "<" or how.startswith(("<wide>", "<narrow>")) or "⼀" <= c <= "⿕" or "ﬀ" <= c <= "ﬆ"):
+    if how and (how[0] != "<" or how.startswith(("<wide>", "<narrow>")) or "\u2f00" <= c <= "\u2fd5" or "\ufb00" <= c <= "\ufb06"):
         return unicodedata.normalize("NFKC", c)
     return c
 

@@ -58,7 +58,7 @@ STAY = 0.88
 def units(text: str) -> list[str]:
     """Lines that show something, long ones in parts of about UNIT characters."""
     out = []
-    for line in re.split(r"[\n\r\x0b\x0c\x85  ]+", fold(text)):
+    for line in re.split("[\n\r\x0b\x0c\x85\u2028\u2029]+", fold(text)):
         line = line.strip()
         while len(line) > UNIT * 4 // 3:
             at = line.rfind(" ", UNIT // 2, UNIT) + 1 or UNIT

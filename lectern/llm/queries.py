@@ -1,11 +1,26 @@
 """Queries of the problems of training text, with SQL where SQL can say the same."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import encode, leaks, pages
+from lectern.llm import encode, leaks, lookalikes, pages, sentences
 from lectern.tables import table
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    out = lookalikes.same_texts(table(spark, root, "pairs_zh"), "pair_id", "zh")
+    return out.withColumnsRenamed({"id_a": "pair_id_a", "id_b": "pair_id_b"})
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    out = None
+    for name, field in (("pairs_en", "target"), ("pairs_zh", "zh")):
+        rows = table(spark, root, name).where("not origin <=> 'scan'").select("pair_id", field).distinct()
+        part = sentences.split_sentences(rows, "pair_id", field).select(F.lit(field).alias("field"), "pair_id", "sent_no", "end_pos")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode.encode(table(spark, root, "documents"), "doc_id", "text")
 
@@ -20,5 +35,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return pages.label_pages(table(spark, root, "documents"), "doc_id", "text").where("nonprose > 0.5").select("doc_id")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ HAN_TAGS = "电子书无弹窗电子书优惠券无弹窗优惠券优惠券电
 def test_kinds(spark):
     spam = [LINKS, TAGS, STUFFED, OFFERS, HAN_TAGS, LINKS + "\n" + PROSE]
     fine = [PROSE, VERSE, CONTENTS, SPEECH, CHINESE, PROSE * 8 + "\nSee also:\nhttps://a.example/p/1\nhttps://b.example/p/2", "one", "Chapter 3"]
-    none = [None, "", " \n\t", "​"]
+    none = [None, "", " \n\t", "\u200b"]
     rows = [(i, t, "x") for i, t in enumerate(spam + fine * 4 + none + spam[:1])]
     out = {r.doc_id: r for r in label_pages(spark.createDataFrame(rows, "doc_id bigint, text string, links string"), "doc_id", "text").collect()}
     assert len(out) == len(rows)
