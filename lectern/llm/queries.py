@@ -3,10 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import encode, leaks, lookalikes, pages, sentences
+from lectern.llm import alignment, encode, leaks, lookalikes, pages, sentences
 from lectern.tables import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    out = alignment.align(table(spark, root, "chapter_pairs"), "chapter_pair_id", "en", "zh")
+    return out.select("chapter_pair_id", F.col("first_no").alias("en_no"), F.col("second_no").alias("zh_no")).distinct()
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     out = lookalikes.same_texts(table(spark, root, "pairs_zh"), "pair_id", "zh")
     return out.withColumnsRenamed({"id_a": "pair_id_a", "id_b": "pair_id_b"})
@@ -35,5 +40,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return pages.label_pages(table(spark, root, "documents"), "doc_id", "text").where("nonprose > 0.5").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
