@@ -26,7 +26,7 @@ from lectern.tables import materialise
 #: Cells that tokens of a language are hashed into.
 CELLS = 4096
 #: Share of the background in the probability of a token, and the least probability that a table keeps.
-BACKGROUND, LEAST = 0.15, 2e-4
+BACKGROUND, LEAST = 0.15, 1e-3
 #: Lines of the first language that are held against all of the second at a time.
 BLOCK = 1500
 WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -75,28 +75,33 @@ class Table:
     """p(second | first) and p(first | second) by cells, and the shares of the cells."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray, there: np.ndarray, back: np.ndarray, share_first: np.ndarray, share_second: np.ndarray) -> None:
-        self.there, self.back = np.zeros((CELLS, CELLS), np.float32), np.zeros((CELLS, CELLS), np.float32)
+        self.there, self.back = np.zeros((CELLS, CELLS), np.float16), np.zeros((CELLS, CELLS), np.float16)
         self.there[first, second], self.back[first, second] = there, back
         self.share_first, self.share_second = share_first, share_second
 
 
+def pack(text: str | None) -> tuple[bytes, bytes, str]:
+    """A text's cells line after line, the length of each line, and its kept strings."""
+    both = [tokens(x) for x in lines(text)]
+    cells = np.array([c for x in both for c in x[0]], np.uint16)
+    return cells.tobytes(), np.array([len(x[0]) for x in both], np.uint32).tobytes(), "\x1e".join("\x1f".join(x[1]) for x in both)
+
+
 class Pair:
-    """Two texts as lists of cells by line."""
+    """Two texts, each as packed by ``pack``."""
 
-    def __init__(self, a: list, b: list, kept_a: list, kept_b: list) -> None:
-        self.n, self.m = len(a), len(b)
-        self.size_a, self.size_b = (np.array([max(1, len(x)) for x in s], np.float32) for s in (a, b))
-        self.a, self.cells_a = self._counts(a)
-        self.b, self.cells_b = self._counts(b)
-        self.kept_a, self.kept_b = ([set(x) for x in s] for s in (kept_a, kept_b))
+    def __init__(self, a: tuple[bytes, bytes, str], b: tuple[bytes, bytes, str]) -> None:
+        self.a, self.cells_a, self.size_a, self.kept_a = self._counts(*a)
+        self.b, self.cells_b, self.size_b, self.kept_b = self._counts(*b)
+        self.n, self.m = len(self.size_a), len(self.size_b)
 
     @staticmethod
-    def _counts(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        cells, place = np.unique(flat, return_inverse=True)
-        out = np.zeros((len(rows), len(cells)), np.float32)
-        np.add.at(out, (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), place), 1)
-        return out, cells
+    def _counts(cells: bytes, sizes: bytes, kept: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+        size = np.frombuffer(sizes, np.uint32).astype(np.int64)
+        cells, place = np.unique(np.frombuffer(cells, np.uint16).astype(np.int64), return_inverse=True)
+        out = np.zeros((len(size), len(cells)), np.float32)
+        np.add.at(out, (np.repeat(np.arange(len(size)), size), place), 1)
+        return out, cells, np.maximum(size, 1).astype(np.float32), [set(x.split("\x1f")) - {""} for x in kept.split("\x1e")] if len(size) else []
 
     def kept(self, rows: slice) -> np.ndarray:
         """How far the kept strings of two lines agree: +1 for each shared one, -1/2 for each number that is not."""
@@ -121,7 +126,7 @@ class Pair:
     def scores(self, table: Table, rows: slice) -> tuple[np.ndarray, np.ndarray, tuple]:
         """Log likelihood ratios of each second line given each first one of ``rows``, and the other way."""
         pick = np.ix_(self.cells_a, self.cells_b)
-        there, back = table.there[pick], table.back[pick]
+        there, back = table.there[pick].astype(np.float32), table.back[pick].astype(np.float32)
         a = self.a[rows]
         q1 = (a / self.size_a[rows, None]) @ there
         q2 = (self.b / self.size_b[:, None]) @ back.T
@@ -211,8 +216,8 @@ def _shares(odds: np.ndarray, axis: int) -> np.ndarray:
 
 def _pairs(batch: pd.DataFrame) -> Iterator[tuple[int, Pair]]:
     for k, r in enumerate(batch.itertuples(index=False)):
-        if len(r.a) and len(r.b):
-            yield k, Pair(list(r.a), list(r.b), list(r.kept_a), list(r.kept_b))
+        if len(r.size_a) and len(r.size_b):
+            yield k, Pair((r.a, r.size_a, r.kept_a), (r.b, r.size_b, r.kept_b))
 
 
 def estimate(seen: DataFrame, rounds: int) -> tuple:
@@ -238,7 +243,7 @@ def estimate(seen: DataFrame, rounds: int) -> tuple:
                     there.append(x)
                     back.append(y)
                     n += len(a)
-                    if n > 4_000_000:
+                    if n > 800_000:
                         yield flush()
                         n = 0
         if keys:
@@ -250,12 +255,12 @@ def estimate(seen: DataFrame, rounds: int) -> tuple:
         of_b = counts.groupBy("b").agg(F.sum("back").alias("all_b"), F.sum("there").alias("n_b"))
         shared = counts.join(F.broadcast(of_a), "a").join(F.broadcast(of_b), "b")  # CELLS rows each at most
         kept = shared.select("a", "b", (F.col("there") / F.greatest("all_a", F.lit(1e-9))).cast("float").alias("there"), (F.col("back") / F.greatest("all_b", F.lit(1e-9))).cast("float").alias("back"))
-        kept = kept.where((F.col("there") > LEAST) | (F.col("back") > LEAST)).toPandas()  # at most 1 / LEAST per cell and direction
+        kept = kept.where((F.col("there") > LEAST) | (F.col("back") > LEAST)).toArrow()  # at most 1 / LEAST per cell and direction
         share = []
         for name, of, n in (("a", of_a, "n_a"), ("b", of_b, "n_b")):
             x = np.full(CELLS, 1e-3)
-            got = of.toPandas()
-            x[got[name]] += got[n]
+            got = of.select(name, n).toArrow()
+            x[got[name].to_numpy()] += got[n].to_numpy()
             share.append((x / x.sum()).astype(np.float32))
         if held is not None:
             held.unpersist()
@@ -274,14 +279,15 @@ def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 4,
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sides = {}
+            sides = {"id": batch["id"]}
             for name in "ab":
-                both = [[tokens(x) for x in lines(t)] for t in batch[name]]
-                sides[name], sides[f"kept_{name}"] = [[x[0] for x in s] for s in both], [[x[1] for x in s] for s in both]
-            yield pd.DataFrame({"id": batch["id"], **sides})
+                packed = [pack(t) for t in batch[name]]
+                for k, column in enumerate((name, f"size_{name}", f"kept_{name}")):
+                    sides[column] = [x[k] for x in packed]
+            yield pd.DataFrame(sides)
 
     rows = spread(df.select(F.col(id_col).alias("id"), F.col(first).alias("a"), F.col(second).alias("b")).where("length(a) > 0 and length(b) > 0").distinct())
-    seen = materialise(rows.mapInPandas(read, f"id {kind}, a array<array<int>>, kept_a array<array<string>>, b array<array<int>>, kept_b array<array<string>>"), "lines")
+    seen = materialise(rows.mapInPandas(read, f"id {kind}, a binary, size_a binary, kept_a string, b binary, size_b binary, kept_b string"), "lines")
     held = estimate(seen, rounds)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
