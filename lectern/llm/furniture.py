@@ -35,7 +35,7 @@ def alike(a: str, b: str) -> float:
 class Page:
     """Raw lines of one text with what is known of its book."""
 
-    def __init__(self, text: str, titles: list[str], repeats: dict[str, int]) -> None:
+    def __init__(self, text: str, titles: list[str], repeats: dict[str, tuple[int, int]]) -> None:
         self.raw = text.split("\n")
         self.lines = [fold(x.replace("­", "¬")).strip() for x in self.raw]
         self.titles = [title_key(t) for t in titles if t]
@@ -65,7 +65,7 @@ class Page:
             float(self.numeric[i]),
             float(s.isdigit()),
             same,
-            np.log1p(self.repeats.get(key, 0)),
+            *np.log1p(self.repeats.get(key, (0, 0))),
             float(bool(CHAPTER.search(s))),
             float(s[-1:] in FINAL),
             sum(c.isupper() for c in letters) / max(1, len(letters)),
@@ -170,10 +170,11 @@ def train(sample: list[tuple[str, str]], titles: list[str], seed: int = 7) -> tu
             at -= 1
         page[at:at] = margin
         known = r.random()
-        repeats = {title_key(x): r.choice([2, 3, 5, 9, 40]) for x, k in margin if k == HEADER} if known < 0.9 else {}
+        often = lambda *n: (lambda a, b: (a, max(a, b)))(r.choice([1, *n]), r.choice([2, *n]))
+        repeats = {title_key(x): often(2, 3, 5, 9, 40) for x, k in margin if k == HEADER} if known < 0.9 else {}
         for x, k in page:  # lines of the text may recur in a book as well
             if k == TEXT and x and (x[-1] in ":：" and r.random() < 0.7 or r.random() < 0.08):
-                repeats[title_key(x)] = r.choice([2, 2, 3, 6, 20])
+                repeats[title_key(x)] = often(1, 2, 3, 6, 20)
         p = Page("\n".join(x for x, _ in page), [title] if known > 0.2 else [], repeats)
         for i, (x, k) in enumerate(page):
             if x:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import alignment, encode, leaks, lookalikes, pages, sentences
+from lectern.llm import alignment, encode, leaks, lookalikes, pages, scans, sentences
 from lectern.tables import table
 
 
@@ -12,6 +12,23 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return out.select("chapter_pair_id", F.col("first_no").alias("en_no"), F.col("second_no").alias("zh_no")).distinct()
 
 
+def _scans(spark: SparkSession, root: str) -> scans.Scans:
+    rows = None
+    for name, field in (("pairs_en", "target"), ("pairs_zh", "zh")):
+        part = table(spark, root, name).select(F.lit(field).alias("field"), F.col("pair_id").alias("id"), "book", F.expr("origin = 'scan'").alias("scan"), F.col(field).alias("text"))
+        rows = part if rows is None else rows.unionByName(part)
+    titles = table(spark, root, "front_matter").select("book", F.expr("explode(slice(split(text, '\n'), 1, 2))").alias("title"))
+    return scans.Scans(rows, titles)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return _scans(spark, root).noise().withColumnRenamed("id", "pair_id")
+
+
+def p2_text(spark: SparkSession, root: str) -> DataFrame:
+    return _scans(spark, root).repaired().withColumnRenamed("id", "pair_id")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     out = lookalikes.same_texts(table(spark, root, "pairs_zh"), "pair_id", "zh")
     return out.withColumnsRenamed({"id_a": "pair_id_a", "id_b": "pair_id_b"})
@@ -40,5 +57,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return pages.label_pages(table(spark, root, "documents"), "doc_id", "text").where("nonprose > 0.5").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}

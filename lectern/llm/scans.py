@@ -71,18 +71,18 @@ def doubles(text: str) -> Iterator[tuple[int, str, str, int]]:
 
 def parts(read: str, true: str) -> list[tuple[str, str]]:
     """Stretches in which two words differ, as (printed, read), widened to known confusions."""
-    out = []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, read, true, False).get_opcodes():
-        if tag != "equal":
-            out.append((true[j1:j2], read[i1:i2]))
-    i, k = 0, 0
-    while i < min(len(read), len(true)) and read[i] == true[i]:
+    i, k, most = 0, 0, min(len(read), len(true))
+    while i < most and read[i] == true[i]:
         i += 1
-    while k < min(len(read), len(true)) - i and read[-1 - k] == true[-1 - k]:
+    while k < most - i and read[-1 - k] == true[-1 - k]:
         k += 1
     whole = (true[i : len(true) - k], read[i : len(read) - k])
-    if whole in PAIRS or len(out) > 1 and max(map(len, whole)) <= 2:
-        return [whole]
+    if max(map(len, whole)) <= 2 or whole in PAIRS:
+        out = [whole]
+    elif len(whole[0]) == len(whole[1]):
+        out = [(a, b) for a, b in zip(*whole) if a != b]
+    else:
+        out = [(true[j1:j2], read[i1:i2]) for tag, i1, i2, j1, j2 in SequenceMatcher(None, read, true, False).get_opcodes() if tag != "equal"]
     if len(out) == 1 and out[0] not in PAIRS:  # part of a confusion may agree: ri for n, cl for d ...
         for a in (0, 1):
             for b in (0, 1):
@@ -107,8 +107,10 @@ def word_candidates(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     left = asked.where(F.length("word").between(2, 40)).select("word", "label", "own", F.explode(F.when(short, grams(F.col("word"), 2)).otherwise(grams(F.col("word"), 3))).alias("gram"))
     can = F.length("meant") <= 7
     right = vocabulary.where(F.length("meant").between(2, 40)).select("meant", "n", F.explode(F.when(can, F.concat(grams(F.col("meant"), 2), grams(F.col("meant"), 3))).otherwise(grams(F.col("meant"), 3))).alias("gram"))
-    met = left.join(right, "gram").where("meant <> own and meant <> word and abs(length(meant) - length(word)) <= 2")
-    shared = met.groupBy("word", "label", "own", "meant").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    spark = asked.sparkSession
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # few bytes, much work
+    met = left.repartition(many, "gram").join(right.repartition(many, "gram"), "gram").where("meant <> own and meant <> word and abs(length(meant) - length(word)) <= 2")
+    shared = met.repartition(many, "word").groupBy("word", "label", "own", "meant").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
     return shared.where(F.col("shared") >= F.greatest(F.lit(2), F.ceil(F.length("word") / 3)))
 
 
@@ -155,16 +157,19 @@ class Scans:
 
         key = F.lower(F.regexp_replace(F.regexp_replace("line", r"(?i)\b(ch\.|chapter)\s*\S+\s*$|^\s*chapter\s+\S+|第\s*\S{1,4}\s*章", ""), r"[^\p{L}]", ""))
         scans = self.rows.where("scan")
-        seen = scans.select("field", "book", "id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) < 160").select("field", "book", "id", key.alias("key")).where("length(key) between 4 and 80")
-        often = seen.distinct().groupBy("field", "book", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        repeats = seen.distinct().join(often, ["field", "book", "key"]).groupBy("field", "id").agg(F.collect_list(F.struct("key", "n")).alias("repeats"))
+        seen = scans.select("field", F.coalesce(F.col("book").cast("string"), F.lit("")).alias("book"), "id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) < 160").select("field", "book", "id", key.alias("key")).where("length(key) between 4 and 80")
+        seen = seen.distinct()
+        often = seen.groupBy("field", "book", "key").agg(F.count(F.lit(1)).alias("n"))
+        anywhere = often.groupBy("field", "key").agg(F.sum("n").alias("all")).where("all > 1")
+        met = seen.join(often.join(anywhere, ["field", "key"]), ["field", "book", "key"])
+        repeats = met.groupBy("field", "id").agg(F.collect_list(F.struct("key", "n", "all")).alias("repeats"))
         ready = scans.join(self.titles, "book", "left").join(repeats, ["field", "id"], "left").select("field", "id", "text", "titles", "repeats")
 
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 kinds = []
                 for text, titles, repeats in zip(batch["text"], batch["titles"], batch["repeats"]):
-                    page = Page(text, list(titles) if titles is not None else [], {x["key"]: x["n"] for x in repeats} if repeats is not None else {})
+                    page = Page(text, list(titles) if titles is not None else [], {x["key"]: (x["n"], x["all"]) for x in repeats} if repeats is not None else {})
                     kinds.append(page.kinds(model.value))
                 yield pd.DataFrame({"field": batch["field"], "id": batch["id"], "text": batch["text"], "kinds": kinds})
 
@@ -271,7 +276,10 @@ class Scans:
         found = self._walked(joined, emit, "word string, lines array<int>")
         known = self.counted("w", "word", "known")
         unknown = materialise(found.join(known, "word", "left_anti").where(F.expr(r"not word rlike '^[0-9]+$'")), "unknown")
-        fixed = self._rank_words(unknown.select("word").distinct())
+        asked = unknown.select("word").distinct()
+        digits = F.translate("word", "oli!sb", "011158")  # letters that stand for digits
+        number = F.expr(r"word rlike '^[0-9oli!]{2,}$' and word rlike '[0-9]'")
+        fixed = self._rank_words(asked.where(~number)).unionByName(asked.where(number).select("word", digits.alias("meant")))
         return unknown.join(fixed, "word")
 
     def _rank_words(self, unknown: DataFrame) -> DataFrame:
@@ -314,7 +322,9 @@ class Scans:
 
         @F.pandas_udf("double")
         def rate(word: pd.Series, true: pd.Series, n: pd.Series, shared: pd.Series, odd: pd.Series, support: pd.Series) -> pd.Series:
-            return pd.Series(model.predict(traits(pd.DataFrame({"word": word, "meant": true, "n": n, "shared": shared, "odd": odd, "support": support}))))
+            x = traits(pd.DataFrame({"word": word, "meant": true, "n": n, "shared": shared, "odd": odd, "support": support}))
+            usual = (x[:, 4] > 0) | (x[:, 10] > np.log1p(4.5))  # a known confusion, or one that at least five words share
+            return pd.Series(np.where(usual, model.predict(x), 0.0))
 
         rated = met.where("label = -1").withColumn("rate", rate("word", "meant", "n", "shared", "odd", "support"))
         return rated.groupBy("word").agg(F.max_by("meant", F.struct("rate", "n", "meant")).alias("meant"), F.max("rate").alias("rate")).where("rate > 0.5").select("word", "meant")
@@ -359,7 +369,7 @@ class Scans:
         for x in some:
             w = x.window
             made.append((w, 0, w[2]))
-            c = r.choice(ones)
+            c = r.choice(ones) if ones and r.random() < 0.6 else chr(r.randrange(0x4E00, 0x9FA5))  # known or new to the clean texts
             if c != w[2]:
                 made.append((w[:2] + c + w[3:], 1, w[2]))
         lesson = spark.createDataFrame(made or [("", 0, "")], "window string, label int, source string").distinct()
@@ -396,20 +406,68 @@ class Scans:
 
         rated = met.where("label = -1").withColumn("rate", rate(F.struct(*names)))
         best = F.struct("rate", "n_mid", "meant")
-        found = rated.groupBy("window", "seen").agg(F.max_by(F.struct("meant", "n_mid", "n_one", "rate"), best).alias("x")).select("window", "seen", "x.*").where("rate > 0.5")
+        # the candidates' probabilities add up: a sign can be wrong for sure while its correction is in doubt
+        found = rated.groupBy("window", "seen").agg(F.max_by(F.struct("meant", "n_mid", "n_one"), best).alias("x"), F.sum("rate").alias("rate")).select("window", "seen", "x.*", "rate").where("rate > 0.5")
         # one misreading befalls a sign wherever it stands: what comes up again and again in one company only, though the
         # sign has many, is another word
         found = found.withColumn("mid", ch("window", 2, 3)).withColumn("read", ch("window", 3))
         per = found.groupBy("read", "meant", "mid").agg(F.sum("seen").alias("here"), F.first("n_mid").alias("n_mid"), F.first("n_one").alias("n_one"))
         every = per.groupBy("read", "meant").agg(F.sum("here").alias("everywhere"))
-        other = per.join(every, ["read", "meant"]).where("here >= 6 and here > 5 * everywhere * n_mid / n_one").select("read", "meant", "mid")
-        return found.join(other, ["read", "meant", "mid"], "left_anti").select("window", "meant")
+        other = per.join(every, ["read", "meant"]).withColumn("share", F.least(F.lit(1.0), F.col("n_mid") / F.col("n_one")))
+        other = other.where("here >= 6 and here / everywhere > share + 4 * sqrt(share * (1 - share) / everywhere)").select("read", "meant", "mid")
+        found = found.join(other, ["read", "meant", "mid"], "left_anti").select("window", "read", "meant")
+        # a sign that the clean texts lack and that was found misread time and again is so everywhere
+        signs = unknown.withColumn("read", ch("window", 3)).join(self.counted("1", "read", "n"), "read", "left_anti")
+        share = signs.groupBy("read").agg(F.count(F.lit(1)).alias("all")).join(found.groupBy("read").agg(F.count(F.lit(1)).alias("bad"), F.mode("meant").alias("meant")), "read")
+        strange = signs.join(share.where("bad >= 3 and bad >= 0.3 * all").select("read", "meant"), "read").select("window", "meant")
+        return found.select("window", "meant").unionByName(strange.join(found, "window", "left_anti"))
+
+    def found(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Divided words, misread words and misread ideographs, each written out once."""
+        if not hasattr(self, "_found"):
+            joined = materialise(self.hyphens(), "hyphens")
+            self._found = joined, materialise(self.misread_words(joined), "misread"), materialise(self.misread_signs(joined), "misread")
+        return self._found
+
+    def repaired(self) -> DataFrame:
+        """(field, id, text): the scanned texts as continuous paragraphs, parted by blank lines, without margin lines
+        and dividing signs and with misread characters put right. Page breaks inside a sentence leave no trace."""
+        joined, bad_words, bad_signs = self.found()
+        marks = joined.groupBy("field", "id").agg(F.collect_list("line").alias("joined"))
+        fixes = bad_words.groupBy("field", "id").agg(F.collect_set(F.struct("word", "meant")).alias("fixes"))
+        signs = bad_signs.groupBy("field", "id").agg(F.sort_array(F.collect_set(F.struct("at", "read", "meant")), asc=False).alias("signs"))
+        ready = self.pages
+        for x in (marks, fixes, signs):
+            ready = ready.join(x, ["field", "id"], "left")
+
+        def mend(word: str, table: dict[str, str]) -> str:
+            new = table.get(normal(word))
+            return word if new is None else new.upper() if word.isupper() and len(word) > 1 else new[:1].upper() + new[1:] if word[:1].isupper() else new
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts = []
+                for r in batch.itertuples(index=False):
+                    paragraphs = ["".join(c for c, _ in p) for p in running(Page(r.text, [], {}), list(r.kinds), set(r.joined) if r.joined is not None else set())]
+                    for x in r.signs if r.signs is not None else ():
+                        k, at = divmod(x["at"], 10_000_000)
+                        new = x["meant"] or x["read"][0]
+                        paragraphs[k] = paragraphs[k][:at] + new + paragraphs[k][at + len(x["read"]) :]
+                    table = {x["word"]: x["meant"] for x in r.fixes} if r.fixes is not None else {}
+                    for k, p in enumerate(paragraphs):
+                        for at, w in reversed(words(p)) if table else ():
+                            p = p[:at] + mend(w, table) + p[at + len(w) :]
+                        paragraphs[k] = p
+                    texts.append("\n\n".join(paragraphs))
+                yield pd.DataFrame({"field": batch["field"], "id": batch["id"], "text": texts})
+
+        return ready.select("field", "id", "text", "kinds", "joined", "fixes", "signs").mapInPandas(run, "field string, id bigint, text string")
 
     def noise(self) -> DataFrame:
         """(field, id, line_no, kind): kinds header, page_no, hyphen and misread, each line and kind once."""
         margin = self.pages.select("field", "id", F.posexplode("kinds").alias("line", "k")).where(f"k <> {TEXT}")
         margin = margin.select("field", "id", "line", F.expr(f"case k when {HEADER} then 'header' when {NUMBER} then 'page_no' end").alias("kind"))
-        joined = materialise(self.hyphens(), "hyphens")
+        joined, bad_words, bad_signs = self.found()
 
         @F.pandas_udf("array<int>")
         def wrong(word: pd.Series, true: pd.Series, lines: pd.Series) -> pd.Series:
@@ -422,8 +480,8 @@ class Scans:
                 out.append(sorted(hit))
             return pd.Series(out)
 
-        found = self.misread_words(joined).select("field", "id", F.explode(wrong("word", "meant", "lines")).alias("line"))
-        signs = self.misread_signs(joined).select("field", "id", "line")
+        found = bad_words.select("field", "id", F.explode(wrong("word", "meant", "lines")).alias("line"))
+        signs = bad_signs.select("field", "id", "line")
         misread = found.unionByName(signs).withColumn("kind", F.lit("misread"))
         hyphen = joined.select("field", "id", "line", F.lit("hyphen").alias("kind"))
         out = margin.unionByName(hyphen).unionByName(misread).distinct()
