@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 from lectern.llm.boost import Boost
-from lectern.llm.forms import fold, is_han, skeleton
+from lectern.llm.forms import LOOKALIKES, fold, is_han, skeleton
 
 TEXT, HEADER, NUMBER = 0, 1, 2
 #: A line that is a number and ornament, digits perhaps misread as letters.
@@ -40,7 +40,7 @@ class Page:
         self.lines = [fold(x.replace("­", "¬")).strip() for x in self.raw]
         self.titles = [title_key(t) for t in titles if t]
         self.repeats = repeats
-        self.numeric = [bool(x and NUMERIC.match(x)) for x in self.lines]
+        self.numeric = [bool(x and NUMERIC.match("".join(LOOKALIKES.get(c, c) for c in x))) for x in self.lines]
         self.sizes = [len(x) for x in self.lines if x]
         self.typical = float(np.median(self.sizes)) if self.sizes else 1.0
 
@@ -85,20 +85,20 @@ class Page:
             float(any(map(is_han, s))),
         ]
 
-    def kinds(self, model: tuple[Boost, Boost]) -> list[int]:
-        """TEXT, HEADER or NUMBER of each line; blank lines count as text."""
-        out = [TEXT] * len(self.lines)
-        shown = [i for i, s in enumerate(self.lines) if s]
-        if not shown:
-            return out
-        x = np.array([self.traits(i) for i in shown])
+
+def kinds_of(pages: list[Page], model: tuple[Boost, Boost]) -> list[list[int]]:
+    """TEXT, HEADER or NUMBER of each line of each page; blank lines count as text."""
+    shown = [(p, i) for p in pages for i, s in enumerate(p.lines) if s]
+    out = {id(p): [TEXT] * len(p.lines) for p in pages}
+    if shown:
+        x = np.array([p.traits(i) for p, i in shown])
         number, header = (m.predict(x) > 0.5 for m in model)
-        for k, i in enumerate(shown):
-            if self.numeric[i]:
-                out[i] = NUMBER if number[k] else TEXT
-            elif header[k] and len(self.lines[i]) < 120:
-                out[i] = HEADER
-        return out
+        for k, (p, i) in enumerate(shown):
+            if p.numeric[i]:
+                out[id(p)][i] = NUMBER if number[k] else TEXT
+            elif header[k] and len(p.lines[i]) < 120:
+                out[id(p)][i] = HEADER
+    return [out[id(p)] for p in pages]
 
 
 def ornaments(r: random.Random, han: bool) -> str:

@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from lectern.llm.boost import Boost
 from lectern.llm.common import spread
 from lectern.llm.forms import LOOKALIKES, fold, is_han
-from lectern.llm.furniture import HEADER, NUMBER, TEXT, Page, running, splits, train
+from lectern.llm.furniture import HEADER, NUMBER, TEXT, Page, kinds_of, running, splits, train
 from lectern.tables import materialise
 
 #: Rows of clean text and of clean words and windows that the models are trained on.
-SAMPLE_TEXTS, SAMPLE_WORDS, SAMPLE_WINDOWS = 600, 4000, 4000
+SAMPLE_TEXTS, SAMPLE_WORDS, SAMPLE_WINDOWS = 600, 2000, 6000
+#: Candidates of those words and windows that a model is trained on.
+SAMPLE_LESSONS = 60_000
 # What recognition is known to confuse (printed, read).
 CONFUSED = (
     "m:rn rn:m d:cl cl:d w:vv vv:w u:ii n:ri ri:n in:m m:in h:b b:h h:li li:h e:c c:e t:f f:t o:0 l:1 i:1 s:5 g:9 i:! l:! b:6 z:2 "
@@ -110,8 +112,9 @@ def word_candidates(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     spark = asked.sparkSession
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # few bytes, much work
     met = left.repartition(many, "gram").join(right.repartition(many, "gram"), "gram").where("meant <> own and meant <> word and abs(length(meant) - length(word)) <= 2")
+    near = F.when(F.length("word") <= 5, 2).when(F.length("word") <= 8, 3).otherwise(4)
     shared = met.repartition(many, "word").groupBy("word", "label", "own", "meant").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    return shared.where(F.col("shared") >= F.greatest(F.lit(2), F.ceil(F.length("word") / 3)))
+    return shared.where((F.col("shared") >= F.greatest(F.lit(2), F.ceil(F.length("word") / 3))) & (F.levenshtein("word", "meant") <= near))
 
 
 def word_traits(word: str, true: str, n: float, shared: float, odd: float, support: float) -> list[float]:
@@ -167,10 +170,11 @@ class Scans:
 
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                kinds = []
-                for text, titles, repeats in zip(batch["text"], batch["titles"], batch["repeats"]):
-                    page = Page(text, list(titles) if titles is not None else [], {x["key"]: (x["n"], x["all"]) for x in repeats} if repeats is not None else {})
-                    kinds.append(page.kinds(model.value))
+                pages = [
+                    Page(text, list(titles) if titles is not None else [], {x["key"]: (x["n"], x["all"]) for x in repeats} if repeats is not None else {})
+                    for text, titles, repeats in zip(batch["text"], batch["titles"], batch["repeats"])
+                ]
+                kinds = [k for at in range(0, len(pages), 1000) for k in kinds_of(pages[at : at + 1000], model.value)]
                 yield pd.DataFrame({"field": batch["field"], "id": batch["id"], "text": batch["text"], "kinds": kinds})
 
         return materialise(ready.mapInPandas(read, "field string, id bigint, text string, kinds array<int>"), "pages")
@@ -316,7 +320,8 @@ class Scans:
         met = materialise(met.withColumn("change", change("word", "meant")).where("change is not null").join(odd, ["word", "own"]), "candidates")
         support = met.where("instr(change, '|') = 0").groupBy("change").agg(F.countDistinct(F.when(F.col("label") != 0, F.col("word"))).alias("support"))
         met = met.join(support, "change", "left").fillna(0, ["support"])
-        lessons = met.where("label >= 0").join(lesson.select("word", "label", "source").distinct(), ["word", "label"]).select("*", F.expr("cast(label = 1 and meant = source as int)").alias("y")).toPandas()
+        lessons = met.where("label >= 0").join(lesson.select("word", "label", "source").distinct(), ["word", "label"]).select("word", "meant", "n", "shared", "odd", "support", F.expr("cast(label = 1 and meant = source as int)").alias("y"))
+        lessons = lessons.orderBy(F.xxhash64("word", "meant"), "word", "meant").limit(SAMPLE_LESSONS).toArrow().to_pandas()
         traits = lambda d: np.array([word_traits(*v) for v in zip(d["word"], d["meant"], d["n"], d["shared"], d["odd"], d["support"])], float).reshape(len(d), 12)
         model = Boost(rounds=80).fit(traits(lessons), lessons["y"].to_numpy(float))
 
@@ -364,11 +369,13 @@ class Scans:
             for batch in batches:
                 yield pd.DataFrame({"window": sorted({w for t in batch["text"] for p in re.split(r"\n\s*\n", t) for _, w in windows("".join(fold(x).strip() for x in p.split("\n")))})}, dtype=object)
 
-        some = self.clean.where("field is not null").orderBy(F.xxhash64("text"), "text").limit(4 * SAMPLE_TEXTS).select("text").mapInPandas(sample, "window string").distinct().orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS).collect()
-        made = []
-        for x in some:
-            w = x.window
-            made.append((w, 0, w[2]))
+        some = materialise(self.clean.orderBy(F.xxhash64("text"), "text").limit(4 * SAMPLE_TEXTS).select("text").mapInPandas(sample, "window string").distinct(), "windows")
+        pick = lambda df, n: [x.window for x in df.orderBy(F.xxhash64("window"), "window").limit(n).collect()]
+        # right windows that the clean texts know from one place only are what an unknown right window looks like; they
+        # are many to one among unknown windows, and so they are here
+        single = some.withColumn("third", F.substring("window", 2, 3)).join(thirds.where("n = 1"), "third", "left_semi")
+        made = [(w, 0, w[2]) for w in pick(single, SAMPLE_WINDOWS)]
+        for w in pick(some, SAMPLE_WINDOWS // 6):
             c = r.choice(ones) if ones and r.random() < 0.6 else chr(r.randrange(0x4E00, 0x9FA5))  # known or new to the clean texts
             if c != w[2]:
                 made.append((w[:2] + c + w[3:], 1, w[2]))
@@ -390,15 +397,16 @@ class Scans:
             met = met.withColumn("key", key).join(self.counted("1", "key", name), "key", "left").drop("key")
         # a right window is judged as if the clean texts lacked its one occurrence
         names = ["n_mid", "n_left", "n_right", "n_a", "n_one", "o_left", "o_mid", "o_right", "o_a", "o_b", "o_one"]
-        met = met.select("window", "label", "source", "meant", "seen", *[(own(F.col(c), 1) if c[0] == "o" else F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names]).where("o_mid = 0")
+        met = met.select("window", "label", "source", "meant", "seen", *[(own(F.col(c), 1) if c[0] == "o" else F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names]).where("o_mid = 0 and n_one > 0")
         met = materialise(met, "signs")
 
         def traits(d: pd.DataFrame) -> np.ndarray:
             x = np.log1p(d[names].to_numpy(float).reshape(len(d), len(names)))
             return np.column_stack([x, (x[:, :3] > 0).sum(1), (x[:, 5:8] > 0).sum(1), x[:, 3] - x[:, 8]])
 
-        lessons = met.where("label >= 0").toPandas()
-        model = Boost(rounds=80).fit(traits(lessons), ((lessons["label"] == 1) & (lessons["meant"] == lessons["source"])).to_numpy(float))
+        lessons = met.where("label >= 0").select(*names, F.expr("cast(label = 1 and meant = source as int)").alias("y"), F.xxhash64("window", "meant").alias("h"), "window", "meant")
+        lessons = lessons.orderBy("h", "window", "meant").limit(SAMPLE_LESSONS).drop("h", "window", "meant").toArrow().to_pandas()
+        model = Boost(rounds=80).fit(traits(lessons), lessons["y"].to_numpy(float))
 
         @F.pandas_udf("double")
         def rate(d: pd.DataFrame) -> pd.Series:
@@ -419,7 +427,7 @@ class Scans:
         # a sign that the clean texts lack and that was found misread time and again is so everywhere
         signs = unknown.withColumn("read", ch("window", 3)).join(self.counted("1", "read", "n"), "read", "left_anti")
         share = signs.groupBy("read").agg(F.count(F.lit(1)).alias("all")).join(found.groupBy("read").agg(F.count(F.lit(1)).alias("bad"), F.mode("meant").alias("meant")), "read")
-        strange = signs.join(share.where("bad >= 3 and bad >= 0.3 * all").select("read", "meant"), "read").select("window", "meant")
+        strange = signs.join(share.where("bad >= 3 and bad >= 0.15 * all").select("read", "meant"), "read").select("window", "meant")
         return found.select("window", "meant").unionByName(strange.join(found, "window", "left_anti"))
 
     def found(self) -> tuple[DataFrame, DataFrame, DataFrame]:
