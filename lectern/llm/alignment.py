@@ -140,7 +140,8 @@ class Pair:
         apart = np.abs(i[:, None] / max(1, self.n) - np.arange(self.m)[None] / max(1, self.m))
         if table is None:
             odds, more = 2.0 * self.kept(rows) - 25 * apart - 3 * np.abs(np.log(self.size_a[rows, None] / self.size_a.mean() * self.size_b.mean() / self.size_b[None])), ()
-            return _shares(odds, 1) * _shares(odds, 0), more
+            weight = _shares(odds, 1) * _shares(odds, 0)
+            return np.where(weight > 0.05, weight, 0), more
         s1, s2, more = self.scores(table, rows)
         odds = s1 + s2 + 2.0 * self.kept(rows)
         weight = _shares(odds, 1) * _shares(odds, 0)
@@ -243,7 +244,7 @@ def estimate(seen: DataFrame, rounds: int) -> tuple:
                     there.append(x)
                     back.append(y)
                     n += len(a)
-                    if n > 800_000:
+                    if n > 500_000:
                         yield flush()
                         n = 0
         if keys:
