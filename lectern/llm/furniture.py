@@ -193,7 +193,7 @@ def splits(page: Page, kinds: list[int]) -> list[tuple[int, int, str, str, str]]
     text = [i for i, s in enumerate(page.lines) if s and kinds[i] == TEXT]
     for a, b in zip(text, text[1:]):
         m = SIGN.search(page.lines[a])
-        n = re.match(r"[^\W_][\w!'’-]*", page.lines[b])
+        n = re.match(r"[^\W_](?:[\w!'’-]*[^\W_])?", page.lines[b])
         if m and n:
             left = re.search(r"[\w!'’-]+$", m[1])
             out.append((a, b, left[0], m[2], n[0]))

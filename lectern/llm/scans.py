@@ -225,8 +225,9 @@ class Scans:
 
         @F.pandas_udf("boolean")
         def divided(sign: pd.Series, n: pd.DataFrame) -> pd.Series:
-            x = np.column_stack([np.log1p(n.fillna(0).to_numpy(float)), ~sign.isin(["-", "‐", "‑"])])
-            return pd.Series(model.predict(x) > 0.5)
+            soft = ~sign.isin(["-", "‑"]).to_numpy()  # no compound is written with such a sign
+            x = np.column_stack([np.log1p(n.fillna(0).to_numpy(float)), soft])
+            return pd.Series((model.predict(x) > 0.5) | soft)
 
         decided = found.join(asked, ["last", "b", "word", "pair"]).where(divided("sign", F.struct(*traits)))
         return decided.select("field", "id", "line", "next", "word")
@@ -238,7 +239,8 @@ class Scans:
         pick = lambda what: [(x.item, x.n) for x in self.counts.where(F.col("what") == what).where("length(item) > 3").orderBy(F.xxhash64("item"), "item").limit(SAMPLE_WORDS).collect()]
         some = pick("w")
         known, x, y = dict(some), [], []
-        count = lambda w: np.log1p(known.get(w, 0))
+        seen = {x.item: x.n for x in self.counts.where("what = 'w'").where(F.col("item").isin(sorted({p for w, _ in pick("c") for p in w.split("-")}))).collect()}
+        count = lambda w: np.log1p(known.get(w, seen.get(w, 0)))
         for w, n in some:
             if w.isalpha():
                 k = r.randrange(2, len(w) - 1)
@@ -248,7 +250,7 @@ class Scans:
             a, _, b = w.rpartition("-")
             for _ in range(8):
                 full, left, right = r.random() < 0.85, count(a.split("-")[-1]), count(b)
-                x.append([0, np.log1p(n) if full else 0, left or r.choice([0, 1, 3]), right or r.choice([0, 1, 3]), 0])
+                x.append([0, np.log1p(n) if full else 0, left, right, 0])
                 y.append(0)
         return Boost(rounds=40).fit(np.array(x, float).reshape(len(x), 5), np.array(y))
 
