@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import search
+from lectern.operators import pipelines, search
 from lectern.operators import text as T
 from lectern.tables import table
 
@@ -106,11 +106,19 @@ def reflow_lines(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").where("text is not null").select("doc_id", T.reflow(F.split("text", "\n")).alias("text"))
 
 
+def ingest_chinese_books(spark: SparkSession, root: str) -> DataFrame:
+    """The Chinese texts of a book as its pages."""
+    rows = table(spark, root, "pairs_zh").where("zh is not null").select("book", F.col("pair_id").alias("page_no"), "zh").distinct()
+    heading = F.concat(F.lit("第"), (F.col("page_no") % 7 + 1).cast("string"), F.lit("章\n"), F.col("zh"))
+    rows = rows.select("book", "page_no", F.posexplode(F.split(heading, "\n")).alias("line_no", "line"))
+    return pipelines.ingest_chinese_book(rows, "book")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         nonblank_lines, find_lines, word_tokens, mixed_tokens, language_route, language_labels, token_chunks, term_statistics, bm25_topk_pooled, bm25_topk_per_doc,
-        bm25_topk_routed, heading_flags, cjk_pair_dedupe, cjk_join_breaks, leading_letters, chapter_number_fix, split_chapters_en, split_chapters_zh, reflow_lines,
+        bm25_topk_routed, heading_flags, cjk_pair_dedupe, cjk_join_breaks, leading_letters, chapter_number_fix, split_chapters_en, split_chapters_zh, reflow_lines, ingest_chinese_books,
     )
 }
 
