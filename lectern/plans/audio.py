@@ -122,11 +122,11 @@ QUERIES = {
 _FRAMES = "frames as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as f, event_type <> 'view' as s from events)"
 _CUTS = f"""{_FRAMES}, islands as (select *, count(*) filter (where s) over (partition by user_id order by f) as island from frames),
 runs as (select *, row_number() over (partition by user_id, island order by f) as r from islands where not s),
-cuts as (select user_id, f + 1 as cut_frame from runs where r % {NEEDED} = 0)"""
+cuts as (select user_id, cast(f + 1 as int) as cut_frame from runs where r % {NEEDED} = 0)"""
 _SEGMENTS = f"""{_CUTS}, totals as (select user_id, count(*) * {FRAME_MS} + 17 as total from frames group by user_id),
 starts as (select user_id, total, 0 as a from totals union all select user_id, total, cut_frame * {FRAME_MS} from cuts join totals using (user_id)),
 spans as (select user_id, least(a, total) as start_ms, least(coalesce(lead(a) over (partition by user_id order by a), total), total) as end_ms from starts),
-segs as (select user_id, row_number() over (partition by user_id order by start_ms) as seg_no, start_ms, end_ms from spans where end_ms > start_ms)"""
+segs as (select user_id, cast(row_number() over (partition by user_id order by start_ms) as int) as seg_no, start_ms, end_ms from spans where end_ms > start_ms)"""
 _LINES = rf"list_filter(list_transform(string_split_regex(en, '\r\n|\r|\n'), lambda x: regexp_replace(x, '\A[{X.SPACE}]+|[{X.SPACE}]+\z', '', 'g')), lambda x: length(x) > 0)"
 
 SQL = {
@@ -137,9 +137,9 @@ SQL = {
 walk as (select user_id, seg_no, 1 as out_no, start_ms, end_ms, start_ms as a, end_ms as b from segs where seg_no = 1
  union all select s.user_id, s.seg_no, case when w.b - w.a >= {MIN_MS} and s.end_ms - s.start_ms >= {MIN_MS} then w.out_no + 1 else w.out_no end, s.start_ms, s.end_ms,
  case when w.b - w.a >= {MIN_MS} and s.end_ms - s.start_ms >= {MIN_MS} then s.start_ms else w.a end, s.end_ms from walk w join segs s on s.user_id = w.user_id and s.seg_no = w.seg_no + 1)
-select user_id, out_no as seg_no, min(a) as start_ms, max(b) as end_ms from walk group by all""",
+select user_id, cast(out_no as bigint) as seg_no, min(a) as start_ms, max(b) as end_ms from walk group by all""",
     "transcript_segments": """select distinct audio_id, s.id as id, s."start" as "start", s."end" as "end", coalesce(s.text, '') as text from (select audio_id, unnest(segments) as s from transcripts)""",
-    "transcript_pack": """select audio_id, string_agg(coalesce(text, ''), '' order by id nulls first, "start" nulls first, "end" nulls first, text nulls first) as text, count(*) as n
+    "transcript_pack": """select audio_id, string_agg(coalesce(text, ''), '' order by id nulls first, "start" nulls first, "end" nulls first, text nulls first) as text, cast(count(*) as int) as n
 from (select distinct audio_id, id, "start", "end", text from segments) group by audio_id""",
     "chunk_names": r"select distinct chunk_file, cast(regexp_extract(chunk_file, 'chunk_(\d+)', 1) as int) as chunk_no, regexp_replace(chunk_file, '\.(wav|json)$', '_aligned.json') as output from transcripts",
     "pending_items": "select distinct book, chapter, chunk_file from transcripts t where not exists (select 1 from pairs_en p where p.target <> '' and p.book = t.book and p.chapter = t.chapter and p.chunk_file = t.chunk_file)",

@@ -128,12 +128,12 @@ def _trim(x: str) -> str:
 
 
 _LINES = rf"list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: {_trim('x')}), lambda x: length(x) > 0)"
-_NONBLANK = f"lines as (select doc_id, unnest(generate_series(1, len(ls))) as line_no, unnest(ls) as line from (select doc_id, {_LINES} as ls from documents where text is not null))"
+_NONBLANK = f"lines as (select doc_id, cast(unnest(generate_series(1, len(ls))) as int) as line_no, unnest(ls) as line from (select doc_id, {_LINES} as ls from documents where text is not null))"
 _EN = X.ENGLISH_TOKEN.replace("'", "''")
 _ZH = X.CHINESE_TOKEN.replace("'", "''").replace(r"\p{Is", r"\p{")
 _TOKENS = f"toks as (select doc_id, regexp_extract_all(text, '{_EN}') as t from documents where text is not null)"
 _CHUNKS = f"""{_TOKENS}, starts as (select doc_id, t, unnest(generate_series(0, len(t) - 1, 250)) as s from toks where len(t) > 0),
-chunks as (select doc_id, s // 250 as chunk_id, array_to_string(t[s + 1:s + 300], ' ') as text, regexp_extract_all(array_to_string(t[s + 1:s + 300], ' '), '{_EN}') as t from starts)"""
+chunks as (select doc_id, cast(s // 250 as int) as chunk_id, array_to_string(t[s + 1:s + 300], ' ') as text, regexp_extract_all(array_to_string(t[s + 1:s + 300], ' '), '{_EN}') as t from starts)"""
 _TERMS = "terms as (select * from (values ('signal', 1), ('station', 2), ('bridge', 1), ('the', 1)) as v(term, times))"
 
 
@@ -147,7 +147,7 @@ idf as (select scope, term, case when raw < 0 then 0.25 * (select avg(raw) from
 score as (select sized.scope, sized.doc_id, sized.chunk_id, sized.text, coalesce(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 0) as score
  from sized join totals using (scope) left join (tf join terms using (term) join idf using (scope, term)) on tf.doc_id = sized.doc_id and tf.chunk_id = sized.chunk_id
  group by all),
-ranked as (select *, row_number() over (partition by scope order by round(score, 9) desc, doc_id, chunk_id) as rank from score)"""
+ranked as (select *, cast(row_number() over (partition by scope order by round(score, 9) desc, doc_id, chunk_id) as int) as rank from score)"""
 
 
 _IDEO = X.IDEOGRAPHS
@@ -160,20 +160,20 @@ _MERGE_MARKS = "".join("\\" + c if c in "[]^-" else c for c in X.END_MARKS)
 SQL = {
     "nonblank_lines": f"with {_NONBLANK} select doc_id, line_no, line from lines",
     "find_lines": f"with {_NONBLANK} select doc_id, line_no, line from lines where contains(line, 'signal')",
-    "word_tokens": f"with {_TOKENS} select doc_id, unnest(generate_series(0, len(t) - 1)) as pos, unnest(t) as token from toks",
+    "word_tokens": f"with {_TOKENS} select doc_id, cast(unnest(generate_series(0, len(t) - 1)) as int) as pos, unnest(t) as token from toks",
     "mixed_tokens": rf"select distinct pair_id, array_to_string(list_transform(list_filter(list_concat(regexp_extract_all(zh, '{_ZH}'), regexp_extract_all(zh, '{_EN}')), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}_]')), lambda x: {_trim('x')}), '|') as tokens from pairs_zh where zh is not null",
     "language_route": rf"""with m as (select doc_id, text, length(text) - length(regexp_replace(text, '[{_IDEO}]', '', 'g')) as han, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) as letters,
 list_filter(string_split(lower(text), ' '), lambda x: length(x) > 0) as w from documents),
 l as (select doc_id, case when coalesce(letters, 0) = 0 then 'unknown' when han * 10 > letters * 3 then 'zh' when len(list_filter(w, lambda x: x in {X.ENGLISH_WORDS})) * 12 >= len(w) then 'en' else 'unknown' end as language from m)
 select doc_id, language, case language when 'en' then 'english' when 'zh' then 'chinese' else 'mixed' end as tokenizer from l""",
     "language_labels": "select lang, case when lower(lang) = 'en' then 'english' when lower(lang) like 'zh%' then 'chinese' else 'mixed' end as tokenizer, count(*) as n from documents group by all",
-    "token_chunks": f"with {_CHUNKS} select doc_id, chunk_id, len(t) as n_tokens, left(text, 300) || '...' as snippet from chunks",
+    "token_chunks": f"with {_CHUNKS} select doc_id, chunk_id, cast(len(t) as int) as n_tokens, left(text, 300) || '...' as snippet from chunks",
     "term_statistics": f"with {_bm25('0')} select term, round(idf, 6) as idf from idf",
     "bm25_topk_pooled": f"with {_bm25('0')} select rank, doc_id, chunk_id, round(score, 6) as score, left(text, 300) || '...' as text from ranked where rank <= 5",
     "bm25_topk_per_doc": f"with {_bm25('doc_id')} select doc_id, rank, chunk_id, round(score, 6) as score from ranked where rank <= 5",
     "heading_flags": rf"with {_NONBLANK} select doc_id, line_no, regexp_matches(line, '\A第[{X.HEADING_NUMERALS}]+章') as heading, nullif(regexp_extract(line, '\A第{_S}*(\p{{Nd}}+){_S}*章', 1), '') as number, not regexp_matches(line, '[{_MERGE_MARKS}]\z') as goes_on from lines",
     "cjk_pair_dedupe": rf"""with r as (select distinct pair_id, zh from pairs_zh where zh is not null),
-l as (select pair_id, unnest(generate_series(0, len(string_split(zh, chr(10))) - 1)) as line_no, unnest(string_split(zh, chr(10))) as raw from r),
+l as (select pair_id, cast(unnest(generate_series(0, len(string_split(zh, chr(10))) - 1)) as int) as line_no, unnest(string_split(zh, chr(10))) as raw from r),
 p as (select *, list_transform(generate_series(1, greatest(length(raw) - 1, 1), 2), lambda i: substring(raw, i, 2)) as pairs from l),
 q as (select *, len(list_filter(pairs, lambda x: regexp_matches(x, '[{_IDEO}]'))) as total, len(list_filter(pairs, lambda x: length(x) = 2 and x[1] = x[2] and regexp_matches(x[1], '[{_IDEO}]'))) as twice from p)
 select pair_id, line_no, case when length(raw) > 1 and total > 0 and twice / total >= 0.6 and not regexp_matches({_trim('raw')}, '\A第\p{{Nd}}+章\z')
@@ -182,12 +182,12 @@ from q where raw <> ''""",
     "cjk_join_breaks": rf"""select distinct pair_id, regexp_replace(regexp_replace(zh, '([\x{{4e00}}-\x{{9fff}}]){_S}*\n{_S}*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g'), '([\x{{4e00}}-\x{{9fff}}]){_S}*\n{_S}*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g') as zh from pairs_zh where zh is not null""",
     "leading_letters": "select distinct pair_id, " + _INITIALS % r"regexp_replace(target, '(?m)^([A-Z])([a-z])', '\1 \2', 'g')" + " as target from pairs_en where target is not null",
     "chapter_number_fix": rf"""with t as (select doc_id, string_split(regexp_replace(text, '第([0-9]+)章', '\1' || chr(10) || '第  章', 'g'), chr(10)) as ls from documents where lang like 'zh%' and text is not null),
-l as (select doc_id, unnest(generate_series(0, len(ls) - 1)) as line_no, unnest(ls) as line from t),
+l as (select doc_id, cast(unnest(generate_series(0, len(ls) - 1)) as int) as line_no, unnest(ls) as line from t),
 m as (select *, {_trim('line')} as bare, {_trim("replace(line, ' ', '')")} = '第章' as broken from l),
 w as (select *, coalesce(lead(broken) over (partition by doc_id order by line_no), false) as next, coalesce(regexp_matches(lag(bare) over (partition by doc_id order by line_no), '\A\p{{Nd}}+\z'), false) as before from m)
 select doc_id, line_no, case when regexp_matches(bare, '\A\p{{Nd}}+\z') and next then '第' || bare || '章' else line end as line from w where not (broken and before)""",
     "split_chapters_en": rf"""with p as (select doc_id, string_split(regexp_replace(text, '{_EN_HEADING}', chr(1) || '\0', 'g'), chr(1)) as ps from documents where text is not null),
-e as (select doc_id, unnest(generate_series(0, len(ps) - 1)) as chapter_no, unnest(ps) as text from p)
+e as (select doc_id, cast(unnest(generate_series(0, len(ps) - 1)) as int) as chapter_no, unnest(ps) as text from p)
 select doc_id, chapter_no, {_INITIALS % "regexp_replace(text, '^\\n+', '')"} as text from e where chapter_no > 0""",
     "split_chapters_zh": rf"""with t as (select doc_id, regexp_extract_all(text, '(?s)[^{_TERMINATORS}]*(?:\r\n|[{_TERMINATORS}])|[^{_TERMINATORS}]+') as ls from documents where text <> ''),
 l as (select doc_id, unnest(generate_series(1, len(ls))) as n, unnest(ls) as line from t),
