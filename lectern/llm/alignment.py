@@ -24,7 +24,7 @@ from lectern.llm.forms import fold, is_han
 from lectern.tables import materialise
 
 #: Cells that tokens of a language are hashed into.
-CELLS = 4096
+CELLS = 3072
 #: Share of the background in the probability of a token, and the least probability that a table keeps.
 BACKGROUND, LEAST = 0.15, 1e-3
 #: Lines of the first language that are held against all of the second at a time.
@@ -71,12 +71,18 @@ def lines(text: str | None) -> list[str]:
     return [x for x in (text or "").split("\n") if any(not c.isspace() for c in fold(x))]
 
 
+#: The probability of each step.
+STEPS = np.concatenate([[0], LEAST ** ((255 - np.arange(1, 256)) / 254)]).astype(np.float32)
+
+
 class Table:
     """p(second | first) and p(first | second) by cells, and the shares of the cells."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray, there: np.ndarray, back: np.ndarray, share_first: np.ndarray, share_second: np.ndarray) -> None:
-        self.there, self.back = np.zeros((CELLS, CELLS), np.float16), np.zeros((CELLS, CELLS), np.float16)
-        self.there[first, second], self.back[first, second] = there, back
+        # probabilities as steps of a logarithmic scale from LEAST to 1, a byte each; step 0 is none
+        self.there, self.back = np.zeros((CELLS, CELLS), np.uint8), np.zeros((CELLS, CELLS), np.uint8)
+        for steps, p in ((self.there, there), (self.back, back)):
+            steps[first, second] = np.where(p > LEAST / 2, np.clip(255 - 254 * np.log(np.maximum(p, LEAST)) / np.log(LEAST), 1, 255), 0)
         self.share_first, self.share_second = share_first, share_second
 
 
@@ -126,7 +132,7 @@ class Pair:
     def scores(self, table: Table, rows: slice) -> tuple[np.ndarray, np.ndarray, tuple]:
         """Log likelihood ratios of each second line given each first one of ``rows``, and the other way."""
         pick = np.ix_(self.cells_a, self.cells_b)
-        there, back = table.there[pick].astype(np.float32), table.back[pick].astype(np.float32)
+        there, back = STEPS[table.there[pick]], STEPS[table.back[pick]]
         a = self.a[rows]
         q1 = (a / self.size_a[rows, None]) @ there
         q2 = (self.b / self.size_b[:, None]) @ back.T
@@ -141,7 +147,7 @@ class Pair:
         if table is None:
             odds, more = 2.0 * self.kept(rows) - 25 * apart - 3 * np.abs(np.log(self.size_a[rows, None] / self.size_a.mean() * self.size_b.mean() / self.size_b[None])), ()
             weight = _shares(odds, 1) * _shares(odds, 0)
-            return np.where(weight > 0.05, weight, 0), more
+            return np.where(weight > 0.1, weight, 0), more
         s1, s2, more = self.scores(table, rows)
         odds = s1 + s2 + 2.0 * self.kept(rows)
         weight = _shares(odds, 1) * _shares(odds, 0)
@@ -164,7 +170,7 @@ class Pair:
                     there * ((a / self.size_a[rows, None]).T @ ((w @ self.b) / np.maximum(q1, 1e-9))),
                     back * (((w.T @ a) / np.maximum(q2, 1e-9)).T @ (self.b / self.size_b[:, None])),
                 )
-            x, y = np.nonzero((both[0] > 1e-3) | (both[1] > 1e-3))
+            x, y = np.nonzero((both[0] > 3e-3) | (both[1] > 3e-3))
             yield self.cells_a[x], self.cells_b[y], both[0][x, y], both[1][x, y]
 
     def links(self, table: Table, least: float, gain: float) -> list[tuple[int, int, float]]:
@@ -228,27 +234,15 @@ def estimate(seen: DataFrame, rounds: int) -> tuple:
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Table(*held.value) if held is not None else None
-        keys, there, back, n = [], [], [], 0
-
-        def flush() -> pd.DataFrame:
-            key, place = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = [np.bincount(place, np.concatenate(x), len(key)) for x in (there, back)]
-            for x in (keys, there, back):
-                x.clear()
-            return pd.DataFrame({"a": key // CELLS, "b": key % CELLS, "there": sums[0], "back": sums[1]})
-
+        there, back = np.zeros((CELLS, CELLS), np.float32), np.zeros((CELLS, CELLS), np.float32)
         for batch in batches:
             for _, pair in _pairs(batch):
-                for a, b, x, y in pair.expected(table):
-                    keys.append(a * CELLS + b)
-                    there.append(x)
-                    back.append(y)
-                    n += len(a)
-                    if n > 500_000:
-                        yield flush()
-                        n = 0
-        if keys:
-            yield flush()
+                for a, b, x, y in pair.expected(table):  # no cell comes twice within a pair
+                    there[a, b] += x
+                    back[a, b] += y
+        for a in range(0, CELLS, 128):
+            x, y = np.nonzero(there[a : a + 128] + back[a : a + 128])
+            yield pd.DataFrame({"a": x + a, "b": y, "there": there[x + a, y], "back": back[x + a, y]})
 
     for _ in range(rounds):
         counts = materialise(seen.mapInPandas(expect, "a int, b int, there double, back double").groupBy("a", "b").agg(F.sum("there").alias("there"), F.sum("back").alias("back")), "counts")
@@ -269,7 +263,7 @@ def estimate(seen: DataFrame, rounds: int) -> tuple:
     return held
 
 
-def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 4, least: float = 0.85, gain: float = 0.25) -> DataFrame:
+def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 3, least: float = 0.85, gain: float = 0.25) -> DataFrame:
     """(id, first_no, second_no, score): the linked lines of each pair of texts, numbered from 1 without blank lines.
 
     Null and empty sides give no row, nor do lines without a counterpart; a line that renders several gives one row for
