@@ -25,11 +25,12 @@ def title_key(line: str) -> str:
 
 
 def alike(a: str, b: str) -> float:
-    """Share of common pairs of characters (Dice)."""
+    """Share of common pairs of characters (Dice), or of equal places where the lengths are equal, if that is more."""
     if not a or not b or not 0.6 < len(a) / len(b) < 1.7:
         return 0.0
+    places = sum(map(str.__eq__, a, b)) / len(a) if len(a) == len(b) else 0.0
     x, y = {a[i : i + 2] for i in range(len(a) - 1)}, {b[i : i + 2] for i in range(len(b) - 1)}
-    return 2 * len(x & y) / max(1, len(x) + len(y))
+    return max(places, 2 * len(x & y) / max(1, len(x) + len(y)))
 
 
 class Page:
@@ -116,7 +117,7 @@ def heads(r: random.Random, title: str, han: bool) -> str:
     if r.random() < 0.15:
         return chapter
     t = title if han else r.choice([title.title(), title.upper()])
-    if r.random() < 0.25 and t:
+    if r.random() < 0.4 and t:
         k = r.randrange(len(t))
         t = t[:k] + r.choice("旳倍赂般囤" if han else "ecl1iibhCF5") + t[k + 1 :]
     if han and r.random() < 0.3:
@@ -171,7 +172,7 @@ def train(sample: list[tuple[str, str]], titles: list[str], seed: int = 7) -> tu
         page[at:at] = margin
         known = r.random()
         often = lambda *n: (lambda a, b: (a, max(a, b)))(r.choice([1, *n]), r.choice([2, *n]))
-        repeats = {title_key(x): often(2, 3, 5, 9, 40) for x, k in margin if k == HEADER} if known < 0.9 else {}
+        repeats = {title_key(x): often(2, 3, 5, 9, 40) for x, k in margin if k == HEADER} if known < 0.65 else {}
         for x, k in page:  # lines of the text may recur in a book as well
             if k == TEXT and x and (x[-1] in ":：" and r.random() < 0.7 or r.random() < 0.08):
                 repeats[title_key(x)] = often(1, 2, 3, 6, 20)
