@@ -65,6 +65,8 @@ _FOLD = _Memo(fold_char)
 
 def fold(text: str) -> str:
     """``text`` with every character folded, composed. Line breaks and the number of spaces stay."""
+    if text.isascii():
+        return text
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(_FOLD))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import spread
-from lectern.llm.forms import fold, is_han
+from lectern.llm.forms import fold
 from lectern.tables import materialise
 
 STATES = ("prose", "links", "tags", "menu")
@@ -30,8 +30,10 @@ WORDS = frozenset(
     der die das und ist nicht ein eine den dem von zu mit auf im hat am el la los las de que y en un una con del por se no es
     le les des et du une dans ने का की के में से है को और था थी पर कि यह""".split()
 )
-PARTICLES = frozenset("的了在是和着把也不没那这有一个就都与被从到里")
+PARTICLE = re.compile("[的了在是和着把也不没那这有一个就都与被从到里]")
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b[\w-]+\.(?:com|org|net|info|biz|example|test|invalid)\b\S*", re.I)
+DOMAIN = re.compile(r"www\.|\.(?:com|org|net|info|biz|example|test|invalid)\b", re.I)
+HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003fffd]+")
 MARKUP = re.compile(r"<a\s|</a>|href=|\]\(|\[url", re.I)
 TAG = re.compile(r"(?:^|\s)(?:#\w|tags?:)", re.I)
 SPLIT = re.compile(r"[,;|/、，；•»→#]|\s[-–·]\s")
@@ -71,51 +73,60 @@ def units(text: str) -> list[str]:
 
 def traits(unit: str) -> list[int]:
     """The value of each trait, in the order of TRAITS."""
-    seen = len(re.sub(r"\s", "", unit)) or 1
-    addresses = sum(len(m) for m in ADDRESS.findall(unit)) / seen
-    rest = ADDRESS.sub(" ", unit)
+    seen = visible(unit) or 1
+    linked = "/" in unit or "." in unit and DOMAIN.search(unit) is not None
+    addresses = sum(map(len, ADDRESS.findall(unit))) / seen if linked else 0.0
+    rest = ADDRESS.sub(" ", unit) if linked else unit
     tokens = TOKEN.findall(rest)
-    ends = bool(END.search(rest))
+    ends = END.search(rest) is not None
     letters = "".join(tokens).casefold()
-    han = sum(map(is_han, letters))
-    chinese = han * 2 > len(letters)
-    tagged = len(TAG.findall(unit)) / max(1, 1 if chinese and not tokens else len(tokens))
-    segments = [s for s in map(str.strip, SPLIT.split(rest)) if s]
-    size = np.mean([len(s) / 2.5 if chinese else len(TOKEN.findall(s)) for s in segments]) if segments else 0
-    listed = 0 if ends or len(segments) < 3 or size > 3.5 else 1 if len(segments) < 6 else 2
+    chinese = not letters.isascii() and len(HAN.sub("", letters)) * 2 < len(letters)
+    tagged = len(TAG.findall(unit)) / max(1, len(tokens)) if "#" in unit or "tag" in unit.lower() else 0.0
+    listed = 0
+    if not ends:
+        segments = [x for x in map(str.strip, SPLIT.split(rest)) if x]
+        if len(segments) >= 3:
+            size = sum(len(x) / 2.5 if chinese else len(x.split()) for x in segments) / len(segments)
+            listed = 0 if size > 3.5 else 1 if len(segments) < 6 else 2
     n = 3 if chinese else 5
     if len(letters) < (24 if chinese else 40):
         repeats = 0
+    elif not chinese and len(tokens) > 8 and max(map(len, tokens)) <= 16 and len(set(tokens)) >= 0.75 * len(tokens):
+        repeats = 1  # words of common length, few of them twice
     else:
         grams = len(letters) - n + 1
         distinct = len({letters[i : i + n] for i in range(grams)}) / grams
         repeats = 1 if distinct >= 0.75 else 2 if distinct >= 0.5 else 3
     if chinese:
-        function = sum(c in PARTICLES for c in letters) / max(1, len(letters)) >= 0.05
+        function = len(PARTICLE.findall(letters)) >= 0.05 * len(letters)
     else:
-        function = sum(t.casefold() in WORDS for t in tokens) / max(1, len(tokens)) >= 0.12
+        function = bool(tokens) and sum(t.casefold() in WORDS for t in tokens) >= 0.12 * len(tokens)
     return [
         0 if not addresses else 1 if addresses < 0.25 else 2,
-        int(bool(MARKUP.search(unit))),
+        int(("<" in unit or "](" in unit or "[" in unit) and MARKUP.search(unit) is not None),
         0 if not tagged else 1 if tagged < 0.3 else 2,
         listed,
         repeats,
         int(ends),
-        int(bool(PRICE.search(unit))),
+        int(PRICE.search(unit) is not None),
         int(function),
     ]
 
 
+def visible(unit: str) -> int:
+    return sum(map(len, unit.split()))
+
+
 def codes(text: str) -> tuple[list[int], list[int]]:
     """A mixed-radix code of the traits of each unit, and its visible characters."""
-    code, visible = [], []
+    code, shown = [], []
     for u in units(text):
         c = 0
         for value, size in zip(traits(u), SIZES):
             c = c * size + value
         code.append(c)
-        visible.append(len(re.sub(r"\s", "", u)))
-    return code, visible
+        shown.append(visible(u))
+    return code, shown
 
 
 class Model:
