@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions import text as X
+from lectern.tables import materialise
 
 
 def reference_window(lines: Column, chunk_no: Column, n_chunks: Column, offset: int = 50) -> Column:
@@ -240,8 +241,9 @@ def dead_letters(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def align_and_verify(chunks: DataFrame, least: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Accepted, rejected and failed rows of chunks with ``source`` and ``reference``."""
-    aligned = run_model(chunks, SpanAligner, "target")
+    """Accepted, rejected and failed rows of chunks with ``source`` and ``reference``. Each model runs once per row: its
+    output is written before it is told apart."""
+    aligned = materialise(run_model(chunks, SpanAligner, "target"), "aligned")
     fine, failed = dead_letters(aligned, [c for c in chunks.columns if c not in ("source", "reference")])
-    judged = run_model(fine, lambda: Verifier(least), "decision").drop("error")
+    judged = materialise(run_model(fine, lambda: Verifier(least), "decision").drop("error"), "judged")
     return judged.where(accepted(F.col("decision"))), judged.where(~accepted(F.col("decision"))), failed

@@ -27,7 +27,9 @@ class Bm25Index:
     ``chunks``: rows (corpus, chunk_id, text, tokens). A corpus without chunks simply has no rows."""
 
     def __init__(self, chunks: DataFrame, pooled: bool = False) -> None:
-        self.chunks = chunks.withColumn("scope", F.lit(0) if pooled else F.col("corpus"))
+        # one scope for all is no literal: joins on it stay equi-joins instead of becoming cross joins
+        self.pooled = pooled
+        self.chunks = chunks.withColumn("scope", F.pmod(F.xxhash64("corpus"), F.lit(1)).cast("int") if pooled else F.col("corpus"))
         sized = self.chunks.select("scope", "corpus", "chunk_id", F.size("tokens").alias("dl"))
         self.sizes = sized
         self.totals = sized.groupBy("scope").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
@@ -52,6 +54,9 @@ class Bm25Index:
         parts = parts.withColumn("part", F.expr(f"times * idf * tf * ({K1}D + 1) / (tf + {K1}D * (1 - {B}D + {B}D * dl / avgdl))"))
         scores = parts.groupBy("scope", "corpus", "chunk_id").agg(F.sum("part").alias("score"))
         every = self.sizes.select("scope", "corpus", "chunk_id").join(scores, ["scope", "corpus", "chunk_id"], "left").fillna(0.0, ["score"])
-        best = Window.partitionBy("scope").orderBy(F.desc(F.round("score", 9)), "corpus", "chunk_id")
+        order = [F.desc(F.round("score", 9)), F.asc("corpus"), F.asc("chunk_id")]
+        if self.pooled:  # each task keeps its best, one task merges them
+            every = every.orderBy(*order).limit(top_k)
+        best = Window.partitionBy("scope").orderBy(*order)
         top = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
         return top.join(self.chunks.select("scope", "corpus", "chunk_id", X.snippet(F.col("text")).alias("text")), ["scope", "corpus", "chunk_id"]).select("scope", "rank", "corpus", "chunk_id", "score", "text")
