@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spread
+from lectern.llm.common import key, keyed, spread
 from lectern.llm.forms import fold, is_han
 from lectern.tables import materialise
 
@@ -270,8 +270,6 @@ def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 3,
     each. Repeated rows count once, rows of one id with different texts one by one. Further columns are not read; an
     empty table gives none. Pairs are learnt from and linked whole.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sides = {"id": batch["id"]}
@@ -281,8 +279,8 @@ def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 3,
                     sides[column] = [x[k] for x in packed]
             yield pd.DataFrame(sides)
 
-    rows = spread(df.select(F.col(id_col).alias("id"), F.col(first).alias("a"), F.col(second).alias("b")).where("length(a) > 0 and length(b) > 0").distinct())
-    seen = materialise(rows.mapInPandas(read, f"id {kind}, a binary, size_a binary, kept_a string, b binary, size_b binary, kept_b string"), "lines")
+    rows = spread(df.select(key(df, id_col, "id"), F.col(first).alias("a"), F.col(second).alias("b")).where("length(a) > 0 and length(b) > 0").distinct())
+    seen = materialise(rows.mapInPandas(read, "id string, a binary, size_a binary, kept_a string, b binary, size_b binary, kept_b string"), "lines")
     held = estimate(seen, rounds)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,4 +291,4 @@ def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 3,
             found = [(ids[k], i + 1, j + 1, s) for k, pair in _pairs(batch) for i, j, s in pair.links(table, least, gain)]
             yield pd.DataFrame(found, columns=["id", "first_no", "second_no", "score"])
 
-    return seen.mapInPandas(link, f"id {kind}, first_no bigint, second_no bigint, score double").withColumnRenamed("id", id_col)
+    return keyed(seen.mapInPandas(link, "id string, first_no bigint, second_no bigint, score double"), df, id_col, "id")

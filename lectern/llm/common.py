@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -10,3 +11,13 @@ def spread(df: DataFrame) -> DataFrame:
     a larger one stays as it was read, without a shuffle."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def key(df: DataFrame, column: str, alias: str) -> Column:
+    """A key column as text for the way through Python: whole numbers beside nulls would become floats there."""
+    return F.col(column).cast("string").alias(alias)
+
+
+def keyed(out: DataFrame, df: DataFrame, column: str, alias: str) -> DataFrame:
+    """``out`` with the key in the type and under the name that it has in ``df``."""
+    return out.withColumn(alias, F.col(alias).cast(df.schema[column].dataType)).withColumnRenamed(alias, column)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spread
+from lectern.llm.common import key, keyed, spread
 
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pattern by which byte-level tokenizers of this family cut texts.
@@ -188,6 +188,5 @@ def encode(df: DataFrame, id_col: str, text: str, path: str = BYTE_BPE_50K) -> D
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "ids": encoder(path).encode([t if isinstance(t, str) else None for t in batch["text"]])})
 
-    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
-    kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    rows = spread(df.select(key(df, id_col, "id"), F.col(text).alias("text")))
+    return keyed(rows.mapInPandas(run, "id string, ids array<int>"), df, id_col, "id")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spread
+from lectern.llm.common import key, keyed, spread
 from lectern.llm.forms import is_han, skeleton
 
 #: Characters of item text that one automaton holds; more items are met in further passes.
@@ -134,10 +134,10 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     documents being passed once per block: nothing unbounded is broadcast.
     """
     spark = docs.sparkSession
-    kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    item_kind = items.schema[item_id].dataType.simpleString()
     wanted = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
-    rows = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text is not null and length(text) > 0"))
-    schema = f"doc {kind}, item {item_kind}, distance int"
+    rows = spread(docs.select(key(docs, doc_id, "doc"), F.col(text).alias("text")).where("text is not null and length(text) > 0"))
+    schema = f"doc string, item {item_kind}, distance int"
     total = wanted.agg(F.sum(F.length("t")), F.max(F.length("t"))).first()
     blocks = max(1, -(-2 * (total[0] or 0) // max(1, block_chars)))
     out = None
@@ -153,4 +153,4 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
         part = rows.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out.withColumnsRenamed({"doc": doc_id, "item": item_id})
+    return keyed(out.withColumnRenamed("item", item_id), docs, doc_id, "doc")

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spread
+from lectern.llm.common import key, keyed, spread
 from lectern.llm.forms import LOOKALIKES, fold
 from lectern.tables import materialise
 
@@ -75,15 +75,13 @@ def consistent_forms(df: DataFrame, id_col: str, text: str) -> DataFrame:
     token is repaired wherever its plain form stands in any text. Line breaks, marks, digits and the number of spaces
     are kept. Further columns are not read; an empty table gives none.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [look(t) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "text": batch["text"], "form": [f[0] for f in found], "suspects": [f[1] for f in found], "words": [f[2] for f in found]})
 
-    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").distinct())
-    seen = materialise(rows.mapInPandas(run, f"id {kind}, text string, form string, suspects array<struct<token:string,fixed:string,rank:int>>, words array<string>"), "forms")
+    rows = spread(df.select(key(df, id_col, "id"), F.col(text).alias("text")).where("text is not null").distinct())
+    seen = materialise(rows.mapInPandas(run, "id string, text string, form string, suspects array<struct<token:string,fixed:string,rank:int>>, words array<string>"), "forms")
     asked = seen.where("size(suspects) > 0").select(F.inline("suspects")).distinct()
     words = seen.select(F.explode("words").alias("fixed")).distinct()
     known = asked.join(words, "fixed", "left_semi").groupBy("token").agg(F.min_by("fixed", "rank").alias("fixed"))
@@ -102,7 +100,7 @@ def consistent_forms(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
     mended = dirty.join(fixes.drop("id"), "row", "left").select("id", "text", mend("form", "fixes").alias("form"))
     out = seen.where("size(suspects) = 0").select("id", "text", "form").unionByName(mended)
-    return out.withColumnsRenamed({"id": id_col, "text": text} if text != id_col else {"id": id_col})
+    return keyed(out.withColumnRenamed("text", text), df, id_col, "id")
 
 
 def same_texts(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spread
+from lectern.llm.common import key, keyed, spread
 from lectern.llm.forms import fold
 from lectern.tables import materialise
 
@@ -269,15 +269,13 @@ def label_pages(df: DataFrame, id_col: str, text: str, rounds: int = 2) -> DataF
     Null, empty and blank texts have 0 visible characters. Repeated rows give repeated rows, an empty table none;
     further columns are not read. Whole texts are labelled, and the model is fitted to all of them.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             both = [codes(t) if isinstance(t, str) else ([], []) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "codes": [b[0] for b in both], "visible": [b[1] for b in both]})
 
-    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
-    seen = materialise(rows.mapInPandas(extract, f"id {kind}, codes array<int>, visible array<int>"), "pages")
+    rows = spread(df.select(key(df, id_col, "id"), F.col(text).alias("text")))
+    seen = materialise(rows.mapInPandas(extract, "id string, codes array<int>, visible array<int>"), "pages")
     model = fit(seen, rounds)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,5 +288,5 @@ def label_pages(df: DataFrame, id_col: str, text: str, rounds: int = 2) -> DataF
                 total = sums.sum(1)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "visible": total, "nonprose": 1 - sums[:, 0] / np.maximum(total, 1), "links": sums[:, 1], "tags": sums[:, 2], "menu": sums[:, 3]})
 
-    out = seen.mapInPandas(label, f"id {kind}, visible bigint, nonprose double, links bigint, tags bigint, menu bigint")
-    return out.withColumnRenamed("id", id_col)
+    out = seen.mapInPandas(label, "id string, visible bigint, nonprose double, links bigint, tags bigint, menu bigint")
+    return keyed(out, df, id_col, "id")

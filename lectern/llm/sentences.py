@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spread
+from lectern.llm.common import key, keyed, spread
 from lectern.llm.forms import LOOKALIKES, fold_char, is_han
 
 # Abbreviations before a name or word, before a number, and those that may also end a sentence.
@@ -254,12 +254,10 @@ def split_sentences(df: DataFrame, id_col: str, text: str) -> DataFrame:
     Null, empty and blank texts have none. Repeated rows give repeated rows, an empty table none; further columns are
     not read. A text is read whole, in time linear in its length.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(i, n, e) for i, t in zip(batch["id"], batch["text"]) for n, e in enumerate(sentence_ends(t), 1)]
             yield pd.DataFrame(found, columns=["id", "sent_no", "end_pos"])
 
-    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("length(text) > 0"))
-    return rows.mapInPandas(run, f"id {kind}, sent_no bigint, end_pos bigint").withColumnRenamed("id", id_col)
+    rows = spread(df.select(key(df, id_col, "id"), F.col(text).alias("text")).where("length(text) > 0"))
+    return keyed(rows.mapInPandas(run, "id string, sent_no bigint, end_pos bigint"), df, id_col, "id")
