@@ -59,6 +59,23 @@ def parse_reply(raw: Column, schema: str = "think string, target string", repair
     return F.from_json(strict_json(span if not repair else lenient_json(span)), schema)
 
 
+def prompt(instruction: str, **fields: Column) -> Column:
+    """An instruction and, below it, the fields as one JSON object, so that no text can break out of its place."""
+    return F.concat(F.lit(instruction + "\n"), to_object(**fields))
+
+
+def to_object(**fields: Column) -> Column:
+    """The fields as a JSON object, characters as they are, nulls written out."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
+
+
+def merge_reply(df: DataFrame, reply: str, trusted: list[str]) -> DataFrame:
+    """The fields of a reply (a struct column) beside the rows' own columns, of which the trusted ones win over what the
+    model wrote under their names; a reply that is null leaves its fields null."""
+    fields = [f.name for f in df.schema[reply].dataType.fields if f.name not in trusted]
+    return df.select(*[c for c in df.columns if c != reply and c not in fields], *[F.col(reply)[f].alias(f) for f in fields])
+
+
 def mend_json(raw: str | None) -> str | None:
     """Strict JSON of one object written loosely: single quotes, bare keys, trailing commas, comments, missing ends.
     Null for null and for what cannot be mended."""

@@ -111,11 +111,30 @@ def parse_replies(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "events").select("event_id", found["think"].alias("think"), found["target"].alias("target"))
 
 
+def pair_json(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "pairs_en").select("pair_id", "chunk_file", "source", "target").distinct()
+    return rows.select("pair_id", A.to_object(chunk_file=F.col("chunk_file"), source=F.col("source"), target=F.col("target")).alias("pair"))
+
+
+def prompts(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "pairs_en").select("pair_id", "source", "target").distinct()
+    return rows.select("pair_id", A.prompt("Say whether the target renders the source.", source=F.col("source"), target=F.col("target")).alias("prompt"))
+
+
+def chinese_replies(spark: SparkSession, root: str) -> DataFrame:
+    """Replies that carry wrong names and source texts around the Chinese text: the input's own are kept."""
+    rows = table(spark, root, "pairs_zh").select("pair_id", "chunk_file", "en", "zh").distinct()
+    raw = F.concat(F.lit("Here:\n"), A.to_object(chunk_file=F.lit("chunk_0.wav"), en=F.lit("?"), zh=F.col("zh")), F.lit("\nEnd."))
+    rows = rows.select("pair_id", "chunk_file", "en", A.parse_reply(raw, "chunk_file string, en string, zh string", repair=False).alias("reply"))
+    merged = A.merge_reply(rows, "reply", ["chunk_file", "en"])
+    return merged.withColumn("zh", X.join_ideograph_breaks(F.col("zh")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         silence_cuts, segment_intervals, merge_short_segments, transcript_segments, transcript_pack, chunk_names, pending_items, verified_only, reference_window,
-        title_prefix, extract_json, align_spans, verify_spans, align_pipeline, parse_replies,
+        title_prefix, extract_json, align_spans, verify_spans, align_pipeline, parse_replies, pair_json, prompts, chinese_replies,
     )
 }
 
@@ -152,4 +171,7 @@ select chapter_pair_id, chunk_no, array_to_string(ls[greatest(0, k - {OFFSET}) +
     "title_prefix": r"""select distinct t.book, t.chapter, t.chunk_file, case when regexp_extract(chunk_file, 'chunk_(\d+)', 1) = '1' and f.text is not null then f.text || chr(10) || chr(10) || t.text else t.text end as text
 from transcripts t left join front_matter f using (book)""",
     "extract_json": """select event_id, case when event_type <> 'view' then props end as span, case when event_type <> 'view' then cast(json_extract_string(props, '$.k') as bigint) end as k from events""",
+    "pair_json": "select distinct pair_id, to_json({'chunk_file': chunk_file, 'source': source, 'target': target})::varchar as pair from pairs_en",
+    "prompts": "select distinct pair_id, 'Say whether the target renders the source.' || chr(10) || to_json({'source': source, 'target': target})::varchar as prompt from pairs_en",
+    "chinese_replies": rf"""select distinct pair_id, chunk_file, en, regexp_replace(regexp_replace(zh, '([\x{{4e00}}-\x{{9fff}}])[{X.SPACE}]*\n[{X.SPACE}]*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g'), '([\x{{4e00}}-\x{{9fff}}])[{X.SPACE}]*\n[{X.SPACE}]*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g') as zh from pairs_zh""",
 }

@@ -70,3 +70,11 @@ def test_pipeline_and_dead_letters(spark):
     kept, rejected, failed = A.align_and_verify(spark.createDataFrame(rows, "k int, source string, reference string"))
     assert [(r.k, r.target) for r in kept.collect()] == [(1, "Five six seven eight nine ten.")]
     assert [r.k for r in rejected.collect()] == [2] and [(r.k, r.error[:10]) for r in failed.collect()] == [(3, "ValueError")]
+
+
+def test_prompts_and_replies(spark):
+    df = spark.createDataFrame([(1, 'say "x"\n}'), (2, None)], "k int, source string")
+    got = [r[0] for r in df.orderBy("k").select(A.prompt("Do:", source=F.col("source"))).collect()]
+    assert got[0].startswith("Do:\n{") and json.loads(got[0][4:]) == {"source": 'say "x"\n}'} and json.loads(got[1][4:]) == {"source": None}
+    df = df.withColumn("reply", A.parse_reply(F.lit('{"k": "9", "source": "?", "zh": "z", "more": 1}'), "k string, source string, zh string"))
+    assert [tuple(r) for r in A.merge_reply(df, "reply", ["k", "source"]).orderBy("k").collect()] == [(1, 'say "x"\n}', "z"), (2, None, "z")]
