@@ -9,6 +9,7 @@ from lectern.functions import text as X
 
 #: Marks the start of a chapter; texts that hold it already are not expected.
 MARK = "\x01"
+# Fixed value: the two forms of an English chapter heading.
 EN_HEADING = (
     r"(?mdU)^((?:CHAPTER\s+(?:[A-Z]+|\d+)(?:\s+[A-Z]+)*(?:\s*[\-–—:]\s*.*)?|Chapter\s+\d+\s*[\-–—:]\s*.*))\s*$"
 )
