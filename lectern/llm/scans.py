@@ -254,18 +254,23 @@ class Scans:
                 y.append(0)
         return Boost(rounds=40).fit(np.array(x, float).reshape(len(x), 5), np.array(y))
 
-    def _walked(self, joined: DataFrame, emit, schema: str) -> DataFrame:
-        """``emit(paragraphs)`` over each page's running text, with field, id in front of what it yields."""
+    def _walked(self, joined: DataFrame, emit, schema: str, places: DataFrame | None = None) -> DataFrame:
+        """``emit(paragraphs)`` over each page's running text, with field, id in front of what it yields. Given ``places``
+        (field, id, at), it is ``emit(paragraphs, set of the page's places)``."""
         marks = joined.groupBy("field", "id").agg(F.collect_list("line").alias("joined"))
-        ready = self.pages.join(marks, ["field", "id"], "left").select("field", "id", "text", "kinds", "joined")
+        ready = self.pages.join(marks, ["field", "id"], "left")
+        if places is not None:
+            ready = ready.join(places.groupBy("field", "id").agg(F.collect_list("at").alias("places")), ["field", "id"], "left")
+        ready = ready.select("field", "id", "text", "kinds", "joined", *(["places"] if places is not None else []))
 
         def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names = [c.split(" ")[0] for c in schema.split(", ")]
             for batch in batches:
                 found = []
-                for field, key, text, kinds, lines in batch.itertuples(index=False):
+                for field, key, text, kinds, lines, *more in batch.itertuples(index=False):
                     page = Page(text, [], {})
-                    found += [(field, key, *x) for x in emit(running(page, list(kinds), set(lines) if lines is not None else set()))]
+                    more = [set(x) if x is not None else set() for x in more]
+                    found += [(field, key, *x) for x in emit(running(page, list(kinds), set(lines) if lines is not None else set()), *more)]
                 yield pd.DataFrame(found, columns=["field", "id", *names])
 
         return ready.mapInPandas(walk, f"field string, id bigint, {schema}")
@@ -337,28 +342,32 @@ class Scans:
         return rated.groupBy("word").agg(F.max_by("meant", F.struct("rate", "n", "meant")).alias("meant"), F.max("rate").alias("rate")).where("rate > 0.5").select("word", "meant")
 
     def misread_signs(self, joined: DataFrame) -> DataFrame:
-        """(field, id, at, read, true, line): ideographs read wrongly (true: the right one) or doubled (true: '')."""
+        """(field, id, at, read, true, line): ideographs read wrongly (true: the right one) or doubled (true: ''). All
+        others are judged in the company that they have when the doubled ones are undoubled, those among them."""
 
-        def emit(paragraphs):
+        def pairs(paragraphs):
             for k, p in enumerate(paragraphs):
-                flat = "".join(c for c, _ in p)
-                twice = {}
-                for at, c, third, run in doubles(flat):
-                    twice[at] = twice[at + 1] = True
+                for at, c, third, run in doubles("".join(c for c, _ in p)):
                     yield k * 10_000_000 + at, c + c, third, run, p[at][1]
-                for at, w in windows(flat):
-                    if not any(x in twice for x in range(at - 2, at + 3)):
-                        yield k * 10_000_000 + at, w[2], w, 0, p[at][1]
-
-        found = self._walked(joined, emit, "at bigint, read string, window string, run int, line int")
-        found = found.where("run > 0 or window is not null")
-        twice = found.where("run > 0").join(self.counted("2", "read", "n_twice"), "read", "left_anti").join(self.counted("3", "window", "n"), "window", "left")
-        twice = twice.where("n is not null or run >= 3").select("field", "id", "at", "read", F.lit("").alias("meant"), "line")
+
+        found = self._walked(joined, pairs, "at bigint, read string, window string, run int, line int")
+        twice = found.join(self.counted("2", "read", "n_twice"), "read", "left_anti").join(self.counted("3", "window", "n"), "window", "left")
+        twice = materialise(twice.where("n is not null or run >= 3").select("field", "id", "at", "read", F.lit("").alias("meant"), "line"), "doubles")
+
+        def company(paragraphs, noise):
+            for k, p in enumerate(paragraphs):
+                left = [i for i in range(len(p)) if k * 10_000_000 + i - 1 not in noise]
+                for at, w in windows("".join(p[i][0] for i in left)):
+                    place = k * 10_000_000 + left[at]
+                    yield place, w[2] * (2 if place in noise else 1), w, p[left[at]][1]
+
+        found = self._walked(joined, company, "at bigint, read string, window string, line int", twice)
         mid = F.substring("window", 2, 3)
-        alone = found.where("run = 0").withColumn("mid", mid).join(self.counted("3", "mid", "n"), "mid", "left_anti")
+        alone = found.withColumn("mid", mid).join(self.counted("3", "mid", "n"), "mid", "left_anti")
         alone = materialise(alone.select("field", "id", "at", "read", "window", "line"), "signs")
         fixed = self._rank_signs(alone.groupBy("window").agg(F.count(F.lit(1)).alias("seen")))
-        return twice.unionByName(alone.join(fixed, "window").select("field", "id", "at", "read", "meant", "line"))
+        wrong = materialise(alone.join(fixed, "window").select("field", "id", "at", "read", "meant", "line"), "wrong")
+        return wrong.unionByName(twice.join(wrong.select("field", "id", "at"), ["field", "id", "at"], "left_anti"))
 
     def _rank_signs(self, unknown: DataFrame) -> DataFrame:
         """(window, true) for the windows whose middle is a misread ideograph."""

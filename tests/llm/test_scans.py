@@ -54,6 +54,26 @@ def test_repaired(scans):
     assert text["zh", 1001] == "托马尔把水壶搬进了旧的教堂。贝塞尔在楼梯下面发现了一个小小的镜子。"
 
 
+@pytest.fixture(scope="module")
+def slow(spark):
+    """Clean texts with a reduplication, scans with misread ideographs beside it."""
+    r = random.Random(3)
+    rows = [("zh", i, 1, False, clean(r, True) + f"{r.choice(HAN_NAMES)}看着{r.choice(HAN_THINGS)}慢慢走进了教堂。") for i in range(250)]
+    rows += [("zh", 250, 1, False, "贝塞尔走了了吗？")]
+    rows += [
+        ("zh", 1001, 1, True, "贝塞尔看着水壸慢慢走进了教堂。"),
+        ("zh", 1002, 1, True, "托马尔把水壶搬进了旧的教堂。\n想想知知道道为为什什么么水水壸壸一一直直没没有有还还回回来来。"),
+    ]
+    return Scans(spark.createDataFrame(rows, "field string, id long, book int, scan boolean, text string"), spark.createDataFrame([], "book int, title string"))
+
+
+def test_misread_beside_doubles(slow):
+    assert ("zh", 1001, 1, "misread") in {tuple(r) for r in slow.noise().collect()}
+    text = {r.id: r.text for r in slow.repaired().collect()}
+    assert text[1001] == "贝塞尔看着水壶慢慢走进了教堂。"
+    assert text[1002] == "托马尔把水壶搬进了旧的教堂。想知道为什么水壶一直没有还回来。"
+
+
 def test_empty_tables(spark):
     none = Scans(spark.createDataFrame([], "field string, id long, book int, scan boolean, text string"), spark.createDataFrame([], "book int, title string"))
     assert none.noise().count() == 0 and none.repaired().count() == 0
