@@ -62,13 +62,31 @@ def windows(text: str) -> Iterator[tuple[int, str]]:
             yield i, t[i : i + 5]
 
 
-def doubles(text: str) -> Iterator[tuple[int, str, str, int]]:
-    """(place, ideograph, trigram when undoubled, length of the run) of each doubled ideograph."""
-    for m in re.finditer(r"(?:([㐀-鿿豈-﫿])\1(?!\1))+", text):
-        run = m[0][::2]
-        around = (text[m.start() - 1] if m.start() else "^") + run + (text[m.end()] if m.end() < len(text) else "$")
-        for k, c in enumerate(run):
-            yield m.start() + 2 * k, c, around[k : k + 3], len(run)
+def doubles(text: str, lines: list[int]) -> Iterator[tuple[int, str, str, str, int]]:
+    """(place, ideograph, characters before and after the pair, pairs of the stretch) of each doubled ideograph.
+
+    ``lines``: the line of each character. A stretch goes on in its line, over other characters, until an ideograph
+    stands an odd number of times; four times are two pairs."""
+    groups = []
+    for m in re.finditer(r"([㐀-鿿豈-﫿])\1*", text):
+        at, end = m.span()
+        if end - at > 2:  # a doubled line may end with what the next begins with
+            for k in range(at + 1, end):
+                if lines[k] != lines[k - 1]:
+                    groups.append((at, k))
+                    at = k
+        groups.append((at, end))
+    stretch: list[int] = []
+    last = None
+    for at, end in [*groups, (len(text), len(text) + 1)]:
+        even, broken = (end - at) % 2 == 0, at < len(text) and lines[at] != last
+        if stretch and (broken or not even):
+            for k in stretch:
+                yield k, text[k], text[k - 1] if k else "^", text[k + 2] if k + 2 < len(text) else "$", len(stretch)
+            stretch = []
+        if even:
+            stretch += range(at, end, 2)
+        last = lines[min(end, len(text)) - 1] if text else None
 
 
 def parts(read: str, true: str) -> list[tuple[str, str]]:
@@ -347,12 +365,15 @@ class Scans:
 
         def pairs(paragraphs):
             for k, p in enumerate(paragraphs):
-                for at, c, third, run in doubles("".join(c for c, _ in p)):
-                    yield k * 10_000_000 + at, c + c, third, run, p[at][1]
-
-        found = self._walked(joined, pairs, "at bigint, read string, window string, run int, line int")
-        twice = found.join(self.counted("2", "read", "n_twice"), "read", "left_anti").join(self.counted("3", "window", "n"), "window", "left")
-        twice = materialise(twice.where("n is not null or run >= 3").select("field", "id", "at", "read", F.lit("").alias("meant"), "line"), "doubles")
+                for at, c, before, after, run in doubles("".join(c for c, _ in p), [n for _, n in p]):
+                    yield k * 10_000_000 + at, c + c, before + c + after, before + c + c, c + c + after, run, p[at][1]
+
+        # no text doubles three ideographs on end by itself; fewer do it where the clean texts know the undoubled company better
+        found = self._walked(joined, pairs, "at bigint, read string, once string, before string, after string, run int, line int")
+        for name in ("once", "before", "after"):
+            found = found.join(self.counted("3", name, f"n_{name}"), name, "left")
+        twice = found.where("run >= 3 or coalesce(n_once, 0) > greatest(coalesce(n_before, 0), coalesce(n_after, 0))")
+        twice = materialise(twice.select("field", "id", "at", "read", F.lit("").alias("meant"), "line"), "doubles")
 
         def company(paragraphs, noise):
             for k, p in enumerate(paragraphs):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lectern.llm.boost import Boost
-from lectern.llm.scans import Scans, parts, words
+from lectern.llm.scans import Scans, doubles, parts, words
 
 NAMES = "Tomar Bessel Anwick Corliss Merrow Hadley Quimby Fenwick Oswald Perrin".split()
 THINGS = "lantern garden kettle harbour blanket mirror ladder picture hammer carpet".split()
@@ -62,6 +62,8 @@ def slow(spark):
     rows += [("zh", 250, 1, False, "贝塞尔走了了吗？")]
     rows += [
         ("zh", 1001, 1, True, "贝塞尔看着水壸慢慢走进了教堂。"),
+        ("zh", 1003, 1, True, "贝塞尔走走了了吗吗。把把锤锤子子慢慢慢慢\n慢慢走走进进。"),
+        ("zh", 1004, 1, True, "梅罗看着梯子慢慢走进进了教堂。"),
         ("zh", 1002, 1, True, "托马尔把水壶搬进了旧的教堂。\n想想知知道道为为什什么么水水壸壸一一直直没没有有还还回回来来。"),
     ]
     return Scans(spark.createDataFrame(rows, "field string, id long, book int, scan boolean, text string"), spark.createDataFrame([], "book int, title string"))
@@ -74,6 +76,15 @@ def test_misread_beside_doubles(slow):
     assert text[1002] == "托马尔把水壶搬进了旧的教堂。想知道为什么水壶一直没有还回来。"
 
 
+def test_doubles(slow):
+    text = {r.id: r.text for r in slow.repaired().collect()}
+    assert text[1003] == "贝塞尔走了吗。把锤子慢慢慢走进。"  # 了了 occurs in a clean text
+    assert text[1004] == "梅罗看着梯子慢慢走进了教堂。"
+    line = "看看。看看看看地地a图图。人人山"
+    assert [(at, n) for at, _, _, _, n in doubles(line, [0] * 3 + [1] * (len(line) - 3))] == [(0, 1), (3, 5), (5, 5), (7, 5), (10, 5), (13, 5)]
+    assert not list(doubles("", [])) and not list(doubles("看了了了。", [0] * 5))
+
+
 def test_empty_tables(spark):
     none = Scans(spark.createDataFrame([], "field string, id long, book int, scan boolean, text string"), spark.createDataFrame([], "book int, title string"))
     assert none.noise().count() == 0 and none.repaired().count() == 0
