@@ -1,6 +1,9 @@
+import inspect
 import random
 
-from lectern.llm.alignment import align, lines
+import numpy as np
+
+from lectern.llm.alignment import CELLS, STEPS, Pair, Table, align, lines, pack
 
 
 def corpus(n, r):
@@ -50,3 +53,14 @@ def test_odd_rows(spark):
 
 def test_lines():
     assert lines("a\n\n ​\n b ") == ["a", " b "] and lines(None) == []
+
+
+def test_small_counts_are_kept():
+    pair = Pair(pack("one two three"), pack("\n".join(["甲乙丙"] * 40)))
+    weight, _ = pair.weights(None, slice(0, 1))
+    assert (weight > 0).all() and abs(weight.sum() - 1) < 1e-3  # forty links of 0.025 each
+    long = Pair(pack(" ".join("".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(500))), pack("".join(map(chr, range(0x4E00, 0x4E00 + 250)))))
+    assert all(len(x) > 0.9 * long.a.shape[1] * long.b.shape[1] for x, *_ in long.expected(None))  # 0.002 each
+    got = Table(np.array([1]), np.array([2]), np.array([3e-4]), np.array([3e-4]), np.ones(CELLS), np.ones(CELLS))
+    assert abs(STEPS[got.there[1, 2]] / 3e-4 - 1) < 0.05
+    assert CELLS == 4096 and inspect.signature(align).parameters["rounds"].default == 4
