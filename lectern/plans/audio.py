@@ -79,12 +79,12 @@ def extract_json(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, root: str) -> DataFrame:
-    """English pairs with the window of their chapter, the chapter being its targets in order."""
-    rows = table(spark, root, "pairs_en").where("lang = 'en'").select("pair_id", "book", "chapter", "chunk_file", "source", "target").distinct()
+    """Pairs with the window of their chapter, the chapter being its targets of that language in order."""
+    rows = table(spark, root, "pairs_en").select("pair_id", "book", "chapter", F.coalesce("lang", F.lit("")).alias("lang"), "chunk_file", "source", "target").distinct()
     rows = rows.withColumn("chunk_no", X.chunk_number(F.col("chunk_file")))
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.length("target") > 0, F.struct("chunk_no", "pair_id", "target")))), lambda x: x["target"])
-    chapters = rows.groupBy("book", "chapter").agg(F.flatten(F.transform(ordered, X.lines)).alias("ls"), F.max("chunk_no").alias("n_chunks"))
-    joined = rows.join(chapters, ["book", "chapter"])
+    chapters = rows.groupBy("book", "chapter", "lang").agg(F.flatten(F.transform(ordered, X.lines)).alias("ls"), F.max("chunk_no").alias("n_chunks"))
+    joined = rows.join(chapters, ["book", "chapter", "lang"])
     return joined.select("pair_id", "source", F.col("target").alias("written"), A.reference_window(F.col("ls"), F.col("chunk_no"), F.col("n_chunks")).alias("reference"))
 
 
@@ -93,7 +93,7 @@ def align_spans(spark: SparkSession, root: str) -> DataFrame:
 
 
 def verify_spans(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "pairs_en").where("lang = 'en'").select("pair_id", "source", "target").distinct()
+    rows = table(spark, root, "pairs_en").select("pair_id", "source", "target").distinct()
     return A.run_model(rows, A.Verifier, "decision").select("pair_id", "decision", "error")
 
 
