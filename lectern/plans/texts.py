@@ -107,9 +107,9 @@ def reflow_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest_chinese_books(spark: SparkSession, root: str) -> DataFrame:
-    """The Chinese texts of a book as its pages."""
+    """The Chinese texts of a book as its pages, each a chapter of its own."""
     rows = table(spark, root, "pairs_zh").where("zh is not null").select("book", F.col("pair_id").alias("page_no"), "zh").distinct()
-    heading = F.concat(F.lit("第"), (F.col("page_no") % 7 + 1).cast("string"), F.lit("章\n"), F.col("zh"))
+    heading = F.concat(F.lit("第"), F.col("page_no").cast("string"), F.lit("章\n"), F.col("zh"))
     rows = rows.select("book", "page_no", F.posexplode(F.split(heading, "\n")).alias("line_no", "line"))
     return pipelines.ingest_chinese_book(rows, "book")
 
