@@ -1,69 +1,80 @@
 """Which lines of two languages render each other.
 
-Translation tables in both directions are estimated by expectation-maximization over all pairs of texts: executors sum
-expected counts of (token, token) pairs under soft line links, the sums are normalised, and small entries go. Tokens are
-hashed into a fixed number of cells, so a table has a size that does not depend on the corpus. Lines are then linked
-competitively: the best links of a pair of texts are accepted greedily, wherever they stand; a line that is linked
-already takes a further partner only if that explains words of it that are not explained yet.
+Translation tables in both directions are estimated by expectation-maximization over all pairs of texts: tasks sum
+expected counts of (token, token) pairs under soft line links, Spark adds them up and normalises, and small entries go.
+A token is known by a 64-bit hash of its own, so no two share counts. A table of bounded size is broadcast; beyond that
+each block of texts is joined with the entries its own tokens need. Lines are then linked competitively: the best links
+of a pair of texts are accepted greedily, wherever they stand; a line that is linked already takes a further partner only
+if that explains words of it that are not explained yet.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import key, keyed, spread
 from lectern.llm.forms import fold, is_han
-from lectern.tables import materialise
+from lectern.tables import discard, materialise
 
-#: Cells that tokens of a language are hashed into.
-CELLS = 4096
 #: Share of the background in the probability of a token, and the least probability that a table keeps.
 BACKGROUND, LEAST = 0.15, 2e-4
-#: Lines of the first language that are held against all of the second at a time.
-BLOCK = 1500
+#: Least expected count of an entry, in either direction.
+COUNT = 0.01
+#: From the second round on a soft link counts if it has at least this share of the strongest link of either of its lines.
+LINK = 0.05
+#: Least expected count of a token pair in two texts.
+ADDED = 1e-3
+#: Entries of a table that are broadcast at most (about 16 bytes each); a larger one is joined block by block.
+ENTRIES = 8_000_000
+#: A row of a table is held whole if at least one in so many of its places is filled.
+FULL = 8
+#: Tokens of the texts of one such block.
+BLOCK_TOKENS = 4_000_000
+#: Lines and tokens of either language that are held against each other at a time, and tokens of a part of a table.
+LINES, TOKENS, PART = 256, 8192, 4096
+#: Sums that a task holds before it adds them up.
+PENDING = 4_000_000
+#: Salt by which the entries of one token are dealt out, for tokens that stand in every line.
+SALT = 8
 WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
 @lru_cache(500_000)
-def cell(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % CELLS
+def number(token: str) -> int:
+    """The token's hash, signed."""
+    x = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+    return x - (1 << 64) if x >> 63 else x
 
 
-def tokens(line: str) -> tuple[list[int], list[str]]:
-    """Cells of a line's tokens, and the strings that a translation keeps (numbers, names).
+def tokens(line: str) -> tuple[list[int], list[int]]:
+    """Numbers of a line's tokens, and of the strings that a translation keeps (odd: numerals; even: names).
 
     Words are taken in lower case; a capitalised word, being perhaps a name that is spelt out in the other script, adds
-    its trigrams. Ideographs are taken singly and in pairs."""
-    cells, kept = [], []
+    its trigrams. Ideographs are taken singly."""
+    found, kept = [], set()
     for w in WORD.findall(fold(line)):
-        if is_han(w[0]) or any(map(is_han, w)):
-            run = ""
-            for c in w + "\0":
-                if is_han(c):
-                    cells.append(cell("1" + c))
-                    run += c
-                else:
-                    cells += [cell("2" + run[i : i + 2]) for i in range(len(run) - 1)]
-                    run = ""
-            kept += [x.lower() for x in re.findall(r"[A-Za-zÀ-ɏ]+", w)]
+        if any(map(is_han, w)):
+            found += [number("1" + c) for c in w if is_han(c)]
+            kept.update(number(x.lower()) & ~1 for x in re.findall(r"[A-Za-zÀ-ɏ]+", w))
         else:
             low = w.lower()
-            cells.append(cell(low))
+            found.append(number(low))
             if w[0].isdigit():
-                kept.append("#" + re.sub(r"\D", "", w))
+                kept.add(number("#" + re.sub(r"\D", "", w)) | 1)
             elif w[0].isupper():
                 padded = f"^{low}$"
-                cells += [cell("3" + padded[i : i + 3]) for i in range(len(padded) - 2)]
-                kept.append(low)
-    return cells, kept
+                found += [number("3" + padded[i : i + 3]) for i in range(len(padded) - 2)]
+                kept.add(number(low) & ~1)
+    return found, sorted(kept)
 
 
 def lines(text: str | None) -> list[str]:
@@ -71,223 +82,420 @@ def lines(text: str | None) -> list[str]:
     return [x for x in (text or "").split("\n") if any(not c.isspace() for c in fold(x))]
 
 
-#: The probability of each step.
-STEPS = np.concatenate([[0], LEAST ** ((255 - np.arange(1, 256)) / 254)]).astype(np.float32)
+def pack(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's tokens line after line, their number in each line, and the same of its kept strings."""
+    both = [tokens(x) for x in lines(text)]
+    flat = lambda k: np.array([c for x in both for c in x[k]], np.int64)
+    size = lambda k: np.array([len(x[k]) for x in both], np.int32)
+    return flat(0), size(0), flat(1), size(1)
 
 
 class Table:
-    """p(second | first) and p(first | second) by cells, and the shares of the cells."""
-
-    def __init__(self, first: np.ndarray, second: np.ndarray, there: np.ndarray, back: np.ndarray, share_first: np.ndarray, share_second: np.ndarray) -> None:
-        # probabilities as steps of a logarithmic scale from LEAST to 1, a byte each; step 0 is none
-        self.there, self.back = np.zeros((CELLS, CELLS), np.uint8), np.zeros((CELLS, CELLS), np.uint8)
-        for steps, p in ((self.there, there), (self.back, back)):
-            steps[first, second] = np.where(p > LEAST / 2, np.clip(255 - 254 * np.log(np.maximum(p, LEAST)) / np.log(LEAST), 1, 255), 0)
-        self.share_first, self.share_second = share_first, share_second
-
-
-def pack(text: str | None) -> tuple[bytes, bytes, str]:
-    """A text's cells line after line, the length of each line, and its kept strings."""
-    both = [tokens(x) for x in lines(text)]
-    cells = np.array([c for x in both for c in x[0]], np.uint16)
-    return cells.tobytes(), np.array([len(x[0]) for x in both], np.uint32).tobytes(), "\x1e".join("\x1f".join(x[1]) for x in both)
+    """p(second | first) / p(second) and p(first | second) / p(first) of token pairs, sorted by the first."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, there: np.ndarray, back: np.ndarray) -> None:
+        order = np.lexsort((second, first))
+        self.first, begin = np.unique(first[order], return_index=True)
+        self.at = np.append(begin, len(first))
+        self.second, column = np.unique(second[order], return_inverse=True)
+        self.column = column.astype(np.int32)
+        self.there, self.back = there[order].astype(np.float32), back[order].astype(np.float32)
+        self.place: np.ndarray | None = None
+        # rows of which much is filled are looked up whole
+        size = np.diff(self.at)
+        self.full = np.where(size * FULL > len(self.second), np.cumsum(size * FULL > len(self.second)) - 1, -1)
+        self.dense: list[np.ndarray] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"place": None, "dense": []}
+
+    def _spread(self) -> None:
+        self.place = np.full(len(self.second), -1, np.int32)
+        rows = np.flatnonzero(self.full >= 0)
+        each = np.concatenate([np.arange(self.at[r], self.at[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+        line = np.repeat(np.arange(len(rows)), np.diff(self.at)[rows])
+        for values in (self.there, self.back):
+            self.dense.append(np.zeros((len(rows), len(self.second)), np.float32))
+            self.dense[-1][line, self.column[each]] = values[each]
+
+    def part(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of some tokens (distinct) with some others, as dense matrices."""
+        there = np.zeros((len(first), len(second)), np.float32)
+        back = np.zeros_like(there)
+        if len(self.first) and len(first) and len(second):
+            if self.place is None:
+                self._spread()
+            row = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+            col = np.minimum(np.searchsorted(self.second, second), len(self.second) - 1)
+            has_row, has_col = np.flatnonzero(self.first[row] == first), np.flatnonzero(self.second[col] == second)
+            row, col = row[has_row], col[has_col]
+            full = self.full[row] >= 0
+            for out, values in zip((there, back), self.dense):
+                out[np.ix_(has_row[full], has_col)] = values[np.ix_(self.full[row[full]], col)]
+            has_row, row = has_row[~full], row[~full]
+            begin, size = self.at[row], self.at[row + 1] - self.at[row]
+            each = np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            self.place[col] = has_col
+            j = self.place[self.column[each]]
+            self.place[col] = -1
+            on = j >= 0
+            i, j, each = np.repeat(has_row, size)[on], j[on], each[on]
+            there[i, j], back[i, j] = self.there[each], self.back[each]
+        return there, back
+
+
+class Block:
+    """Some lines of a text: the counts of their tokens."""
+
+    def __init__(self, rows: slice, line: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.rows, self.size = rows, size
+        self.ids, place = np.unique(ids, return_inverse=True)
+        self.counts = np.bincount(line * len(self.ids) + place, minlength=len(size) * len(self.ids)).reshape(len(size), -1).astype(np.float32)
+        self.shares = self.counts / size[:, None]
+
+
+class Side:
+    """A text as packed by ``pack``."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, kept: np.ndarray, kept_sizes: np.ndarray) -> None:
+        self.n = len(sizes)
+        self.ids, self.at = ids, np.append(0, np.cumsum(sizes))
+        self.size = np.maximum(sizes, 1).astype(np.float32)
+        self.kept, self.kept_line = kept, np.repeat(np.arange(self.n), kept_sizes)
+        self.numerals = np.bincount(self.kept_line[(kept & 1) == 1], minlength=self.n).astype(np.float32)
+        self.blocks, start = [], 0
+        while start < self.n:
+            stop = min(start + LINES, max(start + 1, int(np.searchsorted(self.at, self.at[start] + TOKENS, "right")) - 1), self.n)
+            line = np.repeat(np.arange(stop - start), sizes[start:stop])
+            self.blocks.append(Block(slice(start, stop), line, ids[self.at[start] : self.at[stop]], self.size[start:stop]))
+            start = stop
 
 
 class Pair:
-    """Two texts, each as packed by ``pack``."""
-
-    def __init__(self, a: tuple[bytes, bytes, str], b: tuple[bytes, bytes, str]) -> None:
-        self.a, self.cells_a, self.size_a, self.kept_a = self._counts(*a)
-        self.b, self.cells_b, self.size_b, self.kept_b = self._counts(*b)
-        self.n, self.m = len(self.size_a), len(self.size_b)
-
-    @staticmethod
-    def _counts(cells: bytes, sizes: bytes, kept: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
-        size = np.frombuffer(sizes, np.uint32).astype(np.int64)
-        cells, place = np.unique(np.frombuffer(cells, np.uint16).astype(np.int64), return_inverse=True)
-        out = np.zeros((len(size), len(cells)), np.float32)
-        np.add.at(out, (np.repeat(np.arange(len(size)), size), place), 1)
-        return out, cells, np.maximum(size, 1).astype(np.float32), [set(x.split("\x1f")) - {""} for x in kept.split("\x1e")] if len(size) else []
-
-    def kept(self, rows: slice) -> np.ndarray:
-        """How far the kept strings of two lines agree: +1 for each shared one, -1/2 for each number that is not."""
-        out = np.zeros((len(range(*rows.indices(self.n))), self.m), np.float32)
-        at: dict[str, list[int]] = {}
-        for j, k in enumerate(self.kept_b):
-            for x in k:
-                at.setdefault(x, []).append(j)
-        for r, i in enumerate(range(*rows.indices(self.n))):
-            for x in self.kept_a[i]:
-                for j in at.get(x, ()):
-                    out[r, j] += 1
-        numbers = [np.array([sum(x[0] == "#" for x in k) for k in s], np.float32) for s in (self.kept_a, self.kept_b)]
-        shared = np.zeros_like(out)
-        for r, i in enumerate(range(*rows.indices(self.n))):
-            for x in self.kept_a[i]:
-                if x[0] == "#":
-                    for j in at.get(x, ()):
-                        shared[r, j] += 1
-        return out - 0.5 * np.minimum(numbers[0][rows, None] - shared, numbers[1][None] - shared)
-
-    def scores(self, table: Table, rows: slice) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Log likelihood ratios of each second line given each first one of ``rows``, and the other way."""
-        pick = np.ix_(self.cells_a, self.cells_b)
-        there, back = STEPS[table.there[pick]], STEPS[table.back[pick]]
-        a = self.a[rows]
-        q1 = (a / self.size_a[rows, None]) @ there
-        q2 = (self.b / self.size_b[:, None]) @ back.T
-        r1 = np.log((1 - BACKGROUND) * q1 / table.share_second[self.cells_b] + BACKGROUND)
-        r2 = np.log((1 - BACKGROUND) * q2 / table.share_first[self.cells_a] + BACKGROUND)
-        return r1 @ self.b.T, a @ r2.T, (there, back, q1, q2, r1, r2)
-
-    def weights(self, table: Table | None, rows: slice) -> tuple[np.ndarray, tuple]:
-        """Soft links of the first lines in ``rows``: the product of the shares in either direction."""
-        i = np.arange(self.n)[rows]
-        apart = np.abs(i[:, None] / max(1, self.n) - np.arange(self.m)[None] / max(1, self.m))
+    """Two texts. All that is said of their lines is the same however they are cut into blocks."""
+
+    def __init__(self, a: Side, b: Side) -> None:
+        self.a, self.b = a, b
+        self.at = [(x, y) for x in a.blocks for y in b.blocks]
+        common, i, j = np.intersect1d(np.unique(a.kept), np.unique(b.kept), return_indices=True)
+        self.shared = [(np.searchsorted(common, s.kept), s) for s in (a, b)] if len(common) else None
+        self.common = common
+        self.whole: tuple[np.ndarray, np.ndarray] | None = None
+
+    def part(self, table: Table, x: Block, y: Block, u: slice, v: slice) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.at) > 1 or max(len(x.ids), len(y.ids)) > PART:
+            return table.part(x.ids[u], y.ids[v])
+        if self.whole is None:
+            self.whole = table.part(x.ids, y.ids)
+        return self.whole
+
+    def kept(self, x: Block, y: Block) -> np.ndarray:
+        """How far the kept strings of two lines agree: +1 for each shared one, -1/2 for each numeral that is not."""
+        out = np.zeros((len(x.size), len(y.size)), np.float32)
+        both = np.zeros_like(out)
+        if self.shared:
+            m = []
+            for (place, s), block in zip(self.shared, (x, y)):
+                place = np.minimum(place, len(self.common) - 1)
+                on = (self.common[place] == s.kept) & (s.kept_line >= block.rows.start) & (s.kept_line < block.rows.stop)
+                m.append(np.zeros((len(block.size), len(self.common)), np.float32))
+                m[-1][s.kept_line[on] - block.rows.start, place[on]] = 1
+            numeral = (self.common & 1).astype(np.float32)
+            out, both = m[0] @ m[1].T, (m[0] * numeral) @ m[1].T
+        return out - 0.5 * np.minimum(self.a.numerals[x.rows, None] - both, self.b.numerals[None, y.rows] - both)
+
+    def scores(self, table: Table, x: Block, y: Block) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Log likelihood ratios of each second line given each first one, and the other way; with them, for each line
+        and token of the other side, the ratio of the token's probability to its share, and the logarithm."""
+        q1, q2 = np.zeros((len(x.size), len(y.ids)), np.float32), np.zeros((len(y.size), len(x.ids)), np.float32)
+        for u, v in _parts(x, y):
+            there, back = self.part(table, x, y, u, v)
+            q1[:, v] += x.shares[:, u] @ there
+            q2[:, u] += y.shares[:, v] @ back.T
+        r1, r2 = np.log((1 - BACKGROUND) * q1 + BACKGROUND), np.log((1 - BACKGROUND) * q2 + BACKGROUND)
+        return r1 @ y.counts.T, x.counts @ r2.T, (q1, q2, r1, r2)
+
+    def odds(self, table: Table | None, x: Block, y: Block) -> tuple[np.ndarray, tuple]:
+        """Of each link between two blocks. Without a table they come from place, length and kept strings."""
         if table is None:
-            odds, more = 2.0 * self.kept(rows) - 25 * apart - 3 * np.abs(np.log(self.size_a[rows, None] / self.size_a.mean() * self.size_b.mean() / self.size_b[None])), ()
-            return _shares(odds, 1) * _shares(odds, 0), more
-        s1, s2, more = self.scores(table, rows)
-        odds = s1 + s2 + 2.0 * self.kept(rows)
-        weight = _shares(odds, 1) * _shares(odds, 0)
-        return np.where(weight > 0.05, weight, 0), more
-
-    def blocks(self) -> Iterator[slice]:
-        for at in range(0, self.n, BLOCK):
-            yield slice(at, min(self.n, at + BLOCK))
-
-    def expected(self, table: Table | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Cells and expected counts in either direction under the soft links."""
-        for rows in self.blocks():
-            w, more = self.weights(table, rows)
-            a = self.a[rows]
+            i, j = np.arange(x.rows.start, x.rows.stop), np.arange(y.rows.start, y.rows.stop)
+            apart = np.abs(i[:, None] / self.a.n - j[None] / self.b.n)
+            longer = np.abs(np.log(x.size[:, None] / self.a.size.mean() * self.b.size.mean() / y.size[None]))
+            return 2.0 * self.kept(x, y) - 25 * apart - 3 * longer, ()
+        s1, s2, more = self.scores(table, x, y)
+        return s1 + s2 + 2.0 * self.kept(x, y), more
+
+    def weights(self, table: Table | None) -> Iterator[tuple[Block, Block, np.ndarray, tuple]]:
+        """Soft links block by block: the product of a link's shares among those of its first and of its second line."""
+        top = [np.full(s.n, -np.inf) for s in (self.a, self.b)]
+        total = [np.zeros(s.n) for s in (self.a, self.b)]
+        seen = []
+        for x, y in self.at:
+            odds, more = self.odds(table, x, y)
+            for k, rows in ((0, x.rows), (1, y.rows)):
+                new = np.maximum(top[k][rows], odds.max(1 - k))
+                total[k][rows] = total[k][rows] * np.exp(top[k][rows] - new) + np.exp(odds - (new[:, None] if k == 0 else new[None])).sum(1 - k)
+                top[k][rows] = new
+            if len(self.at) == 1:
+                seen.append((odds, more))
+        for x, y in self.at:
+            odds, more = seen.pop() if seen else self.odds(table, x, y)
+            one, two = odds - top[0][x.rows, None], odds - top[1][None, y.rows]
+            w = np.exp(one) / total[0][x.rows, None] * np.exp(two) / total[1][None, y.rows]
+            if table is not None:
+                w = np.where((one > np.log(LINK)) & (two > np.log(LINK)), w, 0)
+            yield x, y, w.astype(np.float32), more
+
+    def expected(self, table: Table | None) -> Iterator[tuple[np.ndarray, ...]]:
+        """Tokens of either side, and for some pairs of them (by place) the expected counts in either direction under the
+        soft links. Counts below ADDED go, once those of all blocks are added up."""
+        parts = self._expected(table)
+        if len(self.at) == 1 and max(map(len, (self.at[0][0].ids, self.at[0][1].ids))) <= PART:
+            for a, b, one, two in parts:
+                i, j = np.nonzero((one > ADDED) | (two > ADDED))
+                yield a, b, i, j, one[i, j], two[i, j]
+            return
+        sums = Sums(np.unique(self.a.ids), np.unique(self.b.ids))
+        for a, b, one, two in parts:
+            i, j = np.nonzero((one > ADDED / 1000) | (two > ADDED / 1000))
+            sums.add(a, b, i, j, one[i, j], two[i, j])
+        if sums.n:
+            sums.fold()
+            code, x, y = sums.parts[0]
+            on = (x > ADDED) | (y > ADDED)
+            yield sums.first, sums.second, *np.divmod(code[on], len(sums.second)), x[on], y[on]
+
+    def _expected(self, table: Table | None) -> Iterator[tuple[np.ndarray, ...]]:
+        for x, y, w, more in self.weights(table):
             if table is None:
-                both = (a / self.size_a[rows, None]).T @ w @ self.b, a.T @ w @ (self.b / self.size_b[:, None])
+                one, two = w @ y.counts, w.T @ x.counts
             else:
-                there, back, q1, q2, _, _ = more
-                both = (
-                    there * ((a / self.size_a[rows, None]).T @ ((w @ self.b) / np.maximum(q1, 1e-9))),
-                    back * (((w.T @ a) / np.maximum(q2, 1e-9)).T @ (self.b / self.size_b[:, None])),
-                )
-            x, y = np.nonzero((both[0] > 1e-3) | (both[1] > 1e-3))
-            yield self.cells_a[x], self.cells_b[y], both[0][x, y], both[1][x, y]
+                one, two = (w @ y.counts) / np.maximum(more[0], 1e-9), (w.T @ x.counts) / np.maximum(more[1], 1e-9)
+            for u, v in _parts(x, y):
+                both = x.shares[:, u].T @ one[:, v], two[:, u].T @ y.shares[:, v]
+                if table is not None:
+                    there, back = self.part(table, x, y, u, v)
+                    both = there * both[0], back * both[1]
+                yield x.ids[u], y.ids[v], *both
+
+    def explained(self, table: Table, one: int, other: int, side: int) -> np.ndarray:
+        """How far each token of line ``one`` (of side ``side``) is explained by line ``other`` of the other side."""
+        s, t = (self.a, self.b) if side == 0 else (self.b, self.a)
+        mine, rest = (x.ids[x.at[k] : x.at[k + 1]] for x, k in ((s, one), (t, other)))
+        ids, n = np.unique(rest, return_counts=True)
+        mine, place = np.unique(mine, return_inverse=True)
+        q = n @ table.part(ids, mine)[0] if side else table.part(mine, ids)[1] @ n
+        return np.log((1 - BACKGROUND) * q / max(1, len(rest)) + BACKGROUND)[place]
 
     def links(self, table: Table, least: float, gain: float) -> list[tuple[int, int, float]]:
         """Competitive linking. A candidate is a pair of lines of which one is explained by the other, token for token
         at least ``least`` on average. Candidates are taken best first; a line that has a partner takes another only if
         it thereby gains ``gain`` per token of its own, and if the new partner has none."""
-        at, found, explained = [], [], {}
-        for rows in self.blocks():
-            s1, s2, (_, _, _, _, r1, r2) = self.scores(table, rows)
-            kept = self.kept(rows)
-            mean1 = s1 / self.size_b[None] + kept / np.sqrt(self.size_b[None])
-            mean2 = s2 / self.size_a[rows, None] + kept / np.sqrt(self.size_a[rows, None])
+        at, found, seen = [], [], ()
+        for x, y in self.at:
+            s1, s2, more = self.scores(table, x, y)
+            kept = self.kept(x, y)
+            mean1 = s1 / y.size[None] + kept / np.sqrt(y.size[None])
+            mean2 = s2 / x.size[:, None] + kept / np.sqrt(x.size[:, None])
             part = np.maximum(mean1, mean2)
             i, j = np.nonzero(part > least)
-            at.append(np.stack([i + rows.start, j], 1))
-            found.append(np.stack([mean1[i, j] + mean2[i, j], part[i, j]], 1))
-            explained[rows.start] = (r1, r2)
+            at.append(np.stack([i + x.rows.start, j + y.rows.start], 1))
+            found.append(mean1[i, j] + mean2[i, j])
+            if len(self.at) == 1:
+                seen = more[2:]
         if not at:
             return []
         at, found = np.concatenate(at), np.concatenate(found)
-        order = np.lexsort((at[:, 1], at[:, 0], -found[:, 0]))
-        of_a: dict[int, list[int]] = {}
-        of_b: dict[int, list[int]] = {}
-        out = []
+        of: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+        sides, out = (self.a, self.b), []
 
-        def wins(line: np.ndarray, size: float, had: list[np.ndarray], new: np.ndarray) -> bool:
+        def told(side: int, one: int, other: int) -> np.ndarray:
+            if not seen:
+                return self.explained(table, one, other, side)
+            block, r = (self.at[0][side], seen[1 - side][other])
+            return r[np.searchsorted(block.ids, sides[side].ids[sides[side].at[one] : sides[side].at[one + 1]])]
+
+        def wins(side: int, one: int, new: int) -> bool:
             """Whether ``new`` explains tokens of a line that its partners so far do not."""
-            before = np.max(had, 0)
-            return float(line @ (np.maximum(before, new) - before)) / size > gain
+            if one not in of[side]:
+                return True
+            before = np.max([told(side, one, x) for x in of[side][one]], 0)
+            return float(np.maximum(told(side, one, new) - before, 0).sum()) / float(sides[side].size[one]) > gain
 
-        for k in order:
+        for k in np.lexsort((at[:, 1], at[:, 0], -found)):
             i, j = int(at[k, 0]), int(at[k, 1])
-            r1, r2 = explained[i - i % BLOCK]
-            if i in of_a and j in of_b:
-                continue
-            if i in of_a and not wins(self.a[i], self.size_a[i], [r2[x] for x in of_a[i]], r2[j]):
-                continue
-            if j in of_b and not wins(self.b[j], self.size_b[j], [explained[x - x % BLOCK][0][x % BLOCK] for x in of_b[j]], r1[i % BLOCK]):
-                continue
-            of_a.setdefault(i, []).append(j)
-            of_b.setdefault(j, []).append(i)
-            out.append((i, j, float(found[k, 0])))
+            if not (i in of[0] and j in of[1]) and wins(0, i, j) and wins(1, j, i):
+                of[0].setdefault(i, []).append(j)
+                of[1].setdefault(j, []).append(i)
+                out.append((i, j, float(found[k])))
         return out
 
 
-def _shares(odds: np.ndarray, axis: int) -> np.ndarray:
-    x = np.exp(np.clip(odds - odds.max(axis, keepdims=True, initial=-1e30), -50, 0))
-    return x / np.maximum(x.sum(axis, keepdims=True), 1e-30)
-
-
-def _pairs(batch: pd.DataFrame) -> Iterator[tuple[int, Pair]]:
-    for k, r in enumerate(batch.itertuples(index=False)):
-        if len(r.size_a) and len(r.size_b):
-            yield k, Pair((r.a, r.size_a, r.kept_a), (r.b, r.size_b, r.kept_b))
-
-
-def estimate(seen: DataFrame, rounds: int) -> tuple:
-    """The tables after ``rounds`` of expectation-maximization over all rows, as arrays for ``Table``."""
-    spark = seen.sparkSession
-    held = None
-
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = Table(*held.value) if held is not None else None
-        there, back = np.zeros((CELLS, CELLS), np.float32), np.zeros((CELLS, CELLS), np.float32)
-        for batch in batches:
-            for _, pair in _pairs(batch):
-                for a, b, x, y in pair.expected(table):  # no cell comes twice within a pair
-                    there[a, b] += x
-                    back[a, b] += y
-        for a in range(0, CELLS, 128):
-            x, y = np.nonzero(there[a : a + 128] + back[a : a + 128])
-            yield pd.DataFrame({"a": x + a, "b": y, "there": there[x + a, y], "back": back[x + a, y]})
-
+def _parts(x: Block, y: Block) -> Iterator[tuple[slice, slice]]:
+    for u in range(0, len(x.ids), PART):
+        for v in range(0, len(y.ids), PART):
+            yield slice(u, u + PART), slice(v, v + PART)
+
+
+SIDES = ("", "_size", "_kept", "_kept_size")
+SEEN = "id string, " + ", ".join(f"{s}{c} array<{'int' if 'size' in c else 'bigint'}>" for s in "ab" for c in SIDES)
+ENTRY = "a bigint, salt int, b array<bigint>, there array<float>, back array<float>"
+
+
+def _read(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[str, Pair]]:
+    """The pairs of some rows of SEEN, empty sides left out."""
+    if isinstance(rows, pa.Table):
+        rows = rows.combine_chunks().to_batches()
+    for batch in rows if isinstance(rows, list) else [rows]:
+        lists = {n: (batch.column(n).values.to_numpy(zero_copy_only=False), batch.column(n).offsets.to_numpy()) for n in batch.schema.names if n not in ("id", "block")}
+        ids = batch.column("id").to_pylist()
+        for k, i in enumerate(ids):
+            sides = [[v[o[k] : o[k + 1]] for v, o in (lists[s + c] for c in SIDES)] for s in "ab"]
+            if all(len(s[1]) for s in sides):
+                yield i, Pair(Side(*sides[0]), Side(*sides[1]))
+
+
+class Sums:
+    """Expected counts of token pairs of given vocabularies, added up whenever many have come together."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
+        self.first, self.second = first, second
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, self.limit = 0, PENDING
+
+    def add(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        """Counts x and y of the pairs a[i], b[j]; a and b are tokens in order."""
+        code = np.searchsorted(self.first, a)[i] * len(self.second) + np.searchsorted(self.second, b)[j]
+        self.parts.append((code, x, y))
+        self.n += len(code)
+        if self.n > self.limit:
+            self.fold()
+            self.limit = max(PENDING, 2 * self.n)
+
+    def fold(self) -> None:
+        code, x, y = (np.concatenate(p) for p in zip(*self.parts))
+        bits = int(len(code)).bit_length()
+        if int(len(self.first) * len(self.second)).bit_length() + bits < 63:  # sorting numbers is faster than finding their order
+            order = np.sort((code << bits) | np.arange(len(code)))
+            code, order = order >> bits, order & ((1 << bits) - 1)
+        else:
+            order = np.argsort(code)
+            code = code[order]
+        new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        self.parts = [(code[new], np.add.reduceat(x[order], new), np.add.reduceat(y[order], new))]
+        self.n = len(new)
+
+    def entries(self) -> pa.RecordBatch:
+        """Rows of ENTRY: the counts of a first token dealt out by the second."""
+        if not self.n:
+            return _entries(*[np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.float32)])
+        self.fold()
+        code, x, y = self.parts[0]
+        i, j = np.divmod(code, len(self.second))
+        return _entries(self.first[i], self.second[j], x, y)
+
+
+def _entries(a: np.ndarray, b: np.ndarray, there: np.ndarray, back: np.ndarray) -> pa.RecordBatch:
+    """Rows of ENTRY: the counts of a first token dealt out by the second."""
+    salt = (b % SALT).astype(np.int32)
+    order = np.lexsort((b, salt, a))
+    a, b, salt, there, back = a[order], b[order], salt[order], there[order], back[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (salt[1:] != salt[:-1]))) if len(a) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(new, len(a)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(salt[new]), *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (b, there, back)]], ["a", "salt", "b", "there", "back"])
+
+
+class Tables:
+    """A table as rows (a, b, there, back), broadcast if it has at most ``entries`` of them."""
+
+    def __init__(self, rows: DataFrame, entries: int) -> None:
+        self.rows, self.held = rows, None
+        if rows.count() <= entries:
+            got = rows.toArrow()
+            self.held = rows.sparkSession.sparkContext.broadcast(Table(*(got[c].to_numpy() for c in ("a", "b", "there", "back"))))
+
+    def drop(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+        discard(self.rows)
+
+
+def over(seen: DataFrame, tables: Tables | None, work: Callable[[pa.RecordBatch | pa.Table, Table | None], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` over all rows of ``seen`` with the table: a broadcast one, or for each block of rows what its tokens need."""
+    if tables is None or tables.held is not None:
+        held = tables.held if tables else None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield work(batch, held.value if held is not None else None)
+
+        return seen.mapInArrow(run, schema)
+    size = seen.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0
+    seen = seen.withColumn("block", F.pmod(F.xxhash64("id", "a", "b"), F.lit(1 + size // BLOCK_TOKENS)))
+    need = [seen.select("block", F.explode(F.array_distinct(c)).alias(c)).distinct() for c in "ab"]
+    rows = tables.rows.join(need[0], "a").join(need[1], ["block", "b"])
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([work(left, Table(*(right[c].to_numpy() for c in ("a", "b", "there", "back"))))])
+
+    return seen.groupBy("block").cogroup(rows.select(F.col("block").alias("at"), "a", "b", "there", "back").groupBy("at")).applyInArrow(block, schema)
+
+
+def _expect(rows: pa.RecordBatch | pa.Table, table: Table | None) -> pa.RecordBatch:
+    whole = rows.combine_chunks() if isinstance(rows, pa.Table) else pa.Table.from_batches([rows])
+    sums = Sums(*(np.unique(pc.list_flatten(whole[s]).to_numpy()) for s in "ab"))
+    for _, pair in _read(rows):
+        for part in pair.expected(table):
+            sums.add(*part)
+    return sums.entries()
+
+
+def estimate(seen: DataFrame, rounds: int, entries: int = ENTRIES) -> Tables:
+    """The table after ``rounds`` of expectation-maximization over all rows."""
+    tables = None
     for _ in range(rounds):
-        counts = materialise(seen.mapInPandas(expect, "a int, b int, there double, back double").groupBy("a", "b").agg(F.sum("there").alias("there"), F.sum("back").alias("back")), "counts")
+        found = over(seen, tables, _expect, ENTRY).repartition("a", "salt").select("a", "salt", F.inline(F.arrays_zip("b", "there", "back")))
+        counts = materialise(found.groupBy("a", "salt", "b").agg(F.sum("there").cast("float").alias("there"), F.sum("back").cast("float").alias("back")).drop("salt"), "counts")
         of_a = counts.groupBy("a").agg(F.sum("there").alias("all_a"), F.sum("back").alias("n_a"))
         of_b = counts.groupBy("b").agg(F.sum("back").alias("all_b"), F.sum("there").alias("n_b"))
-        shared = counts.join(F.broadcast(of_a), "a").join(F.broadcast(of_b), "b")  # CELLS rows each at most
-        kept = shared.select("a", "b", (F.col("there") / F.greatest("all_a", F.lit(1e-9))).cast("float").alias("there"), (F.col("back") / F.greatest("all_b", F.lit(1e-9))).cast("float").alias("back"))
-        kept = kept.where((F.col("there") > LEAST) | (F.col("back") > LEAST)).toArrow()  # at most 1 / LEAST per cell and direction
-        share = []
-        for name, of, n in (("a", of_a, "n_a"), ("b", of_b, "n_b")):
-            x = np.full(CELLS, 1e-3)
-            got = of.select(name, n).toArrow()
-            x[got[name].to_numpy()] += got[n].to_numpy()
-            share.append((x / x.sum()).astype(np.float32))
-        if held is not None:
-            held.unpersist()
-        held = spark.sparkContext.broadcast((kept["a"].to_numpy(), kept["b"].to_numpy(), kept["there"].to_numpy(), kept["back"].to_numpy(), *share))
-    return held
-
-
-def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 4, least: float = 0.85, gain: float = 0.25) -> DataFrame:
+        n_there, n_back = counts.agg(F.sum("there"), F.sum("back")).first()
+        share = lambda n, total: (F.col(n) + 1e-3) / F.lit(float(total or 1.0))
+        p = counts.where((F.col("there") > COUNT) | (F.col("back") > COUNT)).join(of_a, "a").join(of_b, "b").withColumn("there", F.col("there") / F.greatest("all_a", F.lit(1e-9))).withColumn("back", F.col("back") / F.greatest("all_b", F.lit(1e-9)))
+        kept = p.where((F.col("there") > LEAST) | (F.col("back") > LEAST))
+        kept = kept.select("a", "b", (F.col("there") / share("n_b", n_there)).cast("float").alias("there"), (F.col("back") / share("n_a", n_back)).cast("float").alias("back"))
+        before, tables = tables, Tables(materialise(kept, "table"), entries)
+        discard(counts)
+        if before is not None:
+            before.drop()
+    return tables
+
+
+def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 4, least: float = 0.85, gain: float = 0.25, entries: int = ENTRIES) -> DataFrame:
     """(id, first_no, second_no, score): the linked lines of each pair of texts, numbered from 1 without blank lines.
 
     Null and empty sides give no row, nor do lines without a counterpart; a line that renders several gives one row for
     each. Repeated rows count once, rows of one id with different texts one by one. Further columns are not read; an
-    empty table gives none. Pairs are learnt from and linked whole.
+    empty table gives none. Pairs are learnt from and linked whole; time grows with the product of the lines of a pair,
+    memory with a block of them. ``entries`` says how large a table is broadcast; the links are the same either way.
     """
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = {"id": batch["id"]}
+            out = [batch.column("id")]
             for name in "ab":
-                packed = [pack(t) for t in batch[name]]
-                for k, column in enumerate((name, f"size_{name}", f"kept_{name}")):
-                    sides[column] = [x[k] for x in packed]
-            yield pd.DataFrame(sides)
-
-    rows = spread(df.select(key(df, id_col, "id"), F.col(first).alias("a"), F.col(second).alias("b")).where("length(a) > 0 and length(b) > 0").distinct())
-    seen = materialise(rows.mapInPandas(read, "id string, a binary, size_a binary, kept_a string, b binary, size_b binary, kept_b string"), "lines")
-    held = estimate(seen, rounds)
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = None
-        for batch in batches:
-            table = table or Table(*held.value)
-            ids = batch["id"].to_numpy()
-            found = [(ids[k], i + 1, j + 1, s) for k, pair in _pairs(batch) for i, j, s in pair.links(table, least, gain)]
-            yield pd.DataFrame(found, columns=["id", "first_no", "second_no", "score"])
-
-    return keyed(seen.mapInPandas(link, "id string, first_no bigint, second_no bigint, score double"), df, id_col, "id")
+                packed = [pack(t) for t in batch.column(name).to_pylist()]
+                for k in range(4):
+                    offsets = np.append(0, np.cumsum([len(x[k]) for x in packed])).astype(np.int32)
+                    flat = np.concatenate([x[k] for x in packed]) if packed else np.zeros(0, np.int32 if k % 2 else np.int64)
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(out, ["id", *(s + c for s in "ab" for c in SIDES)])
+
+    rows = spread(df.select(key(df, id_col, "id"), F.col(first).alias("a"), F.col(second).alias("b")).where("length(a) > 0 and length(b) > 0").distinct(), 1)  # each task sends a table of counts
+    seen = materialise(rows.mapInArrow(read, SEEN), "lines")
+    tables = estimate(seen, rounds, entries)
+
+    def link(batch: pa.RecordBatch | pa.Table, table: Table | None) -> pa.RecordBatch:
+        found = [(k, i + 1, j + 1, s) for k, pair in _read(batch) for i, j, s in pair.links(table, least, gain)]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c, kind in enumerate(kinds)], ["id", "first_no", "second_no", "score"])
+
+    return keyed(over(seen, tables, link, "id string, first_no bigint, second_no bigint, score double"), df, id_col, "id")

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of input per task from which a table is spread enough as it was read.
+ENOUGH = 16 << 20
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as the session runs tasks. A table of a few files is dealt out anew;
-    a larger one stays as it was read, without a shuffle."""
+
+def spread(df: DataFrame, per: int = 2) -> DataFrame:
+    """``df`` over ``per`` partitions for each task that the session runs at a time. A small table is dealt out anew; one that
+    keeps all tasks busy stays as it was read, without a shuffle. Decided from the planner's estimate of the size:
+    nothing is run."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * wanted) if df.rdd.getNumPartitions() < wanted else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(per * wanted) if size < wanted * ENOUGH else df
 
 
 def key(df: DataFrame, column: str, alias: str) -> Column:

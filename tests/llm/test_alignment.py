@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 
-from lectern.llm.alignment import CELLS, STEPS, Pair, Table, align, lines, pack
+from lectern.llm import alignment
+from lectern.llm.alignment import Pair, Side, Table, align, lines, number, pack
 
 
 def corpus(n, r):
@@ -55,12 +56,67 @@ def test_lines():
     assert lines("a\n\n ​\n b ") == ["a", " b "] and lines(None) == []
 
 
-def test_small_counts_are_kept():
-    pair = Pair(pack("one two three"), pack("\n".join(["甲乙丙"] * 40)))
-    weight, _ = pair.weights(None, slice(0, 1))
-    assert (weight > 0).all() and abs(weight.sum() - 1) < 1e-3  # forty links of 0.025 each
-    long = Pair(pack(" ".join("".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(500))), pack("".join(map(chr, range(0x4E00, 0x4E00 + 250)))))
-    assert all(len(x) > 0.9 * long.a.shape[1] * long.b.shape[1] for x, *_ in long.expected(None))  # 0.002 each
-    got = Table(np.array([1]), np.array([2]), np.array([3e-4]), np.array([3e-4]), np.ones(CELLS), np.ones(CELLS))
-    assert abs(STEPS[got.there[1, 2]] / 3e-4 - 1) < 0.05
-    assert CELLS == 4096 and inspect.signature(align).parameters["rounds"].default == 4
+def test_a_large_table_is_joined_and_gives_the_same_links(spark):
+    df = spark.createDataFrame(corpus(60, random.Random(8))[0], "id long, en string, zh string")
+    broadcast, joined = (set(map(tuple, align(df, "id", "en", "zh", entries=n).select("id", "first_no", "second_no").collect())) for n in (10**9, 0))
+    assert len(broadcast) > 400 and broadcast == joined
+
+
+def learnt(rows, blocks, monkeypatch):
+    """Links after three rounds over texts cut into blocks of so many lines."""
+    monkeypatch.setattr(alignment, "LINES", blocks)
+    packed = [(pack(a), pack(b)) for _, a, b in rows]
+    table = None
+    masses = []
+    for _ in range(3):
+        count = {}
+        for a, b in packed:
+            for first, second, i, j, x, y in Pair(Side(*a), Side(*b)).expected(table):
+                for k in zip(first[i].tolist(), second[j].tolist(), x.tolist(), y.tolist()):
+                    old = count.setdefault(k[:2], [0.0, 0.0])
+                    old[0] += k[2]
+                    old[1] += k[3]
+        masses.append(sum(x for x, _ in count.values()))
+        of = [{}, {}]
+        for (a, b), (x, y) in count.items():
+            for k, t in enumerate((a, b)):
+                old = of[k].setdefault(t, [0.0, 0.0])
+                old[0] += x
+                old[1] += y
+        total = [sum(v[k] for v in count.values()) for k in (0, 1)]
+        a, b = (np.array(x) for x in zip(*count))
+        there = np.array([x / of[0][a][0] / (of[1][b][0] / total[0]) for (a, b), (x, _) in count.items()])
+        back = np.array([y / of[1][b][1] / (of[0][a][1] / total[1]) for (a, b), (_, y) in count.items()])
+        table = Table(a, b, there, back)
+    return masses, [(k, i, j) for k, (a, b) in enumerate(packed) for i, j, _ in Pair(Side(*a), Side(*b)).links(table, 0.85, 0.25)]
+
+
+def test_blocks_change_nothing(monkeypatch):
+    rows, _ = corpus(25, random.Random(6))
+    whole, few = learnt(rows, 1500, monkeypatch), learnt(rows, 4, monkeypatch)
+    assert np.allclose(whole[0], few[0], rtol=1e-4) and whole[1] == few[1] and len(whole[1]) > 150
+    monkeypatch.setattr(alignment, "PART", 5)  # lines with more tokens than a part of the table
+    assert learnt(rows, 4, monkeypatch)[1] == whole[1]
+
+
+def test_every_link_of_equals_is_kept():
+    pair = Pair(Side(*pack("one two three")), Side(*pack("\n".join(["甲乙丙"] * 40))))
+    (_, _, w, _), = pair.weights(None)
+    assert (w > 0).all() and abs(w.sum() - 1) < 1e-3  # forty links of 0.025 each
+    long = Pair(Side(*pack(" ".join("".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(500)))), Side(*pack("".join(map(chr, range(0x4E00, 0x4E00 + 250))))))
+    assert all(len(x) > 0.9 * len(a) * len(b) for a, b, x, *_ in long.expected(None))  # 0.002 each
+    assert inspect.signature(align).parameters["rounds"].default == 4
+
+
+def test_tables():
+    a, b, c, d = (number(x) for x in "abcd")
+    t = Table(np.array([a, a, b]), np.array([c, d, d]), np.array([1.0, 2, 3]), np.array([4.0, 5, 6]))
+    ids = np.array(sorted([a, b, number("new")])), np.array(sorted([d, c, number("none")]))
+    there, back = t.part(*ids)
+    want = {(a, c): (1, 4), (a, d): (2, 5), (b, d): (3, 6)}
+    for i, x in enumerate(ids[0].tolist()):
+        for j, y in enumerate(ids[1].tolist()):
+            assert (there[i, j], back[i, j]) == want.get((x, y), (0, 0))
+    assert (t.part(*ids)[0] == there).all() and number("a") != number("b")
+    found, kept = pack("Room 715 of Anna")[0], pack("Room 715 of Anna")[2]
+    assert len(found) == 4 + 4 + 4 and (kept & 1).sum() == 1 and len(kept) == 3
