@@ -47,15 +47,23 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode.encode(table(spark, root, "documents"), "doc_id", "text")
 
 
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    """Exact windows only: the operator's distance is the exact check."""
-    found = leaks.find_leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
-    return found.where("distance = 0").select("doc_id", "item_id").distinct()
+    """Windows at distance 0, as the operator has verified them."""
+    return _leaks(spark, root).where("distance = 0").select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, root: str) -> DataFrame:
+    """Windows within one edit."""
+    return _leaks(spark, root)
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return pages.label_pages(table(spark, root, "documents"), "doc_id", "text").where("nonprose > 0.5").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
 SQL: dict[str, str] = {}

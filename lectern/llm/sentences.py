@@ -1,7 +1,8 @@
 """Sentence ends of texts in several languages and scripts.
 
 A pushdown automaton reads the marks of a text: openers of quotations and brackets are pushed, their closers popped, and
-final marks count only when the stack is empty. A quotation that closes with a final mark inside ends the sentence
+final marks count only when no quotation or bracket is open. The levels of lists lie on the same stack: what an item opens
+and does not close is popped where the next item begins, what was open before the list stays, and items are sentences apart. A quotation that closes with a final mark inside ends the sentence
 unless a reporting clause or the rest of its sentence follows. Full stops are held against a trie of abbreviations,
 initials, decimals, ordinals and list numbers. Texts without final marks are cut where their layout cuts them.
 """
@@ -9,6 +10,8 @@ initials, decimals, ordinals and list numbers. Texts without final marks are cut
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +29,14 @@ MONTHS = "januar februar märz april mai juni juli august september oktober nove
 SPOKEN = "said asked cried answered replied shouted whispered called muttered added exclaimed continued repeated sagte rief fragte antwortete gritó dijo preguntó respondió"
 HAN_SPOKEN = re.compile(r"(?:说|道|问|喊|叫|答|嚷|吼|叹|笑|念)(?:道|着)?$")
 HINDI_SPOKEN = re.compile(r"कहा|पूछा|बोल|चिल्ला|पुकार|उत्तर|जवाब")
-LATIN_SPOKEN = re.compile(r"^(?:[^\W\d_][\w.'’-]*\s+){1,4}(?:" + "|".join(SPOKEN.split()) + r")\b")
+_GAP = r"(?:[^\S\n]|\x00)*(?:[^\S\n]|\n)(?:[^\S\n]|\x00)*"  # white space with one line end at most
+LATIN_SPOKEN = re.compile(rf"(?:[^\W\d_][\w.'’\x00-]*{_GAP}){{1,4}}(?:" + "|".join("\x00*".join(w) for w in SPOKEN.split()) + r")\b")
+#: What ends a reporting clause, a blank line at the latest.
+HAN_CLAUSE = re.compile(r"[，。！？；：“「『,!?;:”」\"]|\n[^\S\n]*\n")
+HINDI_CLAUSE = re.compile(r"[।.?!“]|\n[^\S\n]*\n|\Z")
+WORD, INITIAL = re.compile(r"\w+"), re.compile(r"[^\W\d_]\x00*\.")
+#: The start of a list item: its line end (or the text's start), indent, number or bullet.
+ITEM = re.compile(r"(?:\A|\n)([^\S\n]*)(?:(\d{1,3})[.)、．](?=[ \x00]|[\u3400-\u9fff])|([-•*·–])(?=[ \x00]))")
 
 CLOSERS = {"“": "”", "‘": "’", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", "{": "}", '"': '"'}
 CLOSING = set("”’»›」』)]】》〉}\"")
@@ -85,26 +95,66 @@ class Text:
     def __init__(self, raw: str) -> None:
         self.text = text = raw.replace("\r\n", " \n").translate(_CHARS)  # of the same length
         self.blank = {m.start(): m.end() for m in BLANK.finditer(text)}
+        self.blanks = list(self.blank)
+        self.items = self._items()
         self.marks = [m.span() for m in MARK.finditer(text)]
         self.closer = self._matched()
         self.closed = set(self.closer.values())
 
+    def _items(self) -> dict[int, int]:
+        """Line end before each list item -> depth of its list. Numbers must follow on each other from 1, a bullet must
+        come twice, at one indent; deeper lists may lie between."""
+        out: dict[int, int] = {}
+        levels: list[list] = []  # indent, bullet or '', last number, place of the first item
+        for m in ITEM.finditer(self.text):
+            indent, bullet, n = len(m[1].replace(HIDDEN, "")), m[3] or "", int(m[2] or 0)
+            while levels and levels[-1][0] > indent:
+                levels.pop()
+            top = levels[-1] if levels and levels[-1][0] == indent else None
+            if top and top[1] == bullet and (bullet or n == top[2] + 1):
+                out.setdefault(top[3], len(levels))
+                out[m.start()] = len(levels)
+                top[2] = n
+            elif bullet or n == 1:
+                if top:
+                    levels.pop()
+                levels.append([indent, bullet, n, m.start()])
+        return out
+
     def _matched(self) -> dict[int, int]:
-        """Place of each opener that is closed within its paragraph -> place of its closer."""
+        """Place of each opener that is closed within its paragraph and list item -> place of its closer."""
         out: dict[int, int] = {}
-        stack: list[int] = []
+        stack: list[int] = []  # places of openers; -depth for a level of a list
+        awaited: Counter = Counter()  # how many openers on the stack each closer would close
+
+        def pop() -> int:
+            k = stack.pop()
+            if k >= 0:
+                awaited.subtract(CLOSERS[self.text[k]])
+            return k
+
         for i, _ in self.marks:
             c = self.text[i]
             if i in self.blank:
                 stack.clear()
-            elif c == "’" and not (stack and self.text[stack[-1]] == "‘"):
+                awaited.clear()
+            elif i in self.items:
+                depth = self.items[i]
+                at = next((n for n in range(len(stack) - 1, -1, -1) if stack[n] < 0), -1)
+                if at >= 0 and -stack[at] >= depth:  # the item before ends, and lists within it
+                    while stack and stack[-1] != -depth and (stack[-1] >= 0 or -stack[-1] > depth):
+                        pop()
+                if not stack or stack[-1] != -depth:
+                    stack.append(-depth)
+            elif c == "’" and not (stack and stack[-1] >= 0 and self.text[stack[-1]] == "‘"):
                 continue
-            elif any(c in CLOSERS[self.text[k]] for k in stack):
-                while c not in CLOSERS[self.text[stack[-1]]]:
-                    stack.pop()
-                out[stack.pop()] = i
+            elif awaited[c] > 0:
+                while stack[-1] < 0 or c not in CLOSERS[self.text[stack[-1]]]:
+                    pop()
+                out[pop()] = i
             elif c in CLOSERS:
                 stack.append(i)
+                awaited.update(CLOSERS[c])
         return out
 
     def shown(self, i: int, step: int = 1) -> int:
@@ -116,7 +166,8 @@ class Text:
     def at_break(self, i: int) -> bool:
         """Nothing, or only a blank line, follows before the next character that shows."""
         j = self.shown(i)
-        return j >= len(self.text) or "\n" in self.text[i:j] and any(i <= b < j for b in self.blank)
+        k = bisect_left(self.blanks, i)
+        return j >= len(self.text) or k < len(self.blanks) and self.blanks[k] < j
 
     def stop(self, first: int, after: int) -> bool:
         """Whether the run of marks [first, after), at no depth, ends a sentence."""
@@ -144,17 +195,19 @@ class Text:
             start -= 1
         word = t[start:first].replace(HIDDEN, "")
         if b.isdigit():
-            line = t.rfind("\n", 0, start) + 1
-            if not t[line:start].strip(" " + HIDDEN) and word.isdigit():
+            line = start - 1
+            while line >= 0 and t[line] in (" ", HIDDEN):
+                line -= 1
+            if (line < 0 or t[line] == "\n") and word.isdigit():
                 return False  # a list number
-            return not (word.isdigit() and re.match(r"\w+", t[nxt:]) and re.match(r"\w+", t[nxt:])[0].lower() in MONTHS.split())
+            return not (word.isdigit() and (m := WORD.match(t, nxt)) and m[0].lower() in MONTHS.split())
         kinds = ABBREVIATIONS.kinds(t, first)
         if "either" in kinds:
             return c.isupper() or c in CLOSERS
         if "title" in kinds or "number" in kinds and (c.isdigit() or c in "IVXLC"):
             return False
         if len(word) == 1 and word.isalpha() and not is_han(word):  # an initial, or a part of z. B.
-            return not (word.isupper() or re.match(r"[^\W\d_]\x00*\.", t[nxt:]))
+            return not (word.isupper() or INITIAL.match(t, nxt))
         return True
 
     def ends_after_quote(self, start: int, opened: int, closed: int) -> bool:
@@ -166,22 +219,18 @@ class Text:
         c = t[nxt]
         if c in ",;:，；：、—" or c in FINAL or c.islower() or c in CLOSING and c != '"':
             return False
-        lead = t[start:opened].strip().replace(HIDDEN, "")
-        if lead:
+        before = self.shown(opened - 1, -1)
+        if before >= start:
             if t[opened] in "([{":
                 return False
-            return lead[-1] in "：:，,、" if is_han(c) or is_han(lead[-1]) else True
-        after = t[nxt : nxt + 160].replace(HIDDEN, "")
-        blank = BLANK.search(after)
-        after = after[: blank.start()] if blank else after
-        if is_han(c) or any(map(is_han, after[:40])):
-            m = re.search(r"[，。！？；：“「『,!?;:”」]", after)
-            clause = re.sub(r"\s", "", after[: m.start()]) if m else ""
-            return not (m and m[0] not in "：:“「『" and HAN_SPOKEN.search(clause))
+            return t[before] in "：:，,、" if is_han(c) or is_han(t[before]) else True
+        m = HAN_CLAUSE.search(t, nxt)
+        clause = t[nxt : m.start() if m else len(t)]
+        if any(map(is_han, clause)):
+            return not (m and m[0] not in "：:“「『\"" and HAN_SPOKEN.search(re.sub(r"[\s\x00]", "", clause)))
         if "ऀ" <= c <= "ॿ":
-            clause = re.split(r"[।.?!“]", after)[0]
-            return not HINDI_SPOKEN.search(clause)
-        return not LATIN_SPOKEN.match(after)
+            return not HINDI_SPOKEN.search(t[nxt : HINDI_CLAUSE.search(t, nxt).start()].replace(HIDDEN, ""))
+        return not LATIN_SPOKEN.match(t, nxt)
 
     def ends(self) -> list[int]:
         """Ends by marks; where the layout separates sentences, by marks and layout."""
@@ -213,7 +262,7 @@ class Text:
             i, _ = self.marks[k]
             k += 1
             c = t[i]
-            if i in self.blank or not stack and i in breaks:
+            if i in self.blank or not stack and (i in breaks or i in self.items):
                 stack.clear()
                 emit(i)
             elif stack and i == self.closer[stack[-1]]:
@@ -252,7 +301,7 @@ def split_sentences(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, sent_no, end_pos): the sentences of each text, numbered from 1.
 
     Null, empty and blank texts have none. Repeated rows give repeated rows, an empty table none; further columns are
-    not read. A text is read whole, in time linear in its length.
+    not read. A text is read whole, in time about linear in its length.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

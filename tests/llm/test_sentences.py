@@ -1,3 +1,5 @@
+import timeit
+
 import pytest
 
 from lectern.llm.sentences import sentence_ends, split_sentences
@@ -18,6 +20,14 @@ CASES = [
     (["他走了", "他说“好！”的时候\n下雨了", "她来了"], "　　"),
     (["A cat​.‍", "B sat."], " "),
     (["One line", "1. Second line"], "\n\n"),
+    # reporting clauses of any length
+    (["“走吧！”" + "非常非常" * 60 + "小心的校长" * 20 + "说，他走了。", "她来了。"], ""),
+    (["“Go!” Ann\u200b" + "a" * 200 + " Bel said.", "She left."], " "),
+    (["“चलो!” " + "बहुत " * 60 + "राम ने कहा।", "वह गया।"], " "),
+    # levels of lists: items are apart, what one leaves open ends with it, what was open before stays open
+    (["We need:", "1. (a rope", "2. the red map", "- of wood", "- of stone!", "3. “Salt. Or oil.” and bread"], "\n"),
+    (["He read “the list:\n1. rope.\n2. (salt.\nThat is all.” and left.", "She slept."], " "),
+    (["Years went by until\n1838. Then", "1. one", "2. two", "3. three."], "\n"),
 ]
 
 
@@ -37,6 +47,15 @@ def test_line_ends_and_odd_texts():
     assert len(sentence_ends("He came. " * 50_000)) == 50_000
 
 
+@pytest.mark.parametrize("part", ["One. “Two!” Three 3. Four\n\n", "(", "“他走了。”", "Er ging. ", "1. a ", "\n1. a", "“Go. ", "    ", "a.b", "「好。」,"])
+def test_time_grows_with_the_text(part):
+    def took(n):
+        text = part * n
+        return min(timeit.repeat(lambda: sentence_ends(text), number=1, repeat=3))
+
+    assert took(40_000) < 5.5 * took(10_000) + 0.1
+
+
 def test_rows(spark):
     rows = [(1, "A b. C d.", "x"), (2, None, "x"), (3, "", "x"), (3, "E.", None), (3, "E.", None)]
     out = split_sentences(spark.createDataFrame(rows, "pair_id bigint, target string, sent_no string"), "pair_id", "target").collect()
