@@ -25,7 +25,7 @@ from lectern.tables import materialise
 
 #: Lengths of the stretches that are hashed; a piece goes by the longest that it can fill.
 STRETCHES = (12, 6, 3, 1)
-#: The bitmap has 64 bits for each distinct hash, up to 2 ** MOST_BITS (64 MB); a fuller one lets more pass to the join.
+#: The bitmap has 1024 bits for each distinct hash, up to 2 ** MOST_BITS (64 MB); a fuller one lets more pass to the join.
 MOST_BITS = 29
 #: Characters that are hashed at a time.
 BLOCK_CHARS = 1 << 21
@@ -143,7 +143,7 @@ def hashes(codes: np.ndarray, size: int) -> np.ndarray:
 def bitmap(asked: DataFrame) -> tuple[int, np.ndarray]:
     """Bits (their number as a power of two, and the bytes) that are set for the distinct values of ``hash``."""
     n = asked.count()
-    bits = min(MOST_BITS, max(16, (64 * n).bit_length()))
+    bits = min(MOST_BITS, max(16, (1024 * n).bit_length()))
     place = F.shiftrightunsigned("hash", 64 - bits)
     rows = asked.select(F.shiftrightunsigned(place, 16).alias("chunk"), place.bitwiseAND(0xFFFF).alias("bit"))
     chunks = rows.groupBy("chunk").agg(F.collect_set("bit").alias("bits")).toArrow()  # at most 2 ** (bits - 16) rows
