@@ -2,7 +2,8 @@
 
 Characters are folded first (width, composition, radicals, kinds of space, invisible ones). Look-alike letters of
 other scripts are then repaired token by token: the dominant script of a mixed token is determined, the letters of the
-others are replaced, and the replacement stands only if the repaired token occurs in the corpus by itself.
+others are replaced, and the replacement stands only if the repaired token occurs in the corpus by itself. A token of one
+script is left alone wherever its text is written in that script.
 """
 
 from __future__ import annotations
@@ -33,18 +34,18 @@ def script(c: str) -> str:
     return name if name in ("LATIN", "GREEK", "CYRILLIC") else ""
 
 
-def repairs(token: str) -> list[str]:
+def repairs(token: str, at_home: frozenset[str] = frozenset()) -> list[str]:
     """What a mixed token may be meant to be: in its dominant script, then in Latin; none for a token of one script.
 
-    A token without a Latin letter counts as mixed with the Latin around it if each of its letters looks Latin. Which
-    of the candidates is taken, if any, is for the vocabulary to say.
+    A token without a Latin letter counts as mixed with what is around it if each of its letters looks Latin and its
+    scripts are not ``at_home`` in its text. Which of the candidates is taken, if any, is for the vocabulary to say.
     """
     counts = {"LATIN": 0, "CYRILLIC": 0, "GREEK": 0}
     for c in token:
         if script(c):
             counts[script(c)] += 1
     used = [s for s, n in counts.items() if n]
-    if not used or used == ["LATIN"]:
+    if not used or used == ["LATIN"] or len(used) == 1 and used[0] in at_home:
         return []
     dominant = max(used, key=lambda s: (counts[s], s == "LATIN")) if "LATIN" in used else "LATIN"
     found = []
@@ -55,12 +56,25 @@ def repairs(token: str) -> list[str]:
     return found
 
 
+def scripts_of(tokens: list[str]) -> frozenset[str]:
+    """Scripts but Latin that a text is written in: a token of that script alone has a letter that looks like no Latin one."""
+    out = set()
+    for t in tokens:
+        if not t.isascii():
+            used = {script(c) for c in t} - {""}
+            if len(used) == 1 and used != {"LATIN"} and any(script(c) and c not in LOOKALIKES for c in t):
+                out |= used
+    return frozenset(out)
+
+
 def look(text: str) -> tuple[str, list[dict], list[str]]:
     """The folded text, its tokens to be repaired with what they would become, and its tokens of one script."""
     folded = fold(text)
     suspects, words = {}, set()
-    for t in TOKEN.findall(folded):
-        found = repairs(t)
+    tokens = TOKEN.findall(folded)
+    at_home = scripts_of(tokens)
+    for t in tokens:
+        found = repairs(t, at_home)
         if found:
             suspects[t] = found
         else:
@@ -103,16 +117,32 @@ def consistent_forms(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return keyed(out.withColumnRenamed("text", text), df, id_col, "id")
 
 
+#: Different strings of one form that are held against each other in one task.
+BLOCK = 1000
+
+
+def text_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, class, raw, variants, rows): one row per id and text, null and empty texts left out. ``class`` is the same for
+    texts of one consistent form, ``raw`` for equal strings; ``variants`` says how many different strings it has, ``rows`` how many rows."""
+    forms = consistent_forms(df.where(F.length(text) > 0), id_col, text).where(F.col(id_col).isNotNull())
+    rows = materialise(forms.select(F.col(id_col).alias("id"), F.md5(text).alias("raw"), F.md5("form").alias("class")), "classes")
+    raw = rows.groupBy("class", "raw").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(raw.groupBy("class").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("rows")), "class").select(F.col("id").alias(id_col), "class", "raw", "variants", "rows")
+
+
 def same_texts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts differ as strings but have one consistent form.
 
     Null and empty texts pair with nothing, equal strings not with each other. The different strings of one form are
-    paired first and rows are joined to them afterwards, so copies of one string never meet.
+    paired first and rows are joined to them afterwards, so copies of one string never meet. Strings of a form that has
+    many are dealt out into blocks, and blocks are paired, so no task meets more than BLOCK by BLOCK of them.
     """
-    forms = consistent_forms(df.where(F.length(text) > 0), id_col, text)
-    rows = forms.select(F.col(id_col).alias("id"), F.md5(text).alias("raw"), F.md5("form").alias("key")).where("id is not null")
-    variants = rows.groupBy("key", "raw").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    pairs = variants.withColumnRenamed("raw", "raw_a").join(variants.withColumnRenamed("raw", "raw_b"), "key").where("raw_a < raw_b")
-    a, b = (rows.withColumnsRenamed({"id": f"id_{x}", "raw": f"raw_{x}"}) for x in "ab")
-    out = pairs.join(a, ["key", "raw_a"]).join(b, ["key", "raw_b"]).where("id_a <> id_b")
+    rows = text_classes(df, id_col, text).where("variants > 1").withColumnRenamed(id_col, "id")
+    strings = rows.select("class", "raw", F.expr(f"cast((variants + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")).distinct()
+    strings = strings.withColumn("block", F.expr("cast(pmod(xxhash64(raw), blocks) as int)"))
+    left = strings.select("class", F.col("raw").alias("raw_a"), F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"))
+    right = strings.select("class", F.col("raw").alias("raw_b"), F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"))
+    pairs = left.join(right, ["class", "i", "j"]).where("i < j or raw_a < raw_b").select("class", "raw_a", "raw_b")
+    a, b = (rows.select("class", F.col("raw").alias(f"raw_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    out = pairs.join(a, ["class", "raw_a"]).join(b, ["class", "raw_b"]).where("id_a <> id_b")
     return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

@@ -34,6 +34,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumnsRenamed({"id_a": "pair_id_a", "id_b": "pair_id_b"})
 
 
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Each row's class of texts that read the same, with the different strings and the rows of the class."""
+    return lookalikes.text_classes(table(spark, root, "pairs_zh"), "pair_id", "zh").drop("raw").distinct()
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     out = None
     for name, field in (("pairs_en", "target"), ("pairs_zh", "zh")):
@@ -65,5 +70,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return pages.label_pages(table(spark, root, "documents"), "doc_id", "text").where("nonprose > 0.5").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -1,5 +1,6 @@
 from lectern.llm.forms import fold
-from lectern.llm.lookalikes import consistent_forms, repairs, same_texts
+from lectern.llm import lookalikes
+from lectern.llm.lookalikes import consistent_forms, repairs, same_texts, scripts_of, text_classes
 
 
 def test_fold():
@@ -34,3 +35,23 @@ def test_many_copies(spark):
     rows = [(i, "同一行") for i in range(3000)] + [(9000, "同​一行"), (9001, "同‍一行")]
     got = same_texts(spark.createDataFrame(rows, "pair_id bigint, zh string"), "pair_id", "zh")
     assert got.count() == 6001
+
+
+def test_a_text_in_another_script_stays(spark):
+    assert scripts_of(["сор", "жук"]) == {"CYRILLIC"} and scripts_of(["сор", "cop", "42"]) == frozenset() and scripts_of(["лoм"]) == frozenset()
+    rows = [(1, "в углу лежал сор, а рядом жук"), (2, "the cop had a dog and a сор"), (3, "the сop had a dog and a cop"), (4, "他是сор"), (5, "в углу лежал cор, а рядом жук")]
+    forms = {r.i: r.t for r in consistent_forms(spark.createDataFrame(rows, "i int, t string"), "i", "t").select("i", "t", "form").drop("t").withColumnRenamed("form", "t").collect()}
+    assert forms[1] == rows[0][1] and forms[2] == "the cop had a dog and a cop" == forms[3] and forms[4] == "他是cop"
+    assert forms[5] == forms[1]  # mixed: two of three letters are Cyrillic, and the corpus knows that word
+
+
+def test_blocks_of_variants(spark, monkeypatch):
+    marks = ["​", "‌", "‍", "⁠"]
+    rows = [(i, "同" + "".join(marks[i // 4**k % 4] for k in range(4)) + "一行") for i in range(60)] + [(100, rows_of := "别的"), (101, rows_of)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    want = sorted(map(tuple, same_texts(df, "i", "t").collect()))
+    assert want == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    monkeypatch.setattr(lookalikes, "BLOCK", 7)
+    assert sorted(map(tuple, same_texts(df, "i", "t").collect())) == want
+    classes = {r.i: (r["class"], r.variants, r.rows) for r in text_classes(df, "i", "t").collect()}
+    assert len({c for c, _, _ in classes.values()}) == 2 and classes[0][1:] == (60, 60) and classes[100][1:] == (1, 2)
