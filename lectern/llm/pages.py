@@ -31,8 +31,9 @@ WORDS = frozenset(
     le les des et du une dans ने का की के में से है को और था थी पर कि यह""".split()
 )
 PARTICLE = re.compile("[的了在是和着把也不没那这有一个就都与被从到里]")
-ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b[\w-]+\.(?:com|org|net|info|biz|example|test|invalid)\b\S*", re.I)
-DOMAIN = re.compile(r"www\.|\.(?:com|org|net|info|biz|example|test|invalid)\b", re.I)
+#: With a scheme, a path, or as names that dots join without a space; the last name is of two letters or more.
+ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|(?<![\w.@-])(?:[a-z0-9][a-z0-9-]*\.)+(?:[a-z]{2,}|xn--[a-z0-9-]+)(?![\w.-])(?::\d+)?", re.I)
+DOTTED = re.compile(r"[^\W_]\.[^\W\d_]{2}")
 HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003fffd]+")
 MARKUP = re.compile(r"<a\s|</a>|href=|\]\(|\[url", re.I)
 TAG = re.compile(r"(?:^|\s)(?:#\w|tags?:)", re.I)
@@ -55,6 +56,10 @@ TRAITS = {
 SIZES = [len(v[0]) for v in TRAITS.values()]
 START = np.array([0.70, 0.10, 0.12, 0.08])
 STAY = 0.88
+#: What the first guess is worth in fitting: so many units of each state, and so much of its expected units; most rounds,
+#: and the change at which fitting ends. The share is what keeps the states apart: with units alone, however many, the tag
+#: state takes in unpunctuated speech on a corpus that is large enough.
+UNITS, WEIGHT, ROUNDS, TOLERANCE = 200.0, 0.5, 6, 0.02
 
 
 def units(text: str) -> list[str]:
@@ -74,7 +79,7 @@ def units(text: str) -> list[str]:
 def traits(unit: str) -> list[int]:
     """The value of each trait, in the order of TRAITS."""
     seen = visible(unit) or 1
-    linked = "/" in unit or "." in unit and DOMAIN.search(unit) is not None
+    linked = "/" in unit or "." in unit and DOTTED.search(unit) is not None
     addresses = sum(map(len, ADDRESS.findall(unit))) / seen if linked else 0.0
     rest = ADDRESS.sub(" ", unit) if linked else unit
     tokens = TOKEN.findall(rest)
@@ -91,8 +96,6 @@ def traits(unit: str) -> list[int]:
     n = 3 if chinese else 5
     if len(letters) < (24 if chinese else 40):
         repeats = 0
-    elif not chinese and len(tokens) > 8 and max(map(len, tokens)) <= 16 and len(set(tokens)) >= 0.75 * len(tokens):
-        repeats = 1  # words of common length, few of them twice
     else:
         grams = len(letters) - n + 1
         distinct = len({letters[i : i + n] for i in range(grams)}) / grams
@@ -221,40 +224,44 @@ def _radix() -> list[np.ndarray]:
     return out[::-1]
 
 
-def fit(rows: DataFrame, rounds: int = 2, weight: float = 1.0) -> Model:
-    """Expectation-maximization over all rows (codes array<int>), starting from and held near the first guess: the
-    new table is a mean of the expected shares and, with ``weight``, the first guess. Each round gathers one row of
-    expected counts per state and code, a number fixed by the traits."""
+def fit(rows: DataFrame, rounds: int = ROUNDS, weight: float = WEIGHT) -> Model:
+    """Expectation-maximization over all rows (codes array<int>), starting from the first guess, which counts as
+    UNITS and ``weight`` times the expected number of units of each state (pages, for the start): few pages stay near it,
+    many move the table by two thirds, alike at every size. Each round gathers one row of expected counts per state and
+    code, a number fixed by the traits; fitting ends when no probability moves by more than TOLERANCE, or after ``rounds``."""
     first = model = Model.first()
     k, values = len(STATES), _radix()
     for _ in range(rounds):
 
         def expect(batches: Iterator[pd.DataFrame], model: Model = model) -> Iterator[pd.DataFrame]:
-            emit, moves = np.zeros((k, math.prod(SIZES))), np.zeros((k, k))
+            emit, moves = np.zeros((k, math.prod(SIZES))), np.zeros((k + 1, k))  # the last row: the start
             for batch in batches:
                 for part in _by_length(batch):
                     g, m = model.posterior(part["codes"].tolist())
-                    moves += m
+                    moves[:k] += m
+                    moves[k] += sum(x[0] for x in g)
                     np.add.at(emit.T, np.concatenate(part["codes"].tolist()), np.concatenate(g))
             s, c = np.nonzero(emit)
             yield pd.DataFrame({"state": s, "code": c, "n": emit[s, c]})
-            yield pd.DataFrame({"state": np.repeat(np.arange(k), k), "code": -1 - np.tile(np.arange(k), k), "n": moves.ravel()})
+            yield pd.DataFrame({"state": np.repeat(np.arange(k + 1), k), "code": -1 - np.tile(np.arange(k), k + 1), "n": moves.ravel()})
 
         counts = rows.select("codes").mapInPandas(expect, "state int, code int, n double").groupBy("state", "code").agg(F.sum("n").alias("n")).collect()
-        emit, moves = np.zeros((k, math.prod(SIZES))), np.zeros((k, k))
+        emit, moves = np.zeros((k, math.prod(SIZES))), np.zeros((k + 1, k))
         for r in counts:
             if r.code < 0:
                 moves[r.state, -1 - r.code] += r.n
             else:
                 emit[r.state, r.code] += r.n
-        share = lambda x, prior: (x / np.maximum(x.sum(1, keepdims=True), 1e-9) + weight * prior) / (1 + weight) if x.sum() else prior
+        share = lambda x, prior: _normal(x + (UNITS + weight * x.sum(1, keepdims=True)) * prior)
         rated = []
         for prior, value in zip(first.traits, values):
             x = np.zeros(prior.shape)
             for v in range(prior.shape[1]):
                 x[:, v] = emit[:, value == v].sum(1)
-            rated.append(_normal(share(x, prior)))
-        model = Model(first.start, _normal(share(moves, first.move)), rated)
+            rated.append(share(x, prior))
+        before, model = model, Model(share(moves[k:], first.start[None])[0], share(moves[:k], first.move), rated)
+        if max(np.abs(a - b).max() for a, b in zip([before.move, *before.traits], [model.move, *model.traits])) <= TOLERANCE:
+            break
     return model
 
 
@@ -262,7 +269,7 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def label_pages(df: DataFrame, id_col: str, text: str, rounds: int = 2) -> DataFrame:
+def label_pages(df: DataFrame, id_col: str, text: str, rounds: int = ROUNDS) -> DataFrame:
     """(id, visible, nonprose, links, tags, menu): the visible characters of each text and how many of them stand in
     units of each kind but prose; ``nonprose`` is their share (0 where nothing is visible).
 

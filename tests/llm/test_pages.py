@@ -1,6 +1,6 @@
 import numpy as np
 
-from lectern.llm.pages import Model, label_pages
+from lectern.llm.pages import STATES, TRAITS, Model, codes, fit, label_pages, traits
 
 PROSE = "When the old miller had closed the shutters, it began to rain over the valley. Nobody in the house said a word."
 VERSE = "O carry me over the river\nthe river that never was mine\n" * 6
@@ -26,6 +26,27 @@ def test_kinds(spark):
     assert label_pages(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
 
 
+def test_addresses_of_any_domain(spark):
+    kinds = ["com", "de", "co.uk", "museum", "xn--p1ai"]
+    rows = [(k, "\n".join(f"shop{i}-{k}.{d}" for i in range(60))) for k, d in enumerate(kinds)] + [(9, PROSE + " At 3.15 p.m. e.g. Mr.Cole left No.7."), (10, PROSE)]
+    out = {r.i: r.nonprose for r in label_pages(spark.createDataFrame(rows, "i int, t string"), "i", "t").collect()}
+    assert all(out[k] == 1 for k in range(len(kinds))) and out[9] == out[10] == 0
+    assert traits("see shop.de and a.m. or 3.15 then.")[0] > 0 and traits("He left.Then it rained at 3.15 p.m. in U.K.")[0] <= 1
+
+
+def test_the_fit_leaves_the_first_guess(spark):
+    """Link lists that set prices in every line: the model learns it, start and moves with it, and the size is no matter."""
+    priced = "\n".join(f"shop{i}.de | {i}.99" for i in range(30))
+    models = []
+    for n in (40, 160):
+        rows = [(codes(priced)[0],) for _ in range(n)] + [(codes(PROSE)[0],) for _ in range(n)]
+        models.append(fit(spark.createDataFrame(rows, "codes array<int>")))
+    first = Model.first()
+    price, links = list(TRAITS).index("price"), STATES.index("links")
+    assert first.traits[price][links][1] < 0.05 and all(m.traits[price][links][1] > 0.5 for m in models)
+    assert all(m.start[links] > 0.19 > first.start[links] for m in models) and abs(models[0].traits[price] - models[1].traits[price]).max() < 0.1
+
+
 def test_best_path_against_all_paths():
     import itertools
 
