@@ -24,7 +24,7 @@ from lectern.llm.forms import invisible, is_han, skeleton
 from lectern.tables import materialise
 
 #: Lengths of the stretches that are hashed; a piece goes by the longest that it can fill.
-STRETCHES = (12, 6, 3, 1)
+STRETCHES = (24, 12, 6, 3, 1)
 #: The bitmap has 1024 bits for each distinct hash, up to 2 ** MOST_BITS (64 MB); a fuller one lets more pass to the join.
 MOST_BITS = 29
 #: Characters that are hashed at a time.
@@ -129,15 +129,25 @@ def stretch(length: int) -> int:
     return next(g for g in STRETCHES if g <= length)
 
 
-def hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each stretch of ``size`` code points: a polynomial, its bits mixed."""
+def hashes(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of some STRETCHES, a hash of each stretch of so many code points: a polynomial, its bits mixed. Those of
+    longer stretches are put together from those of shorter ones."""
     with np.errstate(over="ignore"):
-        out = np.zeros(max(0, len(codes) - size + 1), np.uint64)
-        for k in range(size):
-            out = out * np.uint64(_BASE) + codes[k : k + len(out)].astype(np.uint64)
-        for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D)):
-            out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
-        return out ^ (out >> np.uint64(33)) ^ np.uint64(size)
+        h, length = codes.astype(np.uint64), 1
+        for size in STRETCHES[::-1]:
+            step, power = length, np.uint64(pow(_BASE, length, 1 << 64))
+            whole = h
+            while length < size:
+                whole = whole[: max(0, len(whole) - step)] * power + h[length : length + max(0, len(whole) - step)]
+                length += step
+            h = whole
+            if size in sizes:
+                out = h
+                for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D)):
+                    out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+                yield size, out ^ (out >> np.uint64(33)) ^ np.uint64(size)
+            if size == max(sizes):
+                return
 
 
 def bitmap(asked: DataFrame) -> tuple[int, np.ndarray]:
@@ -157,9 +167,9 @@ def scan(text: str, sizes: list[int], bits: int, seen: np.ndarray, reach: int) -
     """(hash, text around, borders there, place in it) of each stretch whose hash the bitmap has, like ones once."""
     codes, parted = marked(text)
     found, marks = set(), None
-    for size in sizes:
-        for start in range(0, max(1, len(codes) - size + 1), BLOCK_CHARS):
-            h = hashes(codes[start : start + BLOCK_CHARS + size - 1], size)
+    for start in range(0, len(codes) if sizes else 0, BLOCK_CHARS):
+        for size, h in hashes(codes[start : start + BLOCK_CHARS + max(sizes) - 1], sizes):
+            h = h[:BLOCK_CHARS]
             place = h >> np.uint64(64 - bits)
             hit = np.flatnonzero(seen[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8)) & 1)
             if len(hit) and marks is None:
@@ -195,7 +205,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                     for offset, piece in pieces(w, budget):
                         size = stretch(len(piece))
                         first = np.frombuffer(piece[:size].encode("utf-32-le", "surrogatepass"), np.uint32)
-                        rows.append((hashes(first, size).view(np.int64)[0], size, item, whole, offset, len(piece), by_word))
+                        rows.append((next(hashes(first, [size]))[1].view(np.int64)[0], size, item, whole, offset, len(piece), by_word))
             yield pd.DataFrame(rows, columns=["hash", "size", "item", "window", "offset", "length", "by_word"])
 
     asked = materialise(wanted.mapInPandas(cut, f"hash bigint, size int, item {item_kind}, window string, offset int, length int, by_word boolean").distinct(), "pieces")

@@ -32,7 +32,7 @@ WORDS = frozenset(
 )
 PARTICLE = re.compile("[的了在是和着把也不没那这有一个就都与被从到里]")
 #: With a scheme, a path, or as names that dots join without a space; the last name is of two letters or more.
-ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|(?<![\w.@-])(?:[a-z0-9][a-z0-9-]*\.)+(?:[a-z]{2,}|xn--[a-z0-9-]+)(?![\w.-])(?::\d+)?", re.I)
+ADDRESS = re.compile(r"(?:[hH][tT]{2}[pP][sS]?://|[wW]{3}\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|(?<![\w.@-])(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+(?:[a-z]{2,}|[A-Z]{2,}|xn--[a-z0-9-]+)(?![\w.-])(?::\d+)?")
 DOTTED = re.compile(r"[^\W_]\.[^\W\d_]{2}")
 HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003fffd]+")
 MARKUP = re.compile(r"<a\s|</a>|href=|\]\(|\[url", re.I)

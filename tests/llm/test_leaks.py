@@ -39,8 +39,9 @@ def test_marked():
 
 def test_hashes_of_any_part_are_those_of_the_whole(spark):
     codes = np.array([ord(c) for c in ITEM], np.uint32)
-    whole = hashes(codes, 12)
-    assert len(whole) == len(ITEM) - 11 and all(hashes(codes[k : k + 12], 12)[0] == whole[k] for k in range(len(whole)))
+    for size, whole in hashes(codes, [3, 12, 24]):
+        assert len(whole) == len(ITEM) - size + 1 and all(next(hashes(codes[k : k + size], [size]))[1][0] == whole[k] for k in range(len(whole)))
+        assert len(set(whole.tolist())) == len({ITEM[k : k + size] for k in range(len(whole))}) and len(next(hashes(codes[: size - 1], [size]))[1]) == 0
     bits, seen = bitmap(spark.createDataFrame([(int(x),) for x in whole[:40].view(np.int64)], "hash bigint"))
     place = whole >> np.uint64(64 - bits)
     on = seen[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8)) & 1
@@ -105,3 +106,15 @@ def test_near_copies(spark):
     assert {k for k, _ in found} == one and all(a == b for a, b in found) and set(found.values()) <= {1}
     two = find_leaks(d, "d", "t", i, "i", "t", budget=2).collect()
     assert len(two) / len(docs) >= 0.9
+
+
+def test_blocks_of_characters(spark, monkeypatch):
+    """A text is hashed block by block; passages across blocks are found, with pieces of any length."""
+    from lectern.llm import leaks
+
+    codes = "".join(map(chr, marked(ITEM)[0]))
+    asked = spark.createDataFrame([(int(next(hashes(np.array([ord(c) for c in codes[at : at + n]], np.uint32), [n]))[1].view(np.int64)[0]),) for n in (6, 24) for at in (0, 5, 40)], "hash bigint")
+    bits, seen = bitmap(asked)
+    whole = set(leaks.scan(ITEM, [6, 24], bits, seen, 10))
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 7)
+    assert set(leaks.scan(ITEM, [6, 24], bits, seen, 10)) == whole and len(whole) >= 6 and not list(leaks.scan(ITEM, [], bits, seen, 10))
