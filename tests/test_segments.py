@@ -6,54 +6,74 @@ from lectern.operators import segments as G
 from lectern.operators.models import cut_audio, frames, transcribe
 
 
-def cuts_of(speech, needed):
-    out, run = [], 0
-    for i, s in enumerate(speech):
-        run = 0 if s else run + 1
-        if run >= needed:
-            out.append(i + 1)
-            run = 0
-    return out
-
-
-def intervals(cuts, total):
-    starts = [0] + [c * 30 for c in cuts]
-    out = []
-    for a, b in zip(starts, starts[1:] + [total]):
-        a, b = max(0, min(a, total)), max(0, min(b, total))
-        if b > a:
-            out.append((a, b))
-    return out
-
-
-def merged(segs, least):
-    segs, i = [list(s) for s in segs], 0
-    while i < len(segs):
-        if segs[i][1] - segs[i][0] >= least or len(segs) == 1:
-            i += 1
-        elif i == 0:
-            segs[1][0] = segs[0][0]
-            del segs[0]
-        else:
-            segs[i - 1][1] = segs[i][1]
-            del segs[i]
-            i -= 1
-    return [tuple(s) for s in segs]
-
-
-def test_against_sequential_models(spark):
+@pytest.fixture(scope="module")
+def audios():
     r = random.Random(3)
-    audios = {k: [r.random() < r.choice([0.2, 0.5, 0.8]) for _ in range(r.randrange(1, 60))] for k in range(150)}
-    df = spark.createDataFrame([(k, i, s) for k, a in audios.items() for i, s in enumerate(a)], "id int, f int, s boolean")
+    return {k: "".join("x" if r.random() < r.choice([0.2, 0.5, 0.8]) else "." for _ in range(r.randrange(1, 60))) for k in range(150)}
+
+
+def pieces_of(spark, audios, needed):
+    """Cuts and pieces of audios drawn as x (speech) and . (silence), a frame each."""
+    df = spark.createDataFrame([(k, i, c == "x") for k, a in audios.items() for i, c in enumerate(a)], "id int, f int, s boolean")
     totals = spark.createDataFrame([(k, len(a) * 30 + k % 30) for k, a in audios.items()], "id int, total bigint")
-    cuts = G.silence_cuts(df, "id", "f", "s", 3)
-    got = sorted(map(tuple, cuts.collect()))
-    assert got == sorted((k, c) for k, a in audios.items() for c in cuts_of(a, 3))
-    segs = G.cut_intervals(cuts, "id", totals, "total")
-    want = {k: intervals(cuts_of(a, 3), len(a) * 30 + k % 30) for k, a in audios.items()}
-    assert sorted(map(tuple, segs.collect())) == sorted((k, n, a, b) for k, x in want.items() for n, (a, b) in enumerate(x, 1))
-    for least in (100, 300, 5000):
-        assert sorted(map(tuple, G.merge_short(segs, "id", least).collect())) == sorted((k, n, a, b) for k, x in want.items() for n, (a, b) in enumerate(merged(x, least), 1))
+    cuts = G.silence_cuts(df, "id", "f", "s", needed)
+    return cuts, G.cut_intervals(cuts, "id", totals, "total")
+
+
+@pytest.mark.parametrize(
+    "drawn,needed,cuts",
+    [
+        ("xxxx", 2, []), ("x..x", 2, [3]), ("x.x.", 2, []), ("....", 2, [2, 4]), (".....", 2, [2, 4]), ("..x...x", 3, [6]), (".", 1, [1]), ("x", 1, []),
+        ("......x..", 3, [3, 6]), ("x.", 1, [2]),
+    ],
+)
+def test_cuts(spark, drawn, needed, cuts):
+    got, _ = pieces_of(spark, {1: drawn}, needed)
+    assert sorted(r.cut_frame for r in got.collect()) == cuts
+
+
+def test_cuts_follow_a_full_silence(spark, audios):
+    """Before each cut stand just so many silent frames, and no cut is missing: what is left between has none."""
+    got: dict = {}
+    for r in pieces_of(spark, audios, 3)[0].collect():
+        got.setdefault(r.id, []).append(r.cut_frame)
+    for k, a in audios.items():
+        at = [0, *sorted(got.get(k, [])), len(a)]
+        assert all(a[c - 3 : c] == "..." for c in at[1:-1])
+        assert all("..." not in a[x : y - 1] for x, y in zip(at, at[1:-1])) and "..." not in a[at[-2] :]
+
+
+@pytest.mark.parametrize("least", [60, 100, 300, 5000])
+def test_merged_pieces(spark, audios, least):
+    """They cover the audio without a gap, end only where pieces ended, are long enough but for one alone, and could not
+    be more: one starts wherever a long enough piece follows a long enough stretch."""
+    _, segs = pieces_of(spark, audios, 3)
+    before: dict = {}
+    after: dict = {}
+    for out, df in ((before, segs), (after, G.merge_short(segs, "id", least))):
+        for r in df.collect():
+            out.setdefault(r.id, []).append((r.seg_no, r.start_ms, r.end_ms))
+    assert before.keys() == after.keys() == audios.keys()
+    for k, rows in after.items():
+        old, new = sorted(before[k]), sorted(rows)
+        for part in (old, new):
+            assert [n for n, _, _ in part] == list(range(1, len(part) + 1))
+            assert part[0][1] == 0 and part[-1][2] == len(audios[k]) * 30 + k % 30 and all(x[2] == y[1] for x, y in zip(part, part[1:]))
+        ends = {e for _, _, e in old}
+        assert all(e in ends for _, _, e in new)
+        assert len(new) == 1 or all(e - s >= least for _, s, e in new)
+        starts = {s for _, s, _ in new}
+        assert all((s in starts) == (s == 0 or e - s >= least and s >= least) for _, s, e in old)
+
+
+def test_merging_by_hand(spark):
+    def merged(*lengths):
+        ends = [sum(lengths[: i + 1]) for i in range(len(lengths))]
+        df = spark.createDataFrame([(1, i + 1, e - n, e) for i, (n, e) in enumerate(zip(lengths, ends))], "id int, seg_no int, start_ms bigint, end_ms bigint")
+        return [r.end_ms - r.start_ms for r in G.merge_short(df, "id", 10).orderBy("seg_no").collect()]
+
+    assert merged(3) == [3] and merged(10, 10) == [10, 10] and merged(10, 9) == [19] and merged(9, 10) == [19]
+    assert merged(1, 2, 3) == [6] and merged(4, 4, 4, 12) == [12, 12] and merged(12, 1, 1, 12, 9) == [14, 21] and merged(5, 5, 5, 20, 20) == [15, 20, 20]
 
 
 def test_frames_needed():
