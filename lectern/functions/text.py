@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ CHINESE_TOKEN = rf"[{IDEOGRAPHS}]|[\p{{IsLatin}}\p{{IsCyrillic}}\p{{IsGreek}}\p{
 ENGLISH_WORDS = ("the", "and", "of", "to", "in", "was", "that", "a", "for", "with", "had", "is")
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` over a struct of values that are computed once. Inside a lambda over an array an outer expression is
+    computed for every element; a field of this struct is not."""
+    return F.element_at(F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), body), 1)
+
+
 def trim(text: Column) -> Column:
     """Without white space at either end, Unicode white space and information separators included."""
     return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
@@ -82,8 +90,12 @@ def token_chunks(toks: Column, size: int = 300, overlap: int = 50) -> Column:
     before. No tokens, no chunks. An overlap that is not smaller than the size never ends and is refused."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(toks) - 1, F.lit(0)), F.lit(size - overlap))
-    return F.when(F.size(toks) > 0, F.transform(starts, lambda s: F.slice(toks, s + 1, size))).otherwise(F.expr("array()").cast("array<array<string>>"))
+
+    def cut(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(x["toks"]) - 1, F.lit(0)), F.lit(size - overlap))
+        return F.when(F.size(x["toks"]) > 0, F.transform(starts, lambda s: F.slice(x["toks"], s + 1, size))).otherwise(F.expr("array()").cast("array<array<string>>"))
+
+    return let(cut, toks=toks)
 
 
 def snippet(text: Column, n: int = 300) -> Column:
@@ -94,11 +106,9 @@ def snippet(text: Column, n: int = 300) -> Column:
 def undouble(line: Column, threshold: float = 0.60) -> Column:
     """A line whose ideographs are doubled, undoubled. Pairs are taken at places 0, 2, 4 ...; of those with an ideograph
     at least ``threshold`` must be one ideograph twice. Headings of the form 第N章 and single characters stay."""
-    chars = F.split(line, "(?!^)")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - 1, F.lit(1)), F.lit(2)), lambda i: F.struct(F.get(chars, i - 1).alias("a"), F.get(chars, i).alias("b")))
-    cjk = lambda c: c.rlike(f"[{IDEOGRAPHS}]")
-    total = F.size(F.filter(pairs, lambda p: cjk(p["a"]) | cjk(p["b"])))
-    double = F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) & cjk(p["a"])))
+    pairs = F.regexp_extract_all(line, F.lit("(?s).."), F.lit(0))
+    total = F.size(F.filter(pairs, lambda p: p.rlike(f"[{IDEOGRAPHS}]")))
+    double = F.size(F.filter(pairs, lambda p: p.rlike(rf"([{IDEOGRAPHS}])\1")))
     doubled = (F.length(line) > 1) & ~trim(line).rlike(r"\A第\p{Nd}+章\z") & (total > 0) & (double / total >= threshold)
     return F.when(doubled, F.regexp_replace(line, f"([{IDEOGRAPHS}])\\1", "$1")).otherwise(line)
 

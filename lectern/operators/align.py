@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -203,12 +204,25 @@ def coverage(source: str, target: str) -> float:
 
 
 class Adapter(Protocol):
-    """A model behind a batch call: one result per row, an exception for a row that fails. Made once per worker."""
+    """A model behind a batch call: for each row its outputs by name, or the exception with which it failed."""
 
-    def __call__(self, rows: pd.DataFrame) -> list: ...
+    def __call__(self, rows: list[dict]) -> list[dict | Exception]: ...
 
 
-class SpanAligner:
+class RowByRow:
+    """A batch call for a model that takes one row at a time."""
+
+    def __call__(self, rows: list[dict]) -> list[dict | Exception]:
+        out: list[dict | Exception] = []
+        for row in rows:
+            try:
+                out.append(self.one(row))
+            except Exception as e:  # noqa: BLE001 - any failure of a model is a dead letter
+                out.append(e)
+        return out
+
+
+class SpanAligner(RowByRow):
     """Stand-in for a language model that copies the passage of a reference which a source renders."""
 
     def one(self, row: dict) -> dict:
@@ -217,7 +231,7 @@ class SpanAligner:
         return {"target": align_span(row["source"], row["reference"])}
 
 
-class Verifier:
+class Verifier(RowByRow):
     """Stand-in for a model's verdict: the two texts share at least ``least`` of their words in order."""
 
     def __init__(self, least: float = 0.9) -> None:
@@ -229,25 +243,46 @@ class Verifier:
         return {"decision": str(coverage(row["source"], row["target"]) >= self.least)}
 
 
-def run_model(df: DataFrame, make, outputs: str) -> DataFrame:
+#: Models of this Python worker, the latest last; a worker that is used again for another task finds them.
+_BUILT: dict[str, object] = {}
+
+
+def built(name: str, make, keep: int = 2):
+    """The model that ``make()`` builds, once per Python worker and ``name``; the ``keep`` models used last stay."""
+    if name not in _BUILT:
+        while len(_BUILT) >= keep:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[name] = make()
+    else:
+        _BUILT[name] = _BUILT.pop(name)
+    return _BUILT[name]
+
+
+def run_model(df: DataFrame, make, outputs: str, size: int = 64) -> DataFrame:
     """``df`` with a model's outputs (strings) and ``error``, null where the row went well. ``make()`` builds the model,
-    once per Python worker and stage; a row that fails keeps the others going."""
+    once per Python worker; it is called with batches of at most ``size`` rows. A row that fails keeps the others going; if
+    the call itself fails, its rows are tried one by one."""
     names = outputs.replace(" ", "").split(",")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{n}` string" for n in names), "error string"])
+    token = uuid.uuid4().hex
+
+    def call(model, rows: list[dict]) -> list[dict | Exception]:
+        try:
+            out = list(model(rows))
+            if len(out) != len(rows):
+                raise ValueError("the model gave another number of results")
+            return out
+        except Exception as e:  # noqa: BLE001
+            return [e] if len(rows) == 1 else [x for row in rows for x in call(model, [row])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        model = built(token, make)
         for batch in batches:
-            got: dict[str, list] = {n: [] for n in [*names, "error"]}
-            for row in batch.to_dict("records"):
-                try:
-                    out, error = model.one(row), None
-                except Exception as e:  # noqa: BLE001 - any failure of a model is a dead letter
-                    out, error = {}, f"{type(e).__name__}: {e}"
-                for n in names:
-                    got[n].append(out.get(n))
-                got["error"].append(error)
-            yield batch.assign(**got)
+            rows = batch.to_dict("records")
+            found = [x for at in range(0, len(rows), size) for x in call(model, rows[at : at + size])]
+            wrong = [isinstance(x, Exception) for x in found]
+            got = {n: [None if bad else x.get(n) for x, bad in zip(found, wrong)] for n in names}
+            yield batch.assign(**got, error=[f"{type(x).__name__}: {x}" if bad else None for x, bad in zip(found, wrong)])
 
     return df.mapInPandas(run, schema)
 

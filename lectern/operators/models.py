@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lectern.operators.align import built
+
 RATE, WIDTH = 16_000, 2
 
 
@@ -44,12 +47,12 @@ def cut_audio(df: DataFrame, key: str, pcm: str, segments: DataFrame) -> DataFra
 
 
 def transcribe(df: DataFrame, key: str, pcm: str, make) -> DataFrame:
-    """(key, text, language, segments, error) by an adapter built once per worker, whose ``one(bytes)`` returns a dict in
-    the form of a transcript. There is no stand-in for a recogniser."""
-    kind = df.schema[key].dataType.simpleString()
+    """(key, text, language, segments, error) by an adapter built once per Python worker, whose ``one(bytes)`` returns a
+    dict in the form of a transcript. There is no stand-in for a recogniser."""
+    kind, token = df.schema[key].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        model = built(token, make)
         for batch in batches:
             rows = []
             for k, raw in zip(batch[key], batch[pcm]):

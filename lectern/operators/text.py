@@ -64,34 +64,27 @@ def split_chapters_zh(df: DataFrame, key: str, text: str) -> DataFrame:
 def reflow(lines: Column) -> Column:
     """The re-flowed text of an array of lines. Everything through the first heading block (heading and up to two lines
     of at most 30 characters) is kept; later heading blocks likewise; lines go on in the next until an end mark; blank
-    lines become empty ones."""
-    heading = F.transform(lines, X.is_heading)
-    first = F.array_position(heading, True)
-    short = lambda i: (F.length(X.trim(F.get(lines, i))) > 0) & (F.length(X.trim(F.get(lines, i))) <= X.SUBTITLE_LENGTH)
-    head = F.when(first == 0, F.lit(0)).otherwise(
-        first.cast("int") + F.when(F.coalesce(short(first.cast("int")), F.lit(False)), F.lit(1) + F.when(F.coalesce(short(first.cast("int") + 1), F.lit(False)), 1).otherwise(0)).otherwise(0)
+    lines become empty ones, but for one that cuts a later heading block short, which stays as it is. In time linear in
+    the text: lines are classified (b blank, h and H short and long headings, s and t short and long others), heading
+    blocks are found by an expression over the classes, and each line then depends on the one before only."""
+    bare = lambda x: F.length(X.trim(x))
+    kind = lambda x: (
+        F.when(bare(x) == 0, "b").when(X.is_heading(x), F.when(bare(x) <= X.SUBTITLE_LENGTH, "h").otherwise("H")).when(bare(x) <= X.SUBTITLE_LENGTH, "s").otherwise("t")
     )
-    kept = F.when(head > 0, F.slice(lines, 1, head)).otherwise(F.array().cast("array<string>"))
-    body = F.slice(lines, head + 1, F.greatest(F.size(lines) - head, F.lit(0)))
-    start = F.struct(kept.alias("out"), F.lit("").alias("buf"), F.lit(0).alias("sub"))
-
-    def put(state: Column, *more: Column) -> Column:
-        flushed = F.when(state["buf"] != "", F.concat(state["out"], F.array(state["buf"]))).otherwise(state["out"])
-        return F.concat(flushed, F.array(*more)) if more else flushed
-
-    def step(s: Column, line: Column) -> Column:
-        bare = X.trim(line)
-        make = lambda out, buf, sub: F.struct(out.alias("out"), buf.alias("buf"), sub.alias("sub"))
-        none, empty = F.lit(0), F.lit("")
-        subtitle = (s["sub"] > 0) & (bare == "")
-        return (
-            F.when(subtitle, make(put(s, line), empty, none))
-            .when((s["sub"] > 0) & (F.length(bare) <= X.SUBTITLE_LENGTH), make(put(s, line), empty, s["sub"] - 1))
-            .when(X.is_heading(line), make(put(s, line), empty, F.lit(2)))
-            .when(bare == "", make(put(s, F.lit("")), empty, none))
-            .when(s["buf"] == "", make(s["out"], line, none))
-            .when(X.should_merge(s["buf"]), make(s["out"], F.concat(s["buf"], line), none))
-            .otherwise(make(put(s), line, none))
-        )
-
-    return F.aggregate(body, start, step, lambda s: F.array_join(put(s), "\n"))
+    classes = F.array_join(F.transform(lines, kind), "")
+    head = F.regexp_extract(classes, r"^[^hH]*[hH][hs]{0,2}", 0)
+    blocks = F.regexp_extract_all(F.regexp_replace(classes, r"^[^hH]*[hH][hs]{0,2}", ""), F.lit(r"[hH](?:[hs][hs]|[hs]?b|[hs]?)|[^hH]"), F.lit(0))
+    # k: kept as it is; b: an empty line; s, t: running text
+    body = F.array_join(F.transform(blocks, lambda x: F.when(x.rlike("^[hH]"), F.regexp_replace(x, ".", "k")).otherwise(x)), "")
+    kinds = F.split(F.concat(F.regexp_replace(head, ".", "k"), body), "(?!^)")
+
+    def put(v: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            text = lambda k: F.get(v["kinds"], k).isin("s", "t")
+            goes_on = text(i) & F.coalesce(text(i - 1) & X.should_merge(F.get(v["lines"], i - 1)), F.lit(False))
+            shown = F.when(F.get(v["kinds"], i) == "b", F.lit("")).otherwise(line)
+            return F.when((i == 0) | goes_on, shown).otherwise(F.concat(F.lit("\n"), shown))
+
+        return F.array_join(F.transform(v["lines"], one), "")
+
+    return X.let(put, lines=lines, kinds=kinds)

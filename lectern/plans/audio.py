@@ -146,7 +146,7 @@ _SEGMENTS = f"""{_CUTS}, totals as (select user_id, count(*) * {FRAME_MS} + 17 a
 starts as (select user_id, total, 0 as a from totals union all select user_id, total, cut_frame * {FRAME_MS} from cuts join totals using (user_id)),
 spans as (select user_id, least(a, total) as start_ms, least(coalesce(lead(a) over (partition by user_id order by a), total), total) as end_ms from starts),
 segs as (select user_id, cast(row_number() over (partition by user_id order by start_ms) as int) as seg_no, start_ms, end_ms from spans where end_ms > start_ms)"""
-_LINES = rf"list_filter(list_transform(string_split_regex(en, '\r\n|\r|\n'), lambda x: regexp_replace(x, '\A[{X.SPACE}]+|[{X.SPACE}]+\z', '', 'g')), lambda x: length(x) > 0)"
+_LINES = rf"list_filter(list_transform(string_split_regex(en, '\r\n|\r|\n'), lambda x: regexp_replace(x, '\A[\t-\r\x1c-\x1f\x85\p{{Z}}]+|[\t-\r\x1c-\x1f\x85\p{{Z}}]+\z', '', 'g')), lambda x: length(x) > 0)"
 
 SQL = {
     "silence_cuts": f"with {_CUTS} select user_id, cut_frame from cuts",
@@ -173,5 +173,5 @@ from transcripts t left join front_matter f using (book)""",
     "extract_json": """select event_id, case when event_type <> 'view' then props end as span, case when event_type <> 'view' then cast(json_extract_string(props, '$.k') as bigint) end as k from events""",
     "pair_json": "select distinct pair_id, to_json({'chunk_file': chunk_file, 'source': source, 'target': target})::varchar as pair from pairs_en",
     "prompts": "select distinct pair_id, 'Say whether the target renders the source.' || chr(10) || to_json({'source': source, 'target': target})::varchar as prompt from pairs_en",
-    "chinese_replies": rf"""select distinct pair_id, chunk_file, en, regexp_replace(regexp_replace(zh, '([\x{{4e00}}-\x{{9fff}}])[{X.SPACE}]*\n[{X.SPACE}]*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g'), '([\x{{4e00}}-\x{{9fff}}])[{X.SPACE}]*\n[{X.SPACE}]*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g') as zh from pairs_zh""",
+    "chinese_replies": rf"""select distinct pair_id, chunk_file, en, regexp_replace(regexp_replace(zh, '([\x{{4e00}}-\x{{9fff}}])[\t-\r\x1c-\x1f\x85\p{{Z}}]*\n[\t-\r\x1c-\x1f\x85\p{{Z}}]*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g'), '([\x{{4e00}}-\x{{9fff}}])[\t-\r\x1c-\x1f\x85\p{{Z}}]*\n[\t-\r\x1c-\x1f\x85\p{{Z}}]*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g') as zh from pairs_zh""",
 }

@@ -63,9 +63,10 @@ def bm25_topk_per_doc(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bm25_topk_routed(spark: SparkSession, root: str) -> DataFrame:
-    """Each text with the tokenizer of its language, chunks tokenized again after joining."""
+    """Each text with the tokenizer of its language, chunks tokenized again after joining; a table of queries."""
     index = search.Bm25Index(search.chunks(table(spark, root, "documents"), "doc_id", "text"), pooled=True)
-    return index.search(["信", "号", "station"], 20).select("rank", F.col("corpus").alias("doc_id"), "chunk_id", F.round("score", 6).alias("score"))
+    asked = spark.createDataFrame([(1, "信号 station"), (2, "The bridge, the Station!"), (3, None)], "query_id int, query string")
+    return index.ask(asked, "query_id", "query", 20).select("query_id", "rank", F.col("corpus").alias("doc_id"), "chunk_id", F.round("score", 6).alias("score"))
 
 
 def heading_flags(spark: SparkSession, root: str) -> DataFrame:
@@ -90,7 +91,7 @@ def leading_letters(spark: SparkSession, root: str) -> DataFrame:
 
 def chapter_number_fix(spark: SparkSession, root: str) -> DataFrame:
     broken = F.regexp_replace("text", "第([0-9]+)章", "$1\n第  章")
-    rows = table(spark, root, "documents").where("lang like 'zh%'").select("doc_id", F.posexplode(F.split(broken, "\n")).alias("line_no", "line"))
+    rows = table(spark, root, "documents").select("doc_id", F.posexplode(F.split(broken, "\n")).alias("line_no", "line"))
     return T.fix_chapter_numbers(rows, ["doc_id"], "line_no", "line")
 
 
@@ -123,14 +124,22 @@ QUERIES = {
 }
 
 
+# What the library's expressions say, said anew for the SQL.
+_SPACE = r"\t-\r\x1c-\x1f\x85\p{Z}"
+_BLANK = r"\t\x1f\p{Zs}"
+_IDEO = r"㐀-䶿一-鿿豈-\x{faff}\x{20000}-\x{2a6df}\x{2a700}-\x{2ceaf}"
+_EN = r"[\p{L}\p{M}\p{N}_]+(?:[-.,][\p{L}\p{N}_]+)*|[^\t-\r\x1c-\x1f\x85\p{Z}\p{L}\p{M}\p{N}_]"
+_ZH = r"[" + _IDEO + r"]|[\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}\p{N}_]+|[\t-\r\x1c-\x1f\x85\p{Z}]|[^\t-\r\x1c-\x1f\x85\p{Z}]"
+_MARKS = "。！？，、；：…—?!.,;:」』）)\\]>”"
+_COMMON = "('the', 'and', 'of', 'to', 'in', 'was', 'that', 'a', 'for', 'with', 'had', 'is')"
+
+
 def _trim(x: str) -> str:
-    return rf"regexp_replace({x}, '\A[{X.SPACE}]+|[{X.SPACE}]+\z', '', 'g')"
+    return rf"regexp_replace({x}, '\A[{_SPACE}]+|[{_SPACE}]+\z', '', 'g')"
 
 
 _LINES = rf"list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: {_trim('x')}), lambda x: length(x) > 0)"
 _NONBLANK = f"lines as (select doc_id, cast(unnest(generate_series(1, len(ls))) as int) as line_no, unnest(ls) as line from (select doc_id, {_LINES} as ls from documents where text is not null))"
-_EN = X.ENGLISH_TOKEN.replace("'", "''")
-_ZH = X.CHINESE_TOKEN.replace("'", "''").replace(r"\p{Is", r"\p{")
 _TOKENS = f"toks as (select doc_id, regexp_extract_all(text, '{_EN}') as t from documents where text is not null)"
 _CHUNKS = f"""{_TOKENS}, starts as (select doc_id, t, unnest(generate_series(0, len(t) - 1, 250)) as s from toks where len(t) > 0),
 chunks as (select doc_id, cast(s // 250 as int) as chunk_id, array_to_string(t[s + 1:s + 300], ' ') as text, regexp_extract_all(array_to_string(t[s + 1:s + 300], ' '), '{_EN}') as t from starts)"""
@@ -150,28 +159,61 @@ score as (select sized.scope, sized.doc_id, sized.chunk_id, sized.text, coalesce
 ranked as (select *, cast(row_number() over (partition by scope order by round(score, 9) desc, doc_id, chunk_id) as int) as rank from score)"""
 
 
-_IDEO = X.IDEOGRAPHS
 _TERMINATORS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
-_INITIALS = rf"regexp_replace(%s, '(\A|[{_TERMINATORS}])([A-Za-z])[{X.BLANK}]+([a-z])', '\1\2\3', 'g')"
-_S = f"[{X.SPACE}]"
+_INITIALS = rf"regexp_replace(%s, '(\A|[{_TERMINATORS}])([A-Za-z])[{_BLANK}]+([a-z])', '\1\2\3', 'g')"
+_S = f"[{_SPACE}]"
 _EN_HEADING = rf"(?m)^((?:CHAPTER{_S}+(?:[A-Z]+|\p{{Nd}}+)(?:{_S}+[A-Z]+)*(?:{_S}*[\-–—:]{_S}*.*)?|Chapter{_S}+\p{{Nd}}+{_S}*[\-–—:]{_S}*.*)){_S}*$"
-_MERGE_MARKS = "".join("\\" + c if c in "[]^-" else c for c in X.END_MARKS)
+
+_MIXED = rf"list_transform(list_filter(list_concat(regexp_extract_all(%s, '{_ZH}'), regexp_extract_all(%s, '{_EN}')), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}_]')), lambda x: {_trim('x')})"
+_BY_LANGUAGE = f"case language when 'en' then regexp_extract_all(%s, '{_EN}') when 'zh' then regexp_extract_all(%s, '{_ZH}') else {_MIXED} end"
+_LANGUAGE = rf"""m as (select doc_id, text, length(text) - length(regexp_replace(text, '[{_IDEO}]', '', 'g')) as han, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) as letters,
+list_filter(string_split(lower(text), ' '), lambda x: length(x) > 0) as w from documents),
+l as (select doc_id, text, case when coalesce(letters, 0) = 0 then 'unknown' when han * 10 > letters * 3 then 'zh' when len(list_filter(w, lambda x: x in {_COMMON})) * 12 >= len(w) then 'en' else 'unknown' end as language from m)"""
 
 SQL = {
     "nonblank_lines": f"with {_NONBLANK} select doc_id, line_no, line from lines",
     "find_lines": f"with {_NONBLANK} select doc_id, line_no, line from lines where contains(line, 'signal')",
     "word_tokens": f"with {_TOKENS} select doc_id, cast(unnest(generate_series(0, len(t) - 1)) as int) as pos, unnest(t) as token from toks",
-    "mixed_tokens": rf"select distinct pair_id, array_to_string(list_transform(list_filter(list_concat(regexp_extract_all(zh, '{_ZH}'), regexp_extract_all(zh, '{_EN}')), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}_]')), lambda x: {_trim('x')}), '|') as tokens from pairs_zh where zh is not null",
-    "language_route": rf"""with m as (select doc_id, text, length(text) - length(regexp_replace(text, '[{_IDEO}]', '', 'g')) as han, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) as letters,
-list_filter(string_split(lower(text), ' '), lambda x: length(x) > 0) as w from documents),
-l as (select doc_id, case when coalesce(letters, 0) = 0 then 'unknown' when han * 10 > letters * 3 then 'zh' when len(list_filter(w, lambda x: x in {X.ENGLISH_WORDS})) * 12 >= len(w) then 'en' else 'unknown' end as language from m)
-select doc_id, language, case language when 'en' then 'english' when 'zh' then 'chinese' else 'mixed' end as tokenizer from l""",
+    "mixed_tokens": f"select distinct pair_id, array_to_string({_MIXED.replace('%s', 'zh')}, '|') as tokens from pairs_zh where zh is not null",
+    "language_route": f"with {_LANGUAGE} select doc_id, language, case language when 'en' then 'english' when 'zh' then 'chinese' else 'mixed' end as tokenizer from l",
     "language_labels": "select lang, case when lower(lang) = 'en' then 'english' when lower(lang) like 'zh%' then 'chinese' else 'mixed' end as tokenizer, count(*) as n from documents group by all",
     "token_chunks": f"with {_CHUNKS} select doc_id, chunk_id, cast(len(t) as int) as n_tokens, left(text, 300) || '...' as snippet from chunks",
     "term_statistics": f"with {_bm25('0')} select term, round(idf, 6) as idf from idf",
     "bm25_topk_pooled": f"with {_bm25('0')} select rank, doc_id, chunk_id, round(score, 6) as score, left(text, 300) || '...' as text from ranked where rank <= 5",
     "bm25_topk_per_doc": f"with {_bm25('doc_id')} select doc_id, rank, chunk_id, round(score, 6) as score from ranked where rank <= 5",
-    "heading_flags": rf"with {_NONBLANK} select doc_id, line_no, regexp_matches(line, '\A第[{X.HEADING_NUMERALS}]+章') as heading, nullif(regexp_extract(line, '\A第{_S}*(\p{{Nd}}+){_S}*章', 1), '') as number, not regexp_matches(line, '[{_MERGE_MARKS}]\z') as goes_on from lines",
+    "bm25_topk_routed": f"""with {_LANGUAGE}, toks as (select doc_id, language, {_BY_LANGUAGE.replace("%s", "text")} as t from l where text is not null),
+starts as (select *, unnest(generate_series(0, len(t) - 1, 250)) as s from toks where len(t) > 0),
+joined as (select doc_id, language, cast(s // 250 as int) as chunk_id, array_to_string(t[s + 1:s + 300], ' ') as text from starts),
+chunks as (select *, {_BY_LANGUAGE.replace("%s", "text")} as t from joined),
+asked as (select * from (values (1, 'en', '信号', 1), (1, 'en', 'station', 1), (1, 'zh', '信', 1), (1, 'zh', '号', 1), (1, 'zh', ' ', 1), (1, 'zh', 'station', 1),
+ (1, 'unknown', '信', 1), (1, 'unknown', '号', 1), (1, 'unknown', '信号', 1), (1, 'unknown', 'station', 2),
+ (2, 'en', 'The', 1), (2, 'en', 'bridge', 1), (2, 'en', ',', 1), (2, 'en', 'the', 1), (2, 'en', 'Station', 1), (2, 'en', '!', 1),
+ (2, 'zh', 'The', 1), (2, 'zh', ' ', 3), (2, 'zh', 'bridge', 1), (2, 'zh', ',', 1), (2, 'zh', 'the', 1), (2, 'zh', 'Station', 1), (2, 'zh', '!', 1),
+ (2, 'unknown', 'The', 2), (2, 'unknown', 'bridge', 2), (2, 'unknown', 'the', 2), (2, 'unknown', 'Station', 2)) as v(query_id, language, term, times)),
+total as (select count(*) as n, avg(len(t)) as avgdl from chunks),
+tf as (select doc_id, language, chunk_id, len(t) as dl, term, count(*) as tf from (select *, unnest(t) as term from chunks) group by all),
+raw as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from tf, total group by term, n),
+idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
+score as (select query_id, doc_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from tf join asked using (language, term) join idf using (term), total group by all),
+ranked as (select *, cast(row_number() over (partition by query_id order by round(score, 9) desc, doc_id, chunk_id) as int) as rank from score)
+select query_id, rank, doc_id, chunk_id, round(score, 6) as score from ranked where rank <= 20""",
+    # line by line, as a sequential program would do it
+    "reflow_lines": rf"""with t as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+k as (select doc_id, list_transform(ls, lambda x: struct_pack(line := x, bare := {_trim('x')})) as ls from t),
+m as (select doc_id, list_transform(ls, lambda x: struct_pack("out" := x.line, sub := 0, "last" := '', kind := case when x.bare = '' then 'blank'
+ when regexp_matches(x.bare, '\A第[一二三四五六七八九十百千0-9]+章') then case when length(x.bare) <= 30 then 'short heading' else 'heading' end when length(x.bare) <= 30 then 'short' else 'text' end)) as ls from k),
+f as (select doc_id, ls, coalesce(list_position(list_transform(ls, lambda x: x.kind like '%heading'), true), 0) as f from m),
+h as (select doc_id, ls, case when f = 0 then 0 when f < len(ls) and ls[f + 1].kind like 'short%' then case when f + 1 < len(ls) and ls[f + 2].kind like 'short%' then f + 2 else f + 1 end else f end as head from f),
+r as (select doc_id, list_reduce(ls[head + 1:], lambda s, x: case
+ when s.sub > 0 and x.kind = 'blank' then struct_pack("out" := s."out" || chr(10) || x."out", sub := 0, "last" := '', kind := '')
+ when s.sub > 0 and x.kind like 'short%' then struct_pack("out" := s."out" || chr(10) || x."out", sub := s.sub - 1, "last" := '', kind := '')
+ when x.kind like '%heading' then struct_pack("out" := s."out" || chr(10) || x."out", sub := 2, "last" := '', kind := '')
+ when x.kind = 'blank' then struct_pack("out" := s."out" || chr(10), sub := 0, "last" := '', kind := '')
+ when s."last" <> '' and not regexp_matches({_trim('s."last"')}, '[{_MARKS}]\z') then struct_pack("out" := s."out" || x."out", sub := 0, "last" := x."out", kind := '')
+ else struct_pack("out" := s."out" || chr(10) || x."out", sub := 0, "last" := x."out", kind := '') end,
+ struct_pack("out" := array_to_string(list_transform(ls[1:head], lambda x: chr(10) || x."out"), ''), sub := 0, "last" := '', kind := ''))."out" as text from h)
+select doc_id, substr(text, 2) as text from r""",
+    "heading_flags": rf"with {_NONBLANK} select doc_id, line_no, regexp_matches(line, '\A第[一二三四五六七八九十百千0-9]+章') as heading, nullif(regexp_extract(line, '\A第{_S}*(\p{{Nd}}+){_S}*章', 1), '') as number, not regexp_matches(line, '[{_MARKS}]\z') as goes_on from lines",
     "cjk_pair_dedupe": rf"""with r as (select distinct pair_id, zh from pairs_zh where zh is not null),
 l as (select pair_id, cast(unnest(generate_series(0, len(string_split(zh, chr(10))) - 1)) as int) as line_no, unnest(string_split(zh, chr(10))) as raw from r),
 p as (select *, list_transform(generate_series(1, greatest(length(raw) - 1, 1), 2), lambda i: substring(raw, i, 2)) as pairs from l),
@@ -181,7 +223,7 @@ select pair_id, line_no, case when length(raw) > 1 and total > 0 and twice / tot
 from q where raw <> ''""",
     "cjk_join_breaks": rf"""select distinct pair_id, regexp_replace(regexp_replace(zh, '([\x{{4e00}}-\x{{9fff}}]){_S}*\n{_S}*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g'), '([\x{{4e00}}-\x{{9fff}}]){_S}*\n{_S}*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g') as zh from pairs_zh where zh is not null""",
     "leading_letters": "select distinct pair_id, " + _INITIALS % r"regexp_replace(target, '(?m)^([A-Z])([a-z])', '\1 \2', 'g')" + " as target from pairs_en where target is not null",
-    "chapter_number_fix": rf"""with t as (select doc_id, string_split(regexp_replace(text, '第([0-9]+)章', '\1' || chr(10) || '第  章', 'g'), chr(10)) as ls from documents where lang like 'zh%' and text is not null),
+    "chapter_number_fix": rf"""with t as (select doc_id, string_split(regexp_replace(text, '第([0-9]+)章', '\1' || chr(10) || '第  章', 'g'), chr(10)) as ls from documents where text is not null),
 l as (select doc_id, cast(unnest(generate_series(0, len(ls) - 1)) as int) as line_no, unnest(ls) as line from t),
 m as (select *, {_trim('line')} as bare, {_trim("replace(line, ' ', '')")} = '第章' as broken from l),
 w as (select *, coalesce(lead(broken) over (partition by doc_id order by line_no), false) as next, coalesce(regexp_matches(lag(bare) over (partition by doc_id order by line_no), '\A\p{{Nd}}+\z'), false) as before from m)

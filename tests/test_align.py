@@ -78,3 +78,28 @@ def test_prompts_and_replies(spark):
     assert got[0].startswith("Do:\n{") and json.loads(got[0][4:]) == {"source": 'say "x"\n}'} and json.loads(got[1][4:]) == {"source": None}
     df = df.withColumn("reply", A.parse_reply(F.lit('{"k": "9", "source": "?", "zh": "z", "more": 1}'), "k string, source string, zh string"))
     assert [tuple(r) for r in A.merge_reply(df, "reply", ["k", "source"]).orderBy("k").collect()] == [(1, 'say "x"\n}', "z"), (2, None, "z")]
+
+
+def test_models_are_built_once_per_worker_and_called_in_batches(spark, tmp_path):
+    place = str(tmp_path)
+
+    class Model:
+        def __init__(self):
+            import os
+            import uuid
+
+            open(f"{place}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def __call__(self, rows):
+            if len(rows) > 1 and any(r["i"] == 7 for r in rows):
+                raise RuntimeError("the whole batch fails")
+            return [ValueError("odd") if r["i"] == 7 else {"n": str(len(rows))} for r in rows]
+
+    df = spark.range(160).selectExpr("cast(id as int) as i").repartition(40)
+    got = {r.i: r for r in A.run_model(df, Model, "n", size=3).collect()}
+    import os
+
+    built = [x.split("-")[0] for x in os.listdir(place)]
+    assert len(built) == len(set(built)) < 40  # one of each process, however many tasks it ran
+    assert len(got) == 160 and got[7].error == "ValueError: odd" and all(r.error is None for k, r in got.items() if k != 7)
+    assert max(int(r.n) for r in got.values() if r.n) == 3
