@@ -11,8 +11,9 @@ from lectern.llm.boost import Boost
 from lectern.llm.forms import LOOKALIKES, fold, is_han, skeleton
 
 TEXT, HEADER, NUMBER = 0, 1, 2
-#: A line that is a number and ornament, digits perhaps misread as letters.
-NUMERIC = re.compile(r"^(?:page|p\.|pp\.|seite|pág\.|第)?\s*[-–—~·•*\[(|<]*\s*(?:第\s*)?[\dOolI]{1,4}(?:\s*/\s*\d+)?\s*(?:页)?(?:\s*共\s*[\dOolI]+\s*页)?\s*[-–—~·•*\])|>]*$", re.I)
+#: A line that is a number and ornament: digits, perhaps misread as letters, or a Roman numeral.
+ROMAN = "(?=[ivxlcdm])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+NUMERIC = re.compile(rf"^(?:page|p\.|pp\.|seite|pág\.|第)?\s*[-–—~·•*\[(|<]*\s*(?:第\s*)?(?:[\dOolI]+|{ROMAN})(?:\s*/\s*\d+)?\s*(?:页)?(?:\s*共\s*[\dOolI]+\s*页)?\s*[-–—~·•*\])|>]*$", re.I)
 CHAPTER = re.compile(r"^chapter\s+\w+\b|\b(?:ch\.|chapter)\s*\w+\s*$|(?:^|[\s·|])第\s*\S{1,4}\s*章(?:$|[\s·|])", re.I)
 SIGN = re.compile(r"(\S*[^\W\d_])([-‐‑­¬])[ \t]*$")
 FINAL = ".!?。！？…”’」』\"')）"
@@ -97,7 +98,7 @@ def kinds_of(pages: list[Page], model: tuple[Boost, Boost]) -> list[list[int]]:
         for k, (p, i) in enumerate(shown):
             if p.numeric[i]:
                 out[id(p)][i] = NUMBER if number[k] else TEXT
-            elif header[k] and len(p.lines[i]) < 120:
+            elif header[k]:
                 out[id(p)][i] = HEADER
     return [out[id(p)] for p in pages]
 

@@ -17,7 +17,7 @@ def _scans(spark: SparkSession, root: str) -> scans.Scans:
     for name, field in (("pairs_en", "target"), ("pairs_zh", "zh")):
         part = table(spark, root, name).select(F.lit(field).alias("field"), F.col("pair_id").alias("id"), "book", F.expr("origin = 'scan'").alias("scan"), F.col(field).alias("text"))
         rows = part if rows is None else rows.unionByName(part)
-    titles = table(spark, root, "front_matter").select("book", F.expr("explode(slice(split(text, '\n'), 1, 2))").alias("title"))
+    titles = table(spark, root, "front_matter").select("book", F.expr("explode(split(text, '\n'))").alias("title"))
     return scans.Scans(rows, titles)
 
 

@@ -29,6 +29,10 @@ from lectern.tables import materialise
 SAMPLE_TEXTS, SAMPLE_WORDS, SAMPLE_WINDOWS = 600, 2000, 6000
 #: Candidates of those words and windows that a model is trained on.
 SAMPLE_LESSONS = 60_000
+#: A place in a text is its paragraph's number times this, and the place in the paragraph.
+PARAGRAPH = 1 << 32
+#: Rows of one key that a task joins; those of a more frequent one are dealt out.
+HEAVY = 10_000
 # What recognition is known to confuse (printed, read).
 CONFUSED = (
     "m:rn rn:m d:cl cl:d w:vv vv:w u:ii n:ri ri:n in:m m:in h:b b:h h:li li:h e:c c:e t:f f:t o:0 l:1 i:1 s:5 g:9 i:! l:! b:6 z:2 "
@@ -120,16 +124,25 @@ def grams(word: Column, size: int) -> Column:
     return F.flatten(each)
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: str, each: str, many: int) -> DataFrame:
+    """``left`` and ``right`` joined by a column. Rows of ``right`` under a key that has more than HEAVY of them are dealt
+    out by the column ``each``, and the rows of ``left`` that meet them are repeated, so no task holds all of a key."""
+    parts = right.groupBy(on).agg(F.count(F.lit(1)).alias("parts")).where(f"parts > {HEAVY}").select(on, F.expr(f"cast((parts + {HEAVY - 1}) div {HEAVY} as int)").alias("parts"))
+    left = left.join(parts, on, "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+    right = right.join(parts, on, "left").withColumn("part", F.expr(f"cast(pmod(xxhash64({each}), coalesce(parts, 1)) as int)")).drop("parts")
+    return left.repartition(many, on, "part").join(right.repartition(many, on, "part"), [on, "part"]).drop("part")
+
+
 def word_candidates(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, label, true, n): for each asked word the words of the vocabulary that share enough q-grams with it.
     Words of up to five letters are looked up by pairs, longer ones by triples."""
     short = F.length("word") <= 5
-    left = asked.where(F.length("word").between(2, 40)).select("word", "label", "own", F.explode(F.when(short, grams(F.col("word"), 2)).otherwise(grams(F.col("word"), 3))).alias("gram"))
+    left = asked.where(F.length("word") > 1).select("word", "label", "own", F.explode(F.when(short, grams(F.col("word"), 2)).otherwise(grams(F.col("word"), 3))).alias("gram"))
     can = F.length("meant") <= 7
-    right = vocabulary.where(F.length("meant").between(2, 40)).select("meant", "n", F.explode(F.when(can, F.concat(grams(F.col("meant"), 2), grams(F.col("meant"), 3))).otherwise(grams(F.col("meant"), 3))).alias("gram"))
+    right = vocabulary.where(F.length("meant") > 1).select("meant", "n", F.explode(F.when(can, F.concat(grams(F.col("meant"), 2), grams(F.col("meant"), 3))).otherwise(grams(F.col("meant"), 3))).alias("gram"))
     spark = asked.sparkSession
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # few bytes, much work
-    met = left.repartition(many, "gram").join(right.repartition(many, "gram"), "gram").where("meant <> own and meant <> word and abs(length(meant) - length(word)) <= 2")
+    met = dealt_join(left, right, "gram", "meant", many).where("meant <> own and meant <> word and abs(length(meant) - length(word)) <= 2")
     near = F.when(F.length("word") <= 5, 2).when(F.length("word") <= 8, 3).otherwise(4)
     shared = met.repartition(many, "word").groupBy("word", "label", "own", "meant").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
     return shared.where((F.col("shared") >= F.greatest(F.lit(2), F.ceil(F.length("word") / 3))) & (F.levenshtein("word", "meant") <= near))
@@ -155,6 +168,16 @@ def corrupt(r: random.Random, word: str) -> str:
     return word
 
 
+def varied(r: random.Random, word: str, letters: str) -> str:
+    """The word with one or two letters changed, lost or put in at random, as other words differ from it."""
+    for _ in range(r.choice([1, 1, 2])):
+        k = r.randrange(len(word))
+        word = r.choice([word[:k] + r.choice(letters) + word[k + 1 :], word[:k] + word[k + 1 :], word[:k] + r.choice(letters) + word[k:]])
+        if len(word) < 2:
+            break
+    return word
+
+
 class Scans:
     """The noise of scanned texts, found by the help of clean ones.
 
@@ -178,7 +201,7 @@ class Scans:
 
         key = F.lower(F.regexp_replace(F.regexp_replace("line", r"(?i)\b(ch\.|chapter)\s*\S+\s*$|^\s*chapter\s+\S+|第\s*\S{1,4}\s*章", ""), r"[^\p{L}]", ""))
         scans = self.rows.where("scan")
-        seen = scans.select("field", F.coalesce(F.col("book").cast("string"), F.lit("")).alias("book"), "id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) < 160").select("field", "book", "id", key.alias("key")).where("length(key) between 4 and 80")
+        seen = scans.select("field", F.coalesce(F.col("book").cast("string"), F.lit("")).alias("book"), "id", F.explode(F.split("text", "\n")).alias("line")).select("field", "book", "id", key.alias("key")).where("length(key) > 0")
         seen = seen.distinct()
         often = seen.groupBy("field", "book", "key").agg(F.count(F.lit(1)).alias("n"))
         anywhere = often.groupBy("field", "key").agg(F.sum("n").alias("all")).where("all > 1")
@@ -245,7 +268,7 @@ class Scans:
         def divided(sign: pd.Series, n: pd.DataFrame) -> pd.Series:
             soft = ~sign.isin(["-", "‑"]).to_numpy()  # no compound is written with such a sign
             x = np.column_stack([np.log1p(n.fillna(0).to_numpy(float)), soft])
-            return pd.Series((model.predict(x) > 0.5) | soft)
+            return pd.Series(model.predict(x) > 0.5)
 
         decided = found.join(asked, ["last", "b", "word", "pair"]).where(divided("sign", F.struct(*traits)))
         return decided.select("field", "id", "line", "next", "word")
@@ -306,10 +329,7 @@ class Scans:
         known = self.counted("w", "word", "known")
         unknown = materialise(found.join(known, "word", "left_anti").where(F.expr(r"not word rlike '^[0-9]+$'")), "unknown")
         asked = unknown.select("word").distinct()
-        digits = F.translate("word", "oli!sb", "011158")  # letters that stand for digits
-        number = F.expr(r"word rlike '^[0-9oli!]{2,}$' and word rlike '[0-9]'")
-        fixed = self._rank_words(asked.where(~number)).unionByName(asked.where(number).select("word", digits.alias("meant")))
-        return unknown.join(fixed, "word")
+        return unknown.join(self._rank_words(asked), "word")
 
     def _rank_words(self, unknown: DataFrame) -> DataFrame:
         """(word, true) for the unknown words that are a misread known one."""
@@ -317,19 +337,34 @@ class Scans:
         vocabulary = self.counted("w", "meant", "n").where(F.expr(r"meant rlike '^\\p{L}+$|^[0-9]*\\p{L}[0-9]*$'"))
         r = random.Random(5)
         own = vocabulary.where("length(meant) > 2").orderBy(F.xxhash64("meant"), "meant").limit(SAMPLE_WORDS).collect()
-        made = []
+        made, letters = [], "".join(sorted({c for x in own for c in x.meant if c.isalpha()}))
         for x in own:
             made.append((x.meant, 0, x.meant))  # a word that is right, as if the clean texts did not know it
+            w = varied(r, x.meant, letters)
+            if not any(c in PAIRS for c in parts(w, x.meant)):
+                made.append((w, 0, ""))  # another word, whatever it resembles
             for _ in range(2):
                 w = corrupt(r, x.meant)
                 if w != x.meant:
                     made.append((w, 1, x.meant))
+        figures = self.counts.where("what = 'w'").where(F.expr("item rlike '^[0-9]{2,}$'")).orderBy(F.xxhash64("item"), "item").limit(SAMPLE_WORDS // 4).collect()
+        for x in figures:
+            w = list(x.item)
+            for k in r.sample(range(len(w)), r.choice([1, 1, 2])):
+                w[k] = r.choice({"0": "o", "1": "li!", "5": "s", "8": "b"}.get(w[k], w[k]))
+            if "".join(w) != x.item and any(c.isdigit() for c in w):
+                made.append(("".join(w), 1, x.item))
         lesson = spark.createDataFrame(made or [("", 0, "")], "word string, label int, source string")
         # of a corrupted word the source is the answer; of a right word all candidates are wrong
         asked = unknown.select("word", F.lit(-1).alias("label"), F.lit("").alias("own"), F.lit("").alias("source")).unionByName(
-            lesson.join(self.counted("w", "word", "n"), "word", "left").where("label = 0 or n is null").select("word", "label", F.when(F.col("label") == 0, F.col("source")).otherwise("").alias("own"), "source")
+            lesson.join(self.counted("w", "word", "n"), "word", "left").where("label = 0 and source <> '' or n is null").select("word", "label", F.when(F.col("label") == 0, F.col("source")).otherwise("").alias("own"), "source")
         )
-        met = word_candidates(asked.select("word", "label", "own").distinct(), vocabulary)
+        distinct = asked.select("word", "label", "own").distinct()
+        met = word_candidates(distinct, vocabulary)
+        # a number among letters that look like digits is a candidate as well, known to the clean texts or not
+        number = F.expr(r"word rlike '^[0-9oli!sb]{2,}$' and word rlike '[0-9]' and not word rlike '^[0-9]+$'")
+        plain = distinct.where(number).withColumn("meant", F.translate("word", "oli!sb", "011158")).where("meant <> own")
+        met = met.unionByName(plain.select("word", "label", "own", "meant", (2 * F.length("word")).cast("bigint").alias("shared"), F.lit(1).cast("bigint").alias("n")))
         thirds = vocabulary.select(F.col("n").alias("m"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("meant")), lambda i: F.concat(F.lit("^"), "meant", F.lit("$")).substr(i, F.lit(3))))).alias("third")).groupBy("third").agg(F.count(F.lit(1)).alias("m"))
         odd = asked.select("word", "own").distinct().select("word", "own", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word"))), lambda i: F.concat(F.lit("^"), "word", F.lit("$")).substr(i, F.lit(3))))).alias("third"))
         odd = odd.join(thirds, "third", "left").groupBy("word", "own").agg((F.min(F.coalesce("m", F.lit(0))) - F.when(F.col("own") == F.col("word"), 1).otherwise(0)).alias("odd"))
@@ -339,10 +374,10 @@ class Scans:
             out = []
             for w, t in zip(word, true):
                 p = parts(w, t)
-                out.append("|".join(f"{a}>{b}" for a, b in p) if len(p) < 3 and all(len(a) < 4 and len(b) < 4 for a, b in p) else None)
+                out.append("|".join(f"{a}>{b}" for a, b in p))
             return pd.Series(out, dtype=object)
 
-        met = materialise(met.withColumn("change", change("word", "meant")).where("change is not null").join(odd, ["word", "own"]), "candidates")
+        met = materialise(met.withColumn("change", change("word", "meant")).join(odd, ["word", "own"]), "candidates")
         support = met.where("instr(change, '|') = 0").groupBy("change").agg(F.countDistinct(F.when(F.col("label") != 0, F.col("word"))).alias("support"))
         met = met.join(support, "change", "left").fillna(0, ["support"])
         lessons = met.where("label >= 0").join(lesson.select("word", "label", "source").distinct(), ["word", "label"]).select("word", "meant", "n", "shared", "odd", "support", F.expr("cast(label = 1 and meant = source as int)").alias("y"))
@@ -353,8 +388,7 @@ class Scans:
         @F.pandas_udf("double")
         def rate(word: pd.Series, true: pd.Series, n: pd.Series, shared: pd.Series, odd: pd.Series, support: pd.Series) -> pd.Series:
             x = traits(pd.DataFrame({"word": word, "meant": true, "n": n, "shared": shared, "odd": odd, "support": support}))
-            usual = (x[:, 4] > 0) | (x[:, 10] > np.log1p(4.5))  # a known confusion, or one that at least five words share
-            return pd.Series(np.where(usual, model.predict(x), 0.0))
+            return pd.Series(model.predict(x))
 
         rated = met.where("label = -1").withColumn("rate", rate("word", "meant", "n", "shared", "odd", "support"))
         return rated.groupBy("word").agg(F.max_by("meant", F.struct("rate", "n", "meant")).alias("meant"), F.max("rate").alias("rate")).where("rate > 0.5").select("word", "meant")
@@ -366,7 +400,7 @@ class Scans:
         def pairs(paragraphs):
             for k, p in enumerate(paragraphs):
                 for at, c, before, after, run in doubles("".join(c for c, _ in p), [n for _, n in p]):
-                    yield k * 10_000_000 + at, c + c, before + c + after, before + c + c, c + c + after, run, p[at][1]
+                    yield k * PARAGRAPH + at, c + c, before + c + after, before + c + c, c + c + after, run, p[at][1]
 
         # no text doubles three ideographs on end by itself; fewer do it where the clean texts know the undoubled company better
         found = self._walked(joined, pairs, "at bigint, read string, once string, before string, after string, run int, line int")
@@ -377,9 +411,9 @@ class Scans:
 
         def company(paragraphs, noise):
             for k, p in enumerate(paragraphs):
-                left = [i for i in range(len(p)) if k * 10_000_000 + i - 1 not in noise]
+                left = [i for i in range(len(p)) if k * PARAGRAPH + i - 1 not in noise]
                 for at, w in windows("".join(p[i][0] for i in left)):
-                    place = k * 10_000_000 + left[at]
+                    place = k * PARAGRAPH + left[at]
                     yield place, w[2] * (2 if place in noise else 1), w, p[left[at]][1]
 
         found = self._walked(joined, company, "at bigint, read string, window string, line int", twice)
@@ -416,7 +450,8 @@ class Scans:
         ch = lambda c, i, n=1: F.col(c).substr(i, n)
         gap = asked.withColumn("gap", F.concat(ch("window", 2), ch("window", 4)))
         side = thirds.select(F.concat(ch("third", 1), ch("third", 3)).alias("gap"), ch("third", 2).alias("meant"), F.col("n").alias("n_mid"))
-        met = gap.join(side, "gap").where("meant <> substring(window, 3, 1)").drop("gap")
+        many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        met = dealt_join(gap, side, "gap", "meant", many).where("meant <> substring(window, 3, 1)").drop("gap")
         own = lambda col, taken: F.greatest(F.coalesce(col, F.lit(0)) - F.when(F.col("label") == 0, taken).otherwise(0), F.lit(0))
         for name, key in (
             ("n_left", F.concat(ch("window", 1, 2), "meant")), ("n_right", F.concat("meant", ch("window", 4, 2))),
@@ -490,7 +525,7 @@ class Scans:
                 for r in batch.itertuples(index=False):
                     paragraphs = ["".join(c for c, _ in p) for p in running(Page(r.text, [], {}), list(r.kinds), set(r.joined) if r.joined is not None else set())]
                     for x in r.signs if r.signs is not None else ():
-                        k, at = divmod(x["at"], 10_000_000)
+                        k, at = divmod(x["at"], PARAGRAPH)
                         new = x["meant"] or x["read"][0]
                         paragraphs[k] = paragraphs[k][:at] + new + paragraphs[k][at + len(x["read"]) :]
                     table = {x["word"]: x["meant"] for x in r.fixes} if r.fixes is not None else {}

@@ -103,3 +103,20 @@ def test_boost():
     m = Boost().fit(x[:2000], y[:2000])
     assert ((m.predict(x[2000:]) > 0.5) == y[2000:]).mean() > 0.97
     assert Boost().fit(np.zeros((0, 2)), np.zeros(0)).predict(np.zeros((3, 2))).shape == (3,)
+
+
+def test_a_frequent_key_is_dealt_out(spark, monkeypatch):
+    from lectern.llm import scans
+
+    left = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, x int")
+    right = spark.createDataFrame([("a", f"w{i}") for i in range(90)] + [("b", "v")], "k string, meant string")
+    want = sorted(map(tuple, left.join(right, "k").select("k", "x", "meant").collect()))
+    monkeypatch.setattr(scans, "HEAVY", 10)
+    assert sorted(map(tuple, scans.dealt_join(left, right, "k", "meant", 8).select("k", "x", "meant").collect())) == want and len(want) == 91
+
+
+def test_page_numbers_of_any_length():
+    from lectern.llm.furniture import NUMERIC
+
+    assert all(NUMERIC.match(x) for x in ("12", "- 1204 -", "103456", "xiv", "[ MCMXC ]", "第12页", "l2O"))
+    assert not any(NUMERIC.match(x) for x in ("", "-", "vim", "civil", "the 12", "12 men"))
