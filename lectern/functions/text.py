@@ -59,7 +59,27 @@ def mixed_tokens(text: Column) -> Column:
     return F.transform(F.filter(both, lambda t: t.rlike(r"[\p{L}\p{N}_]")), trim)
 
 
+#: The steps of the published Penn Treebank script, in its order: what is found, and what stands for it.
+TREEBANK = (
+    (r'^"', "`` "), (r'([ (\[{<])"', "$1 `` "), (r"\.\.\.", " ... "), (r"([,;:@#$%&])", " $1 "), (r"([^.])(\.)([\])}>\"']*)[ \t]*(\n|$)", "$1 $2$3 $4"),
+    (r"([?!])", " $1 "), (r"([\]\[(){}<>])", " $1 "), (r"--", " -- "), (r"^|$", " "), (r'"', " '' "), (r"([^'])' ", "$1 ' "), (r"'([sSmMdD]) ", " '$1 "),
+    (r"'(ll|LL|re|RE|ve|VE) ", " '$1 "), (r"(n't|N'T) ", " $1 "), (r" ([Cc])annot ", " $1an not "), (r" ([Gg])onna ", " $1on na "), (r" ([Gg])otta ", " $1ot ta "),
+    (r" ([Ll])emme ", " $1em me "), (r" ([Ww])anna ", " $1an na "), (r" '([Tt])is ", " '$1 is "), (r" '([Tt])was ", " '$1 was "),
+)
+
+
+def treebank_tokens(text: Column) -> Column:
+    """Tokens of the Penn Treebank: contractions apart (do n't), quotes told open from closed, a full stop apart at a
+    line's end only. Typographic apostrophes count as plain ones."""
+    out = F.regexp_replace(text, "’", "'")
+    for found, put in TREEBANK:
+        out = F.regexp_replace(out, found, put)
+    return F.filter(F.split(out, rf"[{SPACE}]+"), lambda t: t != "")
+
+
 TOKENIZERS = {"english": english_tokens, "chinese": chinese_tokens, "mixed": mixed_tokens}
+#: Further ones, by name only; no language is routed to them.
+MORE = {"treebank": treebank_tokens}
 
 
 def detect_language(text: Column) -> Column:
@@ -81,7 +101,7 @@ def tokenizer_of(language: Column) -> Column:
 def tokens(text: Column, tokenizer: str | Column) -> Column:
     """Tokens by a named tokenizer, or by the one that a column names."""
     if isinstance(tokenizer, str):
-        return TOKENIZERS[tokenizer](text)
+        return (TOKENIZERS | MORE)[tokenizer](text)
     return F.when(tokenizer == "english", english_tokens(text)).when(tokenizer == "chinese", chinese_tokens(text)).otherwise(mixed_tokens(text))
 
 

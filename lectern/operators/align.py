@@ -77,9 +77,26 @@ def merge_reply(df: DataFrame, reply: str, trusted: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c != reply and c not in fields], *[F.col(reply)[f].alias(f) for f in fields])
 
 
+_NUMBER = re.compile(r"[+-]?(?:0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|Infinity|NaN)(?=\s*(?:[,}\]\n]|/[/*]|$))")
+_BARE = re.compile(r"[^,}\]\n]+")
+_WORDS = {"True": "true", "False": "false", "None": "null", "true": "true", "false": "false", "null": "null"}
+
+
+def _number(text: str) -> str:
+    """A number as strict JSON writes it."""
+    sign, body = ("-" if text[0] == "-" else ""), text.lstrip("+-")
+    if body[:2].lower() == "0x":
+        return sign + str(int(body, 16))
+    if body in ("Infinity", "NaN"):
+        return sign + body
+    whole, point, fraction, power = re.fullmatch(r"(\d*)(\.?)(\d*)((?:[eE].*)?)", body).groups()
+    return sign + str(int(whole or 0)) + (f".{fraction or 0}" if point else "") + power
+
+
 def mend_json(raw: str | None) -> str | None:
-    """Strict JSON of one object written loosely: single quotes, bare keys, trailing commas, comments, missing ends.
-    Null for null and for what cannot be mended."""
+    """Strict JSON of one object written loosely: single quotes, bare keys and values, trailing commas, comments of either
+    kind, hexadecimal and signed numbers, points without digits on a side, missing ends. Null for null and for what cannot
+    be mended."""
     if raw is None:
         return None
     out, stack, i = [], [], 0
@@ -90,15 +107,17 @@ def mend_json(raw: str | None) -> str | None:
             body = ""
             while k < len(raw) and raw[k] != c:
                 if raw[k] == "\\" and k + 1 < len(raw):
-                    body += raw[k + 1] if raw[k + 1] == "'" else raw[k : k + 2]
+                    body += raw[k + 1] if raw[k + 1] == "'" else "" if raw[k + 1] == "\n" else raw[k : k + 2]
                     k += 1
                 else:
                     body += {'"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r"}.get(raw[k], raw[k])
                 k += 1
             out.append(f'"{body}"')
             i = k + 1
-        elif raw.startswith("//", i):
-            i = raw.find("\n", i) if raw.find("\n", i) >= 0 else len(raw)
+        elif raw.startswith(("//", "/*"), i):
+            end = "\n" if raw[i + 1] == "/" else "*/"
+            at = raw.find(end, i + 2)
+            i = len(raw) if at < 0 else at if end == "\n" else at + 2
         elif c in "{[":
             stack.append("}" if c == "{" else "]")
             out.append(c)
@@ -114,14 +133,18 @@ def mend_json(raw: str | None) -> str | None:
             i += 1
             if not stack and raw[i:].strip():
                 return None
-        elif c.isalpha() or c in "_$":
-            word = re.match(r"[\w$]+", raw[i:])[0]
-            i += len(word)
-            value = {"True": "true", "False": "false", "None": "null"}.get(word, word)
-            out.append(value if value in ("true", "false", "null") and not re.match(r"\s*:", raw[i:]) else f'"{word}"')
-        else:
+        elif c in ",:" or c.isspace():
             out.append(c)
             i += 1
+        elif stack and stack[-1] == "}" and next((x for x in reversed(out) if not x.isspace()), "") in ("{", ","):
+            word = re.match(r"[^\s:,{}\[\]\"']+", raw[i:])[0]  # a key
+            out.append(json.dumps(word, ensure_ascii=False))
+            i += len(word)
+        else:
+            number = _NUMBER.match(raw, i)
+            value = number[0] if number else re.split(r"\s*(?:/[/*]|$)", _BARE.match(raw, i)[0], maxsplit=1)[0]
+            out.append(_number(value) if number else _WORDS.get(value, json.dumps(value, ensure_ascii=False)))
+            i += max(1, len(value))
     while out and (out[-1].isspace() or out[-1] == ","):
         out.pop()
     text = "".join(out) + "".join(reversed(stack))
@@ -299,3 +322,62 @@ def align_and_verify(chunks: DataFrame, least: float = 0.9) -> tuple[DataFrame,
     fine, failed = dead_letters(aligned, [c for c in chunks.columns if c not in ("source", "reference")])
     judged = materialise(run_model(fine, lambda: Verifier(least), "decision").drop("error"), "judged")
     return judged.where(accepted(F.col("decision"))), judged.where(~accepted(F.col("decision"))), failed
+
+
+#: How replies are drawn, for aligning and for verifying.
+ALIGNING = {"temperature": 0.1, "top_p": 0.8, "max_new_tokens": 2048, "thinking": False}
+VERIFYING = ALIGNING | {"max_new_tokens": 1024}
+COPY_CHINESE = (
+    "You are given a Chinese text and one piece of an English recording with its transcript. Find the stretch of the Chinese text that "
+    "the transcript renders. Copy it exactly as it is written; do not translate, shorten or add anything. "
+    'Answer with one JSON object: {"chunk_file": ..., "en": ..., "zh": ...}.'
+)
+
+
+def messages(system: str, user: Column) -> Column:
+    """A conversation to be answered: what the system is told, and what the user says."""
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
+
+
+def plain_template(conversation: list[dict], thinking: bool) -> str:
+    """Roles and contents one below the other, ending where the answer begins. A model brings its own template."""
+    return "".join(f"[{m['role']}]\n{m['content']}\n" for m in conversation) + "[assistant]\n"
+
+
+class Chat:
+    """A text generator ``generate(prompts, temperature, top_p, max_new_tokens) -> replies`` as a batch call over rows with
+    ``messages``; ``template(messages, thinking)`` renders a conversation as a prompt."""
+
+    def __init__(self, generate, template=plain_template, parameters: dict = ALIGNING) -> None:
+        self.generate, self.template, self.parameters = generate, template, dict(parameters)
+        self.thinking = self.parameters.pop("thinking", False)
+
+    def __call__(self, rows: list[dict]) -> list[dict | Exception]:
+        prompts = [self.template([{k: m[k] for k in ("role", "content")} for m in r["messages"]], self.thinking) for r in rows]
+        return [{"reply": x} for x in self.generate(prompts, **self.parameters)]
+
+
+def with_chapters(chunks: DataFrame, chapters: DataFrame, on: list[str], text: str, titles: DataFrame | None = None) -> DataFrame:
+    """``chunks`` (with ``chunk_file``) and, as ``reference``, the whole text of their chapter, before it in the first
+    chunk the title page of its book (``titles``: book, title). A chunk without a chapter has none (null)."""
+    out = chunks.join(chapters.select(*on, F.col(text).alias("reference")), on, "left")
+    if titles is not None:
+        out = out.join(titles.select("book", F.col("title").alias("_title")), "book", "left")
+        out = out.withColumn("reference", with_title(F.col("reference"), F.col("_title"), X.chunk_number(F.col("chunk_file")))).drop("_title")
+    return out
+
+
+def align_chinese(chunks: DataFrame, make, keys: list[str], system: str = COPY_CHINESE) -> tuple[DataFrame, DataFrame]:
+    """Aligned (keys, chunk_file, en, zh) and failed rows (keys, chunk_file, error) of chunks with ``chunk_file``, ``en``
+    and ``reference``, the Chinese chapter. The model ``make()`` builds (see ``Chat``) gets both texts; of its reply the
+    JSON object is read strictly, file name and English text are the input's own, and line breaks between ideographs go.
+    A model that fails, a reply without an object or without ``zh``, and a row without a chapter are failures."""
+    user = F.concat(F.lit("Chinese text:\n\n"), F.col("reference"), F.lit("\n\nPiece of the recording:\n\n"), to_object(chunk_file=F.col("chunk_file"), en=F.col("en")), F.lit("\n\nGive the JSON object only."))
+    asked = chunks.select(*keys, "chunk_file", "en", F.when(F.col("reference").isNotNull(), messages(system, user)).alias("messages"))
+    answered = run_model(asked.where("messages is not null"), make, "reply").drop("messages")
+    answered = answered.withColumn("found", parse_reply(F.col("reply"), "chunk_file string, en string, zh string", repair=False))
+    answered = materialise(answered.withColumn("error", F.expr("coalesce(error, case when found is null then 'no JSON object' when found.zh is null then 'no zh' end)")), "answered")
+    fine, failed = dead_letters(answered, [*keys, "chunk_file"])
+    aligned = merge_reply(fine, "found", ["chunk_file", "en"]).select(*keys, "chunk_file", "en", X.join_ideograph_breaks(F.col("zh")).alias("zh"))
+    lost = asked.where("messages is null").select(*keys, "chunk_file", F.lit("no chapter").alias("error"))
+    return aligned, failed.unionByName(lost)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,11 +132,34 @@ def chinese_replies(spark: SparkSession, root: str) -> DataFrame:
     return merged.withColumn("zh", X.join_ideograph_breaks(F.col("zh")))
 
 
+class Copyist:
+    """In place of a model: answers with the first lines of the Chinese text it is given, and with other names; it fails
+    where the transcript asks a question."""
+
+    def __call__(self, prompts: list[str], temperature: float, top_p: float, max_new_tokens: int) -> list[str]:
+        out = []
+        for p in prompts:
+            text, _, piece = p.split("Chinese text:\n\n", 1)[1].partition("\n\nPiece of the recording:\n\n")
+            reply = json.dumps({"chunk_file": "?", "en": "?", "zh": "\n".join(text.split("\n")[:3])}, ensure_ascii=False)
+            out.append("I cannot say." if "?" in piece else f"Here it is:\n{reply}\nDone.")
+        return out
+
+
+def chinese_alignment(spark: SparkSession, root: str) -> DataFrame:
+    """Each English piece with its whole Chinese chapter and, first pieces, the title page; failures told apart."""
+    chunks = table(spark, root, "pairs_zh").select("pair_id", "book", "chapter", "chunk_file", "en").distinct()
+    chapters = table(spark, root, "chapter_pairs").where("zh is not null and chapter is not null").groupBy("book", "chapter").agg(F.min("zh").alias("zh"))
+    titles = table(spark, root, "front_matter").select("book", F.col("text").alias("title"))
+    aligned, failed = A.align_chinese(A.with_chapters(chunks, chapters, ["book", "chapter"], "zh", titles), lambda: A.Chat(Copyist()), ["pair_id"])
+    none = F.lit(None).cast("string")
+    return aligned.select("pair_id", "chunk_file", "en", "zh", none.alias("error")).unionByName(failed.select("pair_id", "chunk_file", none.alias("en"), none.alias("zh"), "error"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         silence_cuts, segment_intervals, merge_short_segments, transcript_segments, transcript_pack, chunk_names, pending_items, verified_only, reference_window,
-        title_prefix, extract_json, align_spans, verify_spans, align_pipeline, parse_replies, pair_json, prompts, chinese_replies,
+        title_prefix, extract_json, align_spans, verify_spans, align_pipeline, parse_replies, pair_json, prompts, chinese_replies, chinese_alignment,
     )
 }
 
@@ -148,7 +173,14 @@ spans as (select user_id, least(a, total) as start_ms, least(coalesce(lead(a) ov
 segs as (select user_id, cast(row_number() over (partition by user_id order by start_ms) as int) as seg_no, start_ms, end_ms from spans where end_ms > start_ms)"""
 _LINES = rf"list_filter(list_transform(string_split_regex(en, '\r\n|\r|\n'), lambda x: regexp_replace(x, '\A[\t-\r\x1c-\x1f\x85\p{{Z}}]+|[\t-\r\x1c-\x1f\x85\p{{Z}}]+\z', '', 'g')), lambda x: length(x) > 0)"
 
+_BROKEN = r"([\x{4e00}-\x{9fff}])[\t-\r\x1c-\x1f\x85\p{Z}]*\n[\t-\r\x1c-\x1f\x85\p{Z}]*([\x{4e00}-\x{9fff}])"
+
 SQL = {
+    "chinese_alignment": rf"""with c as (select distinct pair_id, book, chapter, chunk_file, en from pairs_zh),
+t as (select book, chapter, min(zh) as zh from chapter_pairs where zh is not null and chapter is not null group by all),
+r as (select c.*, case when regexp_extract(chunk_file, 'chunk_(\d+)', 1) = '1' and f.text is not null then f.text || chr(10) || chr(10) || t.zh else t.zh end as reference from c left join t using (book, chapter) left join front_matter f on f.book = c.book),
+s as (select *, array_to_string(string_split(reference, chr(10))[1:3], chr(10)) as ls, case when reference is null then 'no chapter' when contains(coalesce(en, '') || chunk_file, '?') then 'no JSON object' end as error from r)
+select pair_id, chunk_file, case when error is null then en end as en, case when error is null then regexp_replace(regexp_replace(ls, '{_BROKEN}', '\1\2', 'g'), '{_BROKEN}', '\1\2', 'g') end as zh, error from s""",
     "silence_cuts": f"with {_CUTS} select user_id, cut_frame from cuts",
     "segment_intervals": f"with {_SEGMENTS} select user_id, seg_no, start_ms, end_ms from segs",
     # piece by piece, as a sequential program would do it
@@ -171,6 +203,7 @@ select chapter_pair_id, chunk_no, array_to_string(ls[greatest(0, k - {OFFSET}) +
     "title_prefix": r"""select distinct t.book, t.chapter, t.chunk_file, case when regexp_extract(chunk_file, 'chunk_(\d+)', 1) = '1' and f.text is not null then f.text || chr(10) || chr(10) || t.text else t.text end as text
 from transcripts t left join front_matter f using (book)""",
     "extract_json": """select event_id, case when event_type <> 'view' then props end as span, case when event_type <> 'view' then cast(json_extract_string(props, '$.k') as bigint) end as k from events""",
+    "parse_replies": "select event_id, case when event_id % 4 in (0, 3) then 't' end as think, case when event_id % 4 in (0, 3) then cast(value as varchar) end as target from events",
     "pair_json": "select distinct pair_id, to_json({'chunk_file': chunk_file, 'source': source, 'target': target})::varchar as pair from pairs_en",
     "prompts": "select distinct pair_id, 'Say whether the target renders the source.' || chr(10) || to_json({'source': source, 'target': target})::varchar as prompt from pairs_en",
     "chinese_replies": rf"""select distinct pair_id, chunk_file, en, regexp_replace(regexp_replace(zh, '([\x{{4e00}}-\x{{9fff}}])[\t-\r\x1c-\x1f\x85\p{{Z}}]*\n[\t-\r\x1c-\x1f\x85\p{{Z}}]*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g'), '([\x{{4e00}}-\x{{9fff}}])[\t-\r\x1c-\x1f\x85\p{{Z}}]*\n[\t-\r\x1c-\x1f\x85\p{{Z}}]*([\x{{4e00}}-\x{{9fff}}])', '\1\2', 'g') as zh from pairs_zh""",

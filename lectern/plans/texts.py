@@ -26,6 +26,10 @@ def word_tokens(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", F.posexplode(toks).alias("pos", "token"))
 
 
+def treebank_tokens(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "pairs_en").where("source is not null").select("pair_id", F.array_join(X.treebank_tokens(F.col("source")), "|").alias("tokens")).distinct()
+
+
 def mixed_tokens(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pairs_zh").where("zh is not null").select("pair_id", F.array_join(X.mixed_tokens(F.col("zh")), "|").alias("tokens")).distinct()
 
@@ -118,7 +122,7 @@ def ingest_chinese_books(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nonblank_lines, find_lines, word_tokens, mixed_tokens, language_route, language_labels, token_chunks, term_statistics, bm25_topk_pooled, bm25_topk_per_doc,
+        nonblank_lines, find_lines, word_tokens, treebank_tokens, mixed_tokens, language_route, language_labels, token_chunks, term_statistics, bm25_topk_pooled, bm25_topk_per_doc,
         bm25_topk_routed, heading_flags, cjk_pair_dedupe, cjk_join_breaks, leading_letters, chapter_number_fix, split_chapters_en, split_chapters_zh, reflow_lines, ingest_chinese_books,
     )
 }
@@ -170,10 +174,24 @@ _LANGUAGE = rf"""m as (select doc_id, text, length(text) - length(regexp_replace
 list_filter(string_split(lower(text), ' '), lambda x: length(x) > 0) as w from documents),
 l as (select doc_id, text, case when coalesce(letters, 0) = 0 then 'unknown' when han * 10 > letters * 3 then 'zh' when len(list_filter(w, lambda x: x in {_COMMON})) * 12 >= len(w) then 'en' else 'unknown' end as language from m)"""
 
+def _treebank() -> str:
+    """The script's steps as nested replacements."""
+    q = "'"
+    x = f"replace(source, '’', {q * 4})"
+    for found, put in (
+        (r'^"', "`` "), (r'([ (\[{<])"', r"\1 `` "), (r"[.]{3}", " ... "), (r"[,;:@#$%&]", r" \0 "), (r"""([^.])[.]([\])}>"']*)[ \t]*(\n|$)""", r"\1 .\2 \3"), (r"[?!]", r" \0 "),
+        (r"[\]\[(){}<>]", r" \0 "), ("--", " -- "), (r"^|$", " "), ('"', " '' "), (r"([^'])' ", r"\1 ' "), (r"'([smd]|[SMD]) ", r" '\1 "), (r"'(ll|re|ve|LL|RE|VE) ", r" '\1 "), (r"(n't|N'T) ", r" \1 "),
+        (" ([Cc])annot ", r" \1an not "), (" ([Gg])onna ", r" \1on na "), (" ([Gg])otta ", r" \1ot ta "), (" ([Ll])emme ", r" \1em me "), (" ([Ww])anna ", r" \1an na "), (" '([Tt])is ", r" '\1 is "), (" '([Tt])was ", r" '\1 was "),
+    ):
+        x = "regexp_replace({}, '{}', '{}', 'g')".format(x, found.replace(q, q * 2), put.replace(q, q * 2))
+    return rf"select distinct pair_id, array_to_string(list_filter(string_split_regex({x}, '[{_SPACE}]+'), lambda t: t <> ''), '|') as tokens from pairs_en where source is not null"
+
+
 SQL = {
     "nonblank_lines": f"with {_NONBLANK} select doc_id, line_no, line from lines",
     "find_lines": f"with {_NONBLANK} select doc_id, line_no, line from lines where contains(line, 'signal')",
     "word_tokens": f"with {_TOKENS} select doc_id, cast(unnest(generate_series(0, len(t) - 1)) as int) as pos, unnest(t) as token from toks",
+    "treebank_tokens": _treebank(),
     "mixed_tokens": f"select distinct pair_id, array_to_string({_MIXED.replace('%s', 'zh')}, '|') as tokens from pairs_zh where zh is not null",
     "language_route": f"with {_LANGUAGE} select doc_id, language, case language when 'en' then 'english' when 'zh' then 'chinese' else 'mixed' end as tokenizer from l",
     "language_labels": "select lang, case when lower(lang) = 'en' then 'english' when lower(lang) like 'zh%' then 'chinese' else 'mixed' end as tokenizer, count(*) as n from documents group by all",

@@ -50,24 +50,36 @@ def read_pairs(spark: SparkSession, path: str, chinese: bool = False) -> DataFra
     return _json(spark, path, PAIR_ZH if chinese else PAIR_EN, "*_aligned.json").withColumn("chunk_no", X.chunk_number(F.col("file")))
 
 
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pcm, total_ms) of 16 kHz mono 16-bit wave files whose names hold 'chunk' or not; others fail in their row
-    (pcm null, error set). Containers that need a decoder are for an adapter."""
+def _samples(content: bytes) -> bytes | None:
+    """The samples of a 16 kHz mono 16-bit wave file; null for other forms."""
+    try:
+        with wave.open(io.BytesIO(content)) as w:
+            return w.readframes(w.getnframes()) if (w.getframerate(), w.getnchannels(), w.getsampwidth()) == (16_000, 1, 2) else None
+    except (wave.Error, EOFError):
+        return None
+
+
+def read_wav(spark: SparkSession, path: str, chunks_only: bool = False, decode=None) -> DataFrame:
+    """(file, pcm, total_ms, error) of 16 kHz mono 16-bit wave files; with ``chunks_only`` of those whose names hold
+    'chunk'. Other forms and containers are for ``decode(bytes) -> samples`` (16 kHz mono 16-bit): if it is given, files of
+    any name are read. What fails, fails in its row (pcm null, error set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for p, c in zip(b["path"], b["content"]):
                 try:
-                    with wave.open(io.BytesIO(c)) as w:
-                        if (w.getframerate(), w.getnchannels(), w.getsampwidth()) != (16_000, 1, 2):
-                            raise ValueError("not 16 kHz mono 16-bit")
-                        rows.append((p, w.readframes(w.getnframes()), w.getnframes() * 1000 // 16_000, None))
+                    pcm = _samples(c)
+                    if pcm is None and decode is None:
+                        raise ValueError("not 16 kHz mono 16-bit")
+                    pcm = decode(c) if pcm is None else pcm
+                    rows.append((p, pcm, len(pcm) // 2 * 1000 // 16_000, None))
                 except Exception as e:  # noqa: BLE001
                     rows.append((p, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["file", "pcm", "total_ms", "error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+    name = ("*chunk" if chunks_only else "") + ("*" if decode is not None else "*.wav")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).load(path).select("path", "content")
     return files.mapInPandas(run, "file string, pcm binary, total_ms bigint, error string")
 
 

@@ -103,3 +103,36 @@ def test_models_are_built_once_per_worker_and_called_in_batches(spark, tmp_path)
     assert len(built) == len(set(built)) < 40  # one of each process, however many tasks it ran
     assert len(got) == 160 and got[7].error == "ValueError: odd" and all(r.error is None for k, r in got.items() if k != 7)
     assert max(int(r.n) for r in got.values() if r.n) == 3
+
+
+def test_loose_json():
+    loose = {
+        '{a: .5, b: +1, c: 0x1F, d: 5., e: -2.5e3}': {"a": 0.5, "b": 1, "c": 31, "d": 5.0, "e": -2500.0},
+        "{/* x */ a: some words here, b: [1, two, 'three',], // y\n c: None}": {"a": "some words here", "b": [1, "two", "three"], "c": None},
+        "{a: Infinity}": {"a": float("inf")}, '{"a": "x\\\ny"}': {"a": "xy"}, "{a: 'it\\'s \"b\"'}": {"a": 'it\'s "b"'}, "{a: {b: [1, 2": {"a": {"b": [1, 2]}}, "{": {},
+    }
+    assert [json.loads(A.mend_json(x)) for x in loose] == list(loose.values())
+    assert [A.mend_json(x) for x in ("{a b}", "{]", "", "[1]", "{a: 1} {b: 2}", "{:")] == [None] * 6
+
+
+def test_chinese_chapters(spark):
+    """The whole chapter goes to the model, the title page with the first piece; trusted fields win; what fails is kept."""
+
+    class Fake:
+        def __call__(self, prompts, temperature, top_p, max_new_tokens):
+            assert (temperature, top_p, max_new_tokens) == (0.1, 0.8, 2048)
+            if len(prompts) > 1:
+                raise RuntimeError("one at a time")
+            p = prompts[0]
+            assert p.startswith("[system]\n") and p.endswith("[assistant]\n") and "甲\n乙" in p
+            if "boom" in p:
+                raise RuntimeError("out of memory")
+            return ["sorry" if "none" in p else '{"zh": null}' if "void" in p else '{"zh": "题\\n\\n甲 \\n 乙"}' if "题" in p else 'Yes: {"zh": "甲\\n乙。", "en": "?", "chunk_file": 9}.']
+
+    rows = [(1, 1, "1", "chunk_1.wav", "one"), (2, 1, "1", "chunk_11.wav", 'say "two"'), (3, 1, "1", "chunk_3.wav", "none"), (4, 1, "1", "chunk_4.wav", "boom"), (5, 2, "1", "chunk_5.wav", "five"), (6, 1, "1", "chunk_6.wav", "void"), (7, 1, "1", "chunk_7.wav", None)]
+    chunks = spark.createDataFrame(rows, "k int, book int, chapter string, chunk_file string, en string")
+    chapters = spark.createDataFrame([(1, "1", "甲\n乙。")], "book int, chapter string, zh string")
+    titles = spark.createDataFrame([(1, "题")], "book int, title string")
+    aligned, failed = A.align_chinese(A.with_chapters(chunks, chapters, ["book", "chapter"], "zh", titles), lambda: A.Chat(Fake()), ["k"])
+    assert sorted(map(tuple, aligned.collect())) == [(1, "chunk_1.wav", "one", "题甲乙"), (2, "chunk_11.wav", 'say "two"', "甲乙。"), (7, "chunk_7.wav", None, "甲乙。")]
+    assert sorted(map(tuple, failed.collect())) == [(3, "chunk_3.wav", "no JSON object"), (4, "chunk_4.wav", "RuntimeError: out of memory"), (5, "chunk_5.wav", "no chapter"), (6, "chunk_6.wav", "no zh")]

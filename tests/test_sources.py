@@ -75,3 +75,27 @@ def test_windowed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.words) for r in spark.sql("select * from words").collect()) == [(1, 1), (1, 3)]
+
+
+def test_wav_names_and_decoder(spark, tmp_path):
+    import wave
+
+    from lectern.sources.readers import read_wav
+
+    for name, rate in (("chunk_1.wav", 16_000), ("other.wav", 16_000), ("chunk_2.wav", 8_000)):
+        with wave.open(str(tmp_path / name), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(rate)
+            w.writeframes(b"\x01\x00" * 1600)
+    (tmp_path / "chunk_3.mp3").write_bytes(b"mp3")
+    take = lambda df: {r.file.rsplit("/", 1)[1]: (r.total_ms, r.error) for r in df.collect()}
+    assert take(read_wav(spark, str(tmp_path))).keys() == {"chunk_1.wav", "chunk_2.wav", "other.wav"}
+    assert take(read_wav(spark, str(tmp_path), chunks_only=True)) == {"chunk_1.wav": (100, None), "chunk_2.wav": (None, "not 16 kHz mono 16-bit")}
+
+    def decode(content):
+        if content == b"mp3":
+            return b"\x00\x00" * 3200
+        raise ValueError("unknown")
+
+    assert take(read_wav(spark, str(tmp_path), True, decode)) == {"chunk_1.wav": (100, None), "chunk_2.wav": (None, "unknown"), "chunk_3.mp3": (200, None)}

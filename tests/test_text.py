@@ -138,3 +138,12 @@ def test_chapter_numbers(spark):
     rows = [(1, i, s) for i, s in enumerate(["12", "第  章", "x", "3", "4", "第章", "第章"])] + [(2, 0, "5"), (3, 0, "第章")]
     got = T.fix_chapter_numbers(spark.createDataFrame(rows, "page int, n int, line string"), ["page"], "n", "line").orderBy("page", "n").collect()
     assert [(r.page, r.line) for r in got] == [(1, "第12章"), (1, "x"), (1, "3"), (1, "第4章"), (1, "第章"), (2, "5"), (3, "第章")]
+
+
+def test_treebank_tokens(spark):
+    want = {
+        'He said, "I don\'t know... it\'s 3.5%."': "He said , `` I do n't know ... it 's 3.5 % . ''", "They'll cannot go--(now)!": "They 'll can not go -- ( now ) !",
+        "Mr. Cole’s hat. It fell.": "Mr. Cole 's hat. It fell .", "'Tis gonna rain": "'T is gon na rain", "": "", " \n": "",
+    }
+    got = column(spark, list(want), F.array_join(X.treebank_tokens(F.col("x")), " "))
+    assert got == list(want.values())
