@@ -24,7 +24,7 @@ BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pattern by which byte-level tokenizers of this family cut texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int32(2**31 - 1)
-#: Pieces of more bytes go row by row, all places of the least rank at a time.
+#: Pieces of more bytes go row by row, all places of the least rank at a time, if the tokenizer's merges allow it.
 LONGEST_BUCKET = 512
 #: Cells of a matrix, and pieces a worker remembers; both bound memory only.
 CELLS, REMEMBERED = 1 << 20, 200_000
@@ -83,7 +83,13 @@ class Encoder:
             self.byte[b] = vocab[letter]
         merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
         ids = lambda tokens: np.array([vocab[t] for t in tokens], np.int32)
-        self.pairs = PairTable(ids(a for a, _ in merges), ids(b for _, b in merges), np.arange(len(merges), dtype=np.int32), ids(a + b for a, b in merges))
+        left, right, merged = ids(a for a, _ in merges), ids(b for _, b in merges), ids(a + b for a, b in merges)
+        rank = np.arange(len(merges), dtype=np.int32)
+        self.pairs = PairTable(left, right, rank, merged)
+        # whether each pair ranks behind all merges that make one of its parts: only then may all places of a rank merge at once
+        made = np.full(max(vocab.values()) + 1, -1, np.int64)
+        np.maximum.at(made, merged, rank)
+        self.ordered = bool((made[left] < rank).all() and (made[right] < rank).all())
         self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, np.ndarray] = {}
 
@@ -158,7 +164,7 @@ class Encoder:
         by: dict[int, list[tuple[str, bytes]]] = {}
         for p in new:
             raw = p.encode("utf-8", "surrogatepass")
-            if len(raw) > LONGEST_BUCKET:
+            if len(raw) > LONGEST_BUCKET and self.ordered:
                 self.known[p] = self.long(raw)
             else:
                 by.setdefault(len(raw) if len(raw) < 8 else 1 << (2 * len(raw) - 1).bit_length() >> 1, []).append((p, raw))

@@ -32,3 +32,30 @@ def test_rows(spark):
     want = reference(["two words"])[0]
     assert out == [(1, []), (2, []), (3, want), (3, want)]
     assert encode(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
+
+
+def test_merges_out_of_order(tmp_path):
+    """A pair that ranks before the merge which makes its part: long pieces go the leftmost way, too."""
+    import json
+
+    from lectern.llm.encode import byte_letters
+
+    vocab = {c: i for i, c in enumerate([*byte_letters(), "ab", "abc", "ba", "cab"])}
+    merges = [["ab", "c"], ["b", "a"], ["a", "b"], ["c", "ab"]]
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+    e = Encoder(str(path))
+    assert not e.ordered and Encoder(BYTE_BPE_50K).ordered
+    r = random.Random(2)
+
+    def plain(text):
+        out = list(text)
+        while True:
+            at = [(merges.index([x, y]), k) for k, (x, y) in enumerate(zip(out, out[1:])) if [x, y] in merges]
+            if not at:
+                return [vocab[x] for x in out]
+            k = min(at)[1]
+            out[k : k + 2] = [out[k] + out[k + 1]]
+
+    texts = ["".join(r.choice("abc") for _ in range(n)) for n in (5, 40, LONGEST_BUCKET + 40)]
+    assert [x.tolist() for x in e.encode(texts)] == [plain(t) for t in texts]
