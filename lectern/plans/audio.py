@@ -12,7 +12,7 @@ from lectern.operators import align as A
 from lectern.operators import segments as G
 from lectern.tables import table
 
-NEEDED, FRAME_MS, MIN_MS, OFFSET = 2, 30, 300, 5
+NEEDED, FRAME_MS, MIN_MS, OFFSET = 2, 30, 300, 50
 
 
 def _frames(spark: SparkSession, root: str) -> DataFrame:
@@ -62,7 +62,7 @@ def verified_only(spark: SparkSession, root: str) -> DataFrame:
 
 def reference_window(spark: SparkSession, root: str) -> DataFrame:
     chunks = table(spark, root, "transcripts").select("book", F.col("chapter").cast("string").alias("chapter"), X.chunk_number(F.col("chunk_file")).alias("chunk_no")).distinct()
-    counts = chunks.groupBy("book", "chapter").agg(F.max("chunk_no").alias("n_chunks"))
+    counts = chunks.groupBy("book", "chapter").agg(F.countDistinct("chunk_no").alias("n_chunks"))
     texts = table(spark, root, "chapter_pairs").where("en is not null").select("chapter_pair_id", "book", "chapter", X.lines(F.col("en")).alias("ls")).distinct()
     rows = texts.join(counts, ["book", "chapter"]).join(chunks, ["book", "chapter"])
     return rows.select("chapter_pair_id", "chunk_no", A.reference_window(F.col("ls"), F.col("chunk_no"), F.col("n_chunks"), OFFSET).alias("reference"))
@@ -85,7 +85,7 @@ def _passages(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "pairs_en").select("pair_id", "book", "chapter", F.coalesce("lang", F.lit("")).alias("lang"), "chunk_file", "source", "target").distinct()
     rows = rows.withColumn("chunk_no", X.chunk_number(F.col("chunk_file")))
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.length("target") > 0, F.struct("chunk_no", "pair_id", "target")))), lambda x: x["target"])
-    chapters = rows.groupBy("book", "chapter", "lang").agg(F.flatten(F.transform(ordered, X.lines)).alias("ls"), F.max("chunk_no").alias("n_chunks"))
+    chapters = rows.groupBy("book", "chapter", "lang").agg(F.flatten(F.transform(ordered, X.lines)).alias("ls"), F.countDistinct("chunk_no").alias("n_chunks"))
     joined = rows.join(chapters, ["book", "chapter", "lang"])
     return joined.select("pair_id", "source", F.col("target").alias("written"), A.reference_window(F.col("ls"), F.col("chunk_no"), F.col("n_chunks")).alias("reference"))
 
@@ -196,7 +196,7 @@ from (select distinct audio_id, id, "start", "end", text from segments) group by
     "pending_items": "select distinct book, chapter, chunk_file from transcripts t where not exists (select 1 from pairs_en p where p.target <> '' and p.book = t.book and p.chapter = t.chapter and p.chunk_file = t.chunk_file)",
     "verified_only": "select distinct pair_id, chunk_file, case when origin = 'scan' then 'TRUE' else 'True' end as decision from pairs_en where source is not null and target <> ''",
     "reference_window": rf"""with c as (select distinct book, cast(chapter as varchar) as chapter, cast(regexp_extract(chunk_file, 'chunk_(\d+)', 1) as int) as chunk_no from transcripts),
-n as (select book, chapter, max(chunk_no) as n from c group by all),
+n as (select book, chapter, count(distinct chunk_no) as n from c group by all),
 t as (select distinct chapter_pair_id, book, chapter, {_LINES} as ls from chapter_pairs where en is not null),
 p as (select chapter_pair_id, chunk_no, ls, cast(floor(len(ls) * chunk_no / n) as int) as k from t join n using (book, chapter) join c using (book, chapter))
 select chapter_pair_id, chunk_no, array_to_string(ls[greatest(0, k - {OFFSET}) + 1:k + {OFFSET} + 1], chr(10)) as reference from p""",
