@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of input per task from which a table is spread enough as it was read: files are split down to that size.
-ENOUGH = 4 << 20
+#: Bytes per task, by the planner's estimate for the columns that are read, from which a table is spread enough as it is.
+ENOUGH = 1 << 20
 
 
 def spread(df: DataFrame, per: int = 2) -> DataFrame:
