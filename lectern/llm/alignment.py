@@ -2,7 +2,7 @@
 
 Translation tables in both directions are estimated by expectation-maximization over all pairs of texts: tasks sum
 expected counts of (token, token) pairs under soft line links, Spark adds them up and normalises, and small entries go.
-A token is known by a 64-bit hash of its own, so no two share counts. A table of bounded size is broadcast; beyond that
+A token is known by a 64-bit hash of its own, so no two share counts. A table of bounded size is held whole; beyond that
 each block of texts is joined with the entries its own tokens need. Lines are then linked competitively: the best links
 of a pair of texts are accepted greedily, wherever they stand; a line that is linked already takes a further partner only
 if that explains words of it that are not explained yet.
@@ -10,20 +10,23 @@ if that explains words of it that are not explained yet.
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import key, keyed, spread
 from lectern.llm.forms import fold, is_han
-from lectern.tables import discard, materialise
+from lectern.tables import discard, materialise, mounted
 
 #: Share of the background in the probability of a token, and the least probability that a table keeps.
 BACKGROUND, LEAST = 0.15, 2e-4
@@ -33,10 +36,10 @@ COUNT = 0.01
 LINK = 0.05
 #: Least expected count of a token pair in two texts.
 ADDED = 1e-3
-#: Entries of a table that are broadcast at most (about 16 bytes each); a larger one is joined block by block.
+#: Entries of a table that is held whole at most (about 24 bytes each); a larger one is joined block by block.
 ENTRIES = 8_000_000
-#: A row of a table is held whole if at least one in so many of its places is filled.
-FULL = 8
+#: A row of a table has a bitmap if at least one in so many of its places is filled.
+FULL = 64
 #: Tokens of the texts of one such block.
 BLOCK_TOKENS = 4_000_000
 #: Lines and tokens of either language that are held against each other at a time, and tokens of a part of a table.
@@ -55,25 +58,40 @@ def number(token: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@lru_cache(100_000)
+def ideograph(c: str) -> int | None:
+    return number("1" + c) if is_han(c) else None
+
+
+@lru_cache(100_000)
+def word(w: str) -> tuple[list[int], list[int]]:
+    """What ``tokens`` says of a word without ideographs."""
+    low = w.lower()
+    found = [number(low)]
+    if w[0].isdigit():
+        return found, [number("#" + re.sub(r"\D", "", w)) | 1]
+    if not w[0].isupper():
+        return found, []
+    padded = f"^{low}$"
+    return found + [number("3" + padded[i : i + 3]) for i in range(len(padded) - 2)], [number(low) & ~1]
+
+
 def tokens(line: str) -> tuple[list[int], list[int]]:
-    """Numbers of a line's tokens, and of the strings that a translation keeps (odd: numerals; even: names).
+    """Numbers of a folded line's tokens, and of the strings that a translation keeps (odd: numerals; even: names).
 
     Words are taken in lower case; a capitalised word, being perhaps a name that is spelt out in the other script, adds
     its trigrams. Ideographs are taken singly."""
     found, kept = [], set()
-    for w in WORD.findall(fold(line)):
-        if any(map(is_han, w)):
-            found += [number("1" + c) for c in w if is_han(c)]
-            kept.update(number(x.lower()) & ~1 for x in re.findall(r"[A-Za-zÀ-ɏ]+", w))
+    for w in WORD.findall(line):
+        han = [] if w.isascii() else [x for x in map(ideograph, w) if x is not None]
+        if han:
+            found += han
+            if len(han) < len(w):
+                kept.update(number(x.lower()) & ~1 for x in re.findall(r"[A-Za-zÀ-ɏ]+", w))
         else:
-            low = w.lower()
-            found.append(number(low))
-            if w[0].isdigit():
-                kept.add(number("#" + re.sub(r"\D", "", w)) | 1)
-            elif w[0].isupper():
-                padded = f"^{low}$"
-                found += [number("3" + padded[i : i + 3]) for i in range(len(padded) - 2)]
-                kept.add(number(low) & ~1)
+            a, b = word(w)
+            found += a
+            kept.update(b)
     return found, sorted(kept)
 
 
@@ -84,7 +102,7 @@ def lines(text: str | None) -> list[str]:
 
 def pack(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A text's tokens line after line, their number in each line, and the same of its kept strings."""
-    both = [tokens(x) for x in lines(text)]
+    both = [tokens(x) for x in fold(text or "").split("\n") if x.strip()]
     flat = lambda k: np.array([c for x in both for c in x[k]], np.int64)
     size = lambda k: np.array([len(x[k]) for x in both], np.int32)
     return flat(0), size(0), flat(1), size(1)
@@ -99,49 +117,91 @@ class Table:
         self.at = np.append(begin, len(first))
         self.second, column = np.unique(second[order], return_inverse=True)
         self.column = column.astype(np.int32)
-        self.there, self.back = there[order].astype(np.float32), back[order].astype(np.float32)
-        self.place: np.ndarray | None = None
-        # rows of which much is filled are looked up whole
+        self.values = np.stack([there[order], back[order]], 1).astype(np.float32)
+        # rows of which much is filled have a bitmap; the rank of a bit is the place of its entry
         size = np.diff(self.at)
-        self.full = np.where(size * FULL > len(self.second), np.cumsum(size * FULL > len(self.second)) - 1, -1)
-        self.dense: list[np.ndarray] = []
+        rows = np.flatnonzero(size * FULL > len(self.second))
+        self.mapped = np.full(len(self.first), -1, np.int64)
+        self.mapped[rows] = np.arange(len(rows))
+        self.bits = np.zeros((len(rows), -(-len(self.second) // 64) * 8), np.uint8)
+        for k in range(0, len(rows), 256):
+            some = rows[k : k + 256]
+            filled = np.zeros((len(some), self.bits.shape[1] * 8), bool)
+            filled[np.repeat(np.arange(len(some)), size[some]), self.column[_ranges(self.at[some], size[some])]] = True
+            self.bits[k : k + 256] = np.packbits(filled, 1, "little")
+        n = np.bitwise_count(self.bits.view("<u8"))
+        self.rank = (np.cumsum(n, 1, np.int64) - n + self.at[rows, None]).astype(np.int32 if len(first) < 1 << 31 else np.int64)
+        self.place: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"place": None, "dense": []}
-
-    def _spread(self) -> None:
-        self.place = np.full(len(self.second), -1, np.int32)
-        rows = np.flatnonzero(self.full >= 0)
-        each = np.concatenate([np.arange(self.at[r], self.at[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-        line = np.repeat(np.arange(len(rows)), np.diff(self.at)[rows])
-        for values in (self.there, self.back):
-            self.dense.append(np.zeros((len(rows), len(self.second)), np.float32))
-            self.dense[-1][line, self.column[each]] = values[each]
+        return self.__dict__ | {"place": None}
+
+    def save(self, folder: str) -> None:
+        os.mkdir(folder)
+        for name, x in self.__getstate__().items():
+            if x is not None:
+                np.save(f"{folder}/{name}.npy", x)
+
+    @classmethod
+    def load(cls, folder: str) -> Table:
+        """A saved table. Its large arrays are mapped, so the processes of a machine share them."""
+        out = cls.__new__(cls)
+        out.place = None
+        for x in os.scandir(folder):
+            setattr(out, x.name[:-4], np.asarray(np.load(x.path, mmap_mode="r" if x.stat().st_size > 1 << 16 else None)))
+        return out
 
-    def part(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entries of some tokens (distinct) with some others, as dense matrices."""
-        there = np.zeros((len(first), len(second)), np.float32)
-        back = np.zeros_like(there)
-        if len(self.first) and len(first) and len(second):
+    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries of some tokens (distinct) with some others: their places in the matrix of both, row by row, and both values."""
+        if not (len(self.first) and len(first) and len(second)):
+            return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+        row = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        col = np.minimum(np.searchsorted(self.second, second), len(self.second) - 1)
+        has_row, has_col = np.flatnonzero(self.first[row] == first), np.flatnonzero(self.second[col] == second)
+        row, col = row[has_row], col[has_col]
+        at = self.mapped[row]
+        on = at >= 0
+        at, line = at[on], has_row[on]
+        hit = np.flatnonzero(self.bits[at].take(col >> 3, 1) & (1 << (col & 7)).astype(np.uint8) != 0)
+        i = hit // max(1, len(col))
+        j = hit - i * len(col)
+        # where the words of the found bits are, and the bits before them
+        cell = (at * self.rank.shape[1]).take(i)
+        cell += (col >> 6).take(j)
+        before = self.bits.view("<u8").ravel().take(cell)
+        before &= ((np.uint64(1) << (col & 63).astype(np.uint64)) - np.uint64(1)).take(j)
+        each = self.rank.ravel().take(cell)
+        each += np.bitwise_count(before)
+        flat = hit if len(line) == len(first) and len(col) == len(second) else (line * len(second)).take(i) + has_col.take(j)
+        if not on.all():
+            has_row, row = has_row[~on], row[~on]
+            size = self.at[row + 1] - self.at[row]
+            rest = _ranges(self.at[row], size)
             if self.place is None:
-                self._spread()
-            row = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
-            col = np.minimum(np.searchsorted(self.second, second), len(self.second) - 1)
-            has_row, has_col = np.flatnonzero(self.first[row] == first), np.flatnonzero(self.second[col] == second)
-            row, col = row[has_row], col[has_col]
-            full = self.full[row] >= 0
-            for out, values in zip((there, back), self.dense):
-                out[np.ix_(has_row[full], has_col)] = values[np.ix_(self.full[row[full]], col)]
-            has_row, row = has_row[~full], row[~full]
-            begin, size = self.at[row], self.at[row + 1] - self.at[row]
-            each = np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+                self.place = np.full(len(self.second), -1, np.int32)
             self.place[col] = has_col
-            j = self.place[self.column[each]]
+            j = self.place[self.column[rest]]
             self.place[col] = -1
-            on = j >= 0
-            i, j, each = np.repeat(has_row, size)[on], j[on], each[on]
-            there[i, j], back[i, j] = self.there[each], self.back[each]
-        return there, back
+            flat = np.append(flat, (np.repeat(has_row, size) * len(second) + j)[j >= 0])
+            each = np.append(each, rest[j >= 0])
+        found = self.values.view(np.int64).ravel().take(each).view(np.float32)
+        return flat, found[::2], found[1::2]
+
+    def part(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of some tokens (distinct) with some others, as dense matrices."""
+        return _dense((len(first), len(second)), *self.find(first, second))
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one after the other."""
+    return np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+
+
+def _dense(shape: tuple[int, int], at: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    out = tuple(np.zeros(shape, np.float32) for _ in values)
+    for x, v in zip(out, values):
+        x.ravel()[at] = v
+    return out
 
 
 class Block:
@@ -180,13 +240,13 @@ class Pair:
         common, i, j = np.intersect1d(np.unique(a.kept), np.unique(b.kept), return_indices=True)
         self.shared = [(np.searchsorted(common, s.kept), s) for s in (a, b)] if len(common) else None
         self.common = common
-        self.whole: tuple[np.ndarray, np.ndarray] | None = None
+        self.whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def part(self, table: Table, x: Block, y: Block, u: slice, v: slice) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, table: Table, x: Block, y: Block, u: slice, v: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.at) > 1 or max(len(x.ids), len(y.ids)) > PART:
-            return table.part(x.ids[u], y.ids[v])
+            return table.find(x.ids[u], y.ids[v])
         if self.whole is None:
-            self.whole = table.part(x.ids, y.ids)
+            self.whole = table.find(x.ids, y.ids)
         return self.whole
 
     def kept(self, x: Block, y: Block) -> np.ndarray:
@@ -209,7 +269,7 @@ class Pair:
         and token of the other side, the ratio of the token's probability to its share, and the logarithm."""
         q1, q2 = np.zeros((len(x.size), len(y.ids)), np.float32), np.zeros((len(y.size), len(x.ids)), np.float32)
         for u, v in _parts(x, y):
-            there, back = self.part(table, x, y, u, v)
+            there, back = _dense((len(x.ids[u]), len(y.ids[v])), *self.find(table, x, y, u, v))
             q1[:, v] += x.shares[:, u] @ there
             q2[:, u] += y.shares[:, v] @ back.T
         r1, r2 = np.log((1 - BACKGROUND) * q1 + BACKGROUND), np.log((1 - BACKGROUND) * q2 + BACKGROUND)
@@ -249,34 +309,36 @@ class Pair:
     def expected(self, table: Table | None) -> Iterator[tuple[np.ndarray, ...]]:
         """Tokens of either side, and for some pairs of them (by place) the expected counts in either direction under the
         soft links. Counts below ADDED go, once those of all blocks are added up."""
-        parts = self._expected(table)
         if len(self.at) == 1 and max(map(len, (self.at[0][0].ids, self.at[0][1].ids))) <= PART:
-            for a, b, one, two in parts:
-                i, j = np.nonzero((one > ADDED) | (two > ADDED))
-                yield a, b, i, j, one[i, j], two[i, j]
+            yield from self._expected(table, ADDED)
             return
         sums = Sums(np.unique(self.a.ids), np.unique(self.b.ids))
-        for a, b, one, two in parts:
-            i, j = np.nonzero((one > ADDED / 1000) | (two > ADDED / 1000))
-            sums.add(a, b, i, j, one[i, j], two[i, j])
+        for part in self._expected(table, ADDED / 1000):
+            sums.add(*part)
         if sums.n:
             sums.fold()
             code, x, y = sums.parts[0]
             on = (x > ADDED) | (y > ADDED)
             yield sums.first, sums.second, *np.divmod(code[on], len(sums.second)), x[on], y[on]
 
-    def _expected(self, table: Table | None) -> Iterator[tuple[np.ndarray, ...]]:
+    def _expected(self, table: Table | None, least: float) -> Iterator[tuple[np.ndarray, ...]]:
         for x, y, w, more in self.weights(table):
             if table is None:
                 one, two = w @ y.counts, w.T @ x.counts
             else:
                 one, two = (w @ y.counts) / np.maximum(more[0], 1e-9), (w.T @ x.counts) / np.maximum(more[1], 1e-9)
             for u, v in _parts(x, y):
-                both = x.shares[:, u].T @ one[:, v], two[:, u].T @ y.shares[:, v]
-                if table is not None:
-                    there, back = self.part(table, x, y, u, v)
-                    both = there * both[0], back * both[1]
-                yield x.ids[u], y.ids[v], *both
+                there, back = (x.shares[:, u].T @ one[:, v]).ravel(), (two[:, u].T @ y.shares[:, v]).ravel()
+                if table is None:
+                    at = np.flatnonzero((there > least) | (back > least))
+                    there, back = there[at], back[at]
+                else:
+                    at, p, q = self.find(table, x, y, u, v)
+                    there, back = p * there[at], q * back[at]
+                    on = np.flatnonzero((there > least) | (back > least))
+                    at, there, back = at[on], there[on], back[on]
+                i = at // max(1, len(y.ids[v]))
+                yield x.ids[u], y.ids[v], i, at - i * len(y.ids[v]), there, back
 
     def explained(self, table: Table, one: int, other: int, side: int) -> np.ndarray:
         """How far each token of line ``one`` (of side ``side``) is explained by line ``other`` of the other side."""
@@ -374,54 +436,82 @@ class Sums:
 
     def fold(self) -> None:
         code, x, y = (np.concatenate(p) for p in zip(*self.parts))
-        bits = int(len(code)).bit_length()
-        if int(len(self.first) * len(self.second)).bit_length() + bits < 63:  # sorting numbers is faster than finding their order
-            order = np.sort((code << bits) | np.arange(len(code)))
-            code, order = order >> bits, order & ((1 << bits) - 1)
-        else:
-            order = np.argsort(code)
-            code = code[order]
+        code, order = _sorted(code, len(self.first) * len(self.second))
         new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         self.parts = [(code[new], np.add.reduceat(x[order], new), np.add.reduceat(y[order], new))]
         self.n = len(new)
 
     def entries(self) -> pa.RecordBatch:
         """Rows of ENTRY: the counts of a first token dealt out by the second."""
-        if not self.n:
-            return _entries(*[np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.float32)])
-        self.fold()
-        code, x, y = self.parts[0]
-        i, j = np.divmod(code, len(self.second))
-        return _entries(self.first[i], self.second[j], x, y)
+        if self.n:
+            self.fold()
+        code, x, y = self.parts[0] if self.n else (np.zeros(0, t) for t in (np.int64, np.float32, np.float32))
+        i, j = np.divmod(code, max(1, len(self.second)))
+        b = self.second[j]
+        key, order = _sorted(i * SALT + b % SALT, len(self.first) * SALT)
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        i, salt = np.divmod(key[new], SALT)
+        offsets = pa.array(np.append(new, len(key)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(self.first[i]), pa.array(salt.astype(np.int32)), *[pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (b, x, y)]], ["a", "salt", "b", "there", "back"])
+
+
+def _sorted(code: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below ``top`` in order, and their order (equal ones as they came)."""
+    bits = len(code).bit_length()
+    if int(top).bit_length() + bits < 63:  # sorting numbers is faster than finding their order
+        order = np.sort((code << bits) | np.arange(len(code)))
+        return order >> bits, order & ((1 << bits) - 1)
+    order = np.argsort(code, kind="stable")
+    return code[order], order
 
 
-def _entries(a: np.ndarray, b: np.ndarray, there: np.ndarray, back: np.ndarray) -> pa.RecordBatch:
-    """Rows of ENTRY: the counts of a first token dealt out by the second."""
-    salt = (b % SALT).astype(np.int32)
-    order = np.lexsort((b, salt, a))
-    a, b, salt, there, back = a[order], b[order], salt[order], there[order], back[order]
-    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (salt[1:] != salt[:-1]))) if len(a) else np.zeros(0, np.int64)
-    offsets = pa.array(np.append(new, len(a)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(salt[new]), *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (b, there, back)]], ["a", "salt", "b", "there", "back"])
+@lru_cache(1)
+def _load(folder: str) -> Table:
+    return Table.load(folder)
+
+
+class Saved:
+    """A table saved in a folder that all executors mount."""
+
+    def __init__(self, rows: DataFrame, folder: str) -> None:
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                got, to = pq.read_table(folder), f"{folder}/_table-{uuid.uuid4().hex}"  # another one if the task is tried again
+                Table(*(got[c].to_numpy() for c in ("a", "b", "there", "back"))).save(to)
+                yield pa.RecordBatch.from_pylist([{"place": to}])
+
+        self.folder = rows.sparkSession.range(0, 1, 1, 1).mapInArrow(build, "place string").first()[0]
+
+    @property
+    def value(self) -> Table:
+        return _load(self.folder)
+
+    def destroy(self) -> None:
+        """It goes with the rows."""
 
 
 class Tables:
-    """A table as rows (a, b, there, back), broadcast if it has at most ``entries`` of them."""
+    """A table as rows (a, b, there, back). With at most ``entries`` of them each worker holds it whole: it is mapped from
+    the shared folder or, if that is not mounted, broadcast."""
 
     def __init__(self, rows: DataFrame, entries: int) -> None:
         self.rows, self.held = rows, None
         if rows.count() <= entries:
-            got = rows.toArrow()
-            self.held = rows.sparkSession.sparkContext.broadcast(Table(*(got[c].to_numpy() for c in ("a", "b", "there", "back"))))
+            folder = mounted(rows)
+            if folder:
+                self.held = Saved(rows, folder)
+            else:
+                got = rows.toArrow()
+                self.held = rows.sparkSession.sparkContext.broadcast(Table(*(got[c].to_numpy() for c in ("a", "b", "there", "back"))))
 
     def drop(self) -> None:
         if self.held is not None:
-            self.held.unpersist()
+            self.held.destroy()
         discard(self.rows)
 
 
 def over(seen: DataFrame, tables: Tables | None, work: Callable[[pa.RecordBatch | pa.Table, Table | None], pa.RecordBatch], schema: str) -> DataFrame:
-    """``work`` over all rows of ``seen`` with the table: a broadcast one, or for each block of rows what its tokens need."""
+    """``work`` over all rows of ``seen`` with the table: a whole one, or for each block of rows what its tokens need."""
     if tables is None or tables.held is not None:
         held = tables.held if tables else None
 
@@ -476,7 +566,7 @@ def align(df: DataFrame, id_col: str, first: str, second: str, rounds: int = 4,
     Null and empty sides give no row, nor do lines without a counterpart; a line that renders several gives one row for
     each. Repeated rows count once, rows of one id with different texts one by one. Further columns are not read; an
     empty table gives none. Pairs are learnt from and linked whole; time grows with the product of the lines of a pair,
-    memory with a block of them. ``entries`` says how large a table is broadcast; the links are the same either way.
+    memory with a block of them. ``entries`` says how large a table is held whole; the links are the same either way.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

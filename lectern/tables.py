@@ -57,6 +57,12 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def mounted(table: DataFrame) -> str | None:
+    """The folder of a materialised table as a path, if it is a plain one that processes can open by its name."""
+    path, fs = _path(table.sparkSession, table._lectern_place)
+    return fs.makeQualified(path).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete materialised tables that nothing reads any more."""
     for t in tables:

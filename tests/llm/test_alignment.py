@@ -5,6 +5,7 @@ import numpy as np
 
 from lectern.llm import alignment
 from lectern.llm.alignment import Pair, Side, Table, align, lines, number, pack
+from lectern.tables import materialise
 
 
 def corpus(n, r):
@@ -120,3 +121,27 @@ def test_tables():
     assert (t.part(*ids)[0] == there).all() and number("a") != number("b")
     found, kept = pack("Room 715 of Anna")[0], pack("Room 715 of Anna")[2]
     assert len(found) == 4 + 4 + 4 and (kept & 1).sum() == 1 and len(kept) == 3
+
+
+def test_a_table_reaches_the_workers_without_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda _: 1 / 0)
+    rows = materialise(spark.createDataFrame([(1, 5, 1.0, 4.0), (1, 6, 2.0, 5.0), (2, 6, 3.0, 6.0)], "a long, b long, there float, back float"), "table")
+    tables = alignment.Tables(rows, 3)
+    there, back = tables.held.value.part(np.array([1, 2, 3]), np.array([4, 5, 6]))
+    assert there.tolist() == [[0, 1, 2], [0, 0, 3], [0, 0, 0]] and back.tolist() == [[0, 4, 5], [0, 0, 6], [0, 0, 0]]
+    tables.drop()
+
+
+def test_rows_of_few_and_of_many_entries(tmp_path):
+    r = np.random.default_rng(3)
+    full = np.where(r.random((40, 900)) < (1 / np.arange(1, 41))[:, None] ** 2, r.random((40, 900)), 0).astype(np.float32)
+    i, j = np.nonzero(full)
+    made = Table(i * 7 - 99, j * 3 - 50, full[i, j], -full[i, j])
+    assert (made.mapped >= 0).any() and (made.mapped < 0).any()
+    made.save(str(tmp_path / "t"))
+    for t in (made, Table.load(str(tmp_path / "t"))):
+        for _ in range(20):
+            x, y = np.sort(r.choice(np.arange(-3, 43), 25, False)), np.sort(r.choice(np.arange(-9, 909), 300, False))
+            want = np.where(((x >= 0) & (x < 40))[:, None] & ((y >= 0) & (y < 900)), full[np.clip(x, 0, 39)][:, np.clip(y, 0, 899)], 0)
+            there, back = t.part(x * 7 - 99, y * 3 - 50)
+            assert (there == want).all() and (back == -want).all()
