@@ -436,6 +436,7 @@ class Sums:
 
     def fold(self) -> None:
         code, x, y = (np.concatenate(p) for p in zip(*self.parts))
+        self.parts.clear()
         code, order = _sorted(code, len(self.first) * len(self.second))
         new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         self.parts = [(code[new], np.add.reduceat(x[order], new), np.add.reduceat(y[order], new))]
@@ -456,11 +457,15 @@ class Sums:
 
 
 def _sorted(code: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers below ``top`` in order, and their order (equal ones as they came)."""
+    """Numbers below ``top`` in order, and their order (equal ones as they came). They may be overwritten."""
     bits = len(code).bit_length()
     if int(top).bit_length() + bits < 63:  # sorting numbers is faster than finding their order
-        order = np.sort((code << bits) | np.arange(len(code)))
-        return order >> bits, order & ((1 << bits) - 1)
+        code <<= bits
+        code |= np.arange(len(code))
+        code.sort()
+        order = code & ((1 << bits) - 1)
+        code >>= bits
+        return code, order
     order = np.argsort(code, kind="stable")
     return code[order], order
 

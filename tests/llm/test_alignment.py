@@ -1,5 +1,6 @@
 import inspect
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -145,3 +146,21 @@ def test_rows_of_few_and_of_many_entries(tmp_path):
             want = np.where(((x >= 0) & (x < 40))[:, None] & ((y >= 0) & (y < 900)), full[np.clip(x, 0, 39)][:, np.clip(y, 0, 899)], 0)
             there, back = t.part(x * 7 - 99, y * 3 - 50)
             assert (there == want).all() and (back == -want).all()
+
+
+def test_sums_take_little_room():
+    r, voc, n = np.random.default_rng(5), np.arange(1000), 400_000
+    sums, want = alignment.Sums(voc, voc), np.zeros((2, 1000, 1000))
+    tracemalloc.start()
+    for _ in range(4):
+        i, j, x = r.integers(0, 1000, n), r.integers(0, 1000, n), r.random(n).astype(np.float32)
+        sums.add(voc, voc, i, j, x, 2 * x)
+        np.add.at(want, (slice(None), i, j), [x, 2 * x])
+    del i, j, x
+    tracemalloc.reset_peak()
+    sums.fold()
+    most = tracemalloc.get_traced_memory()[1] / (4 * n) - want.nbytes / (4 * n)
+    tracemalloc.stop()
+    code, x, y = sums.parts[0]
+    assert (np.diff(code) > 0).all() and np.allclose(want[0].ravel()[code], x, rtol=1e-5) and np.allclose(want.sum(), x.sum() + y.sum(), rtol=1e-5)
+    assert most < 38, most
